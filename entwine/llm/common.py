@@ -40,6 +40,12 @@ def n_words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))).cast("long")
 
 
+def row_keys(*names: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes that stand for a row's values, nulls included: equal rows have equal ones, and never null."""
+    parts = [p for n in names for p in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(0x5EED), *parts)
+
+
 def running_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Add exclusive running sums of columns per key, without one task per key.
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, words_of
+from .common import durable, row_keys, words_of
 
 #: Resolution of the sketch: ratios become whole numbers from 0 to BINS.
 BINS = 1000
@@ -117,16 +117,17 @@ def fences(measured: DataFrame, min_rows: int, reach: int) -> DataFrame:
 def assess(docs: DataFrame, min_rows: int = 100, reach: int = 3) -> DataFrame:
     """Per row of `docs` (doc_id, text, lang, source): the counts, base_failed, failed (names of the fences crossed), kept.
 
-    Also `text_hash`, with which decisions can be joined back to the texts. A
-    null text counts as empty and fails the base rule; null languages and
+    Also `k1` and `k2`, the hashes of these four with which decisions can be
+    joined back to the texts. A null text counts as empty and fails the base rule; null languages and
     sources are groups of their own; ties lie inside the fence (only values
     beyond it fail); repeated rows are counted and judged one by one; columns
     other than the four are left out; an empty table gives an empty one. The
     fences come from the documents that pass the base rule.
     """
     named = [r.name for r in RULES]
+    k1, k2 = row_keys("doc_id", "lang", "source", "text")
     measured = durable(
-        counts(docs.select("doc_id", "text", "lang", "source").withColumn("text_hash", F.xxhash64("text"))).drop("text")
+        counts(docs.select("doc_id", "text", "lang", "source", k1.alias("k1"), k2.alias("k2"))).drop("text")
         .withColumn("base_failed", base_failed())
         .withColumns({f"bin_{r.name}": ratio(r) for r in RULES})
     )
@@ -139,7 +140,7 @@ def assess(docs: DataFrame, min_rows: int = 100, reach: int = 3) -> DataFrame:
         tests.append(F.when(out, F.lit(r.name)))
     failed = F.array_compact(F.array(*tests))
     return judged.select(
-        "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts",
+        "doc_id", "lang", "source", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts",
         "base_failed", failed.alias("failed"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"), *(f"bin_{n}" for n in named),
     )
 
@@ -147,9 +148,10 @@ def assess(docs: DataFrame, min_rows: int = 100, reach: int = 3) -> DataFrame:
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns.
 
-    Decisions are joined by id, text hash, language and source, which settle a
-    row's decision; rows equal in these have the same one.
+    Decisions are joined by a hash of id, language, source and text, which
+    settle a row's decision; rows equal in these have the same one.
     """
-    kept = assess(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.join(kept, on, "left_semi")
+    judged = assess(docs, **options).where("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    k1, k2 = row_keys("doc_id", "lang", "source", "text")
+    keyed = docs.withColumns({"_1": k1, "_2": k2})
+    return keyed.join(judged, (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
