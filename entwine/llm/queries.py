@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, mixing, quality, sharding, toxicity
+from . import bpe, chat, mixing, ngram_join, quality, sharding, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), *tokenizer(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
