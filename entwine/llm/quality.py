@@ -104,8 +104,9 @@ def fences(measured: DataFrame, min_rows: int, reach: int) -> DataFrame:
         table = quart.groupBy(*keys).agg(*cols, F.max("total").alias(f"{name}_n"))
         if keys:
             groups = groups.join(table.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in table.columns if c not in keys)), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
-        else:  # one row at most, by the aggregation without keys
-            groups = groups.withColumn("_one", F.lit(1)).join(table.withColumn("_1", F.lit(1)), F.col("_one") == F.col("_1"), "left").drop("_one", "_1")
+        else:  # one row: a dozen numbers
+            row = table.first()
+            groups = groups.withColumns({c: F.lit(row[c] if row else None).cast(table.schema[c].dataType) for c in table.columns})
     out = [F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source")]
     for r in RULES:
         for side in ("hi", "lo")[: 1 + r.below]:
