@@ -1,18 +1,515 @@
-"""The registered queries and the SQL that each must agree with."""
+"""The registered queries and the SQL that each must agree with.
+
+The registry view takes the pages as business records: the title is the name, the
+url the address and the page's language the country; page ids deal all pages
+to the three sources. Links with the same article stand for gold.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as t
+from ..functions.similarity import levenshtein, measures
+from ..operators import candidates as cand, channels as ch, checks, decide, features as feat, metrics
+from ..operators.canonical import canonicalize, normalise
+from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any."""
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# The registry view.
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ascii_only = lambda x: F.regexp_replace(x, "[^\\x20-\\x7e]+", " ")
+    source = F.concat(F.lit("S"), (F.col("page_id") % 3 + 1).cast("string"))
+    address = F.concat(F.regexp_extract("url", "/([0-9]+)", 1), F.lit(" "), F.replace(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit(", ")))
+    return table(spark, sf_dir, "pages").select(
+        F.concat(source, F.lit("-"), F.col("page_id").cast("string")).alias("entity_id"), source.alias("source"), F.col("page_id").alias("row_ord"),
+        ascii_only(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("business_name"), ascii_only(address).alias("business_address"),
+        F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("country"),
+        F.when(F.contains("html", F.lit("</article>")), F.md5(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1))).alias("article"),
+    )
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(S1, pool) canonical records with their country as block; pool records of other countries have no block to be in."""
+    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True).withColumn("block", F.col("country_norm"))
+    s1 = rec.where("source = 'S1'")
+    return s1, rec.where("source <> 'S1'").join(s1.select("block").distinct(), "block", "left_semi")
+
+
+def gold_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_records(spark, sf_dir).where("article is not null").select("entity_id", "source", "article")
+    a = raw.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "article")
+    return a.join(raw.where("source <> 'S1'").select(F.col("entity_id").alias("r"), "article"), "article").select("s1", "r")
+
+
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs (s1, r, rank, p) whose probability is the token overlap."""
+    return ch.token_overlap(*sides(spark, sf_dir)).select("s1", "r", F.col("rank").cast("long").alias("rank"), F.col("score").alias("p"))
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sides(spark, sf_dir)[0].select(F.col("entity_id").alias("s1"), "country_norm").distinct()
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+# Scans and normalisation.
+
+
+@query(o.query(o.VIEW, body="SELECT source, country, count(*) AS n, sum(length(business_name))::BIGINT AS chars FROM view_raw GROUP BY source, country"))
+def scan_count(spark, sf_dir):
+    return raw_records(spark, sf_dir).groupBy("source", "country").agg(F.count("*").alias("n"), F.sum(F.length("business_name")).cast("long").alias("chars"))
+
+
+@query(o.query(o.RECORDS, body="SELECT entity_id, name_norm, name_core, name_clean, name_fold, name_acronym, legal_form, array_to_string(name_alts, '|') AS alts FROM rec"))
+def canonical_names(spark, sf_dir):
+    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    return rec.select("entity_id", "name_norm", "name_core", "name_clean", "name_fold", "name_acronym", "legal_form", F.array_join("name_alts", "|").alias("alts"))
+
+
+@query(o.query(o.RECORDS, body="SELECT entity_id, addr_norm, addr_tail, landmark, postal, house_no, unit, array_to_string(addr_nums, ' ') AS nums, addr_clean, sorted_addr, addr_fold, country_norm FROM rec"))
+def canonical_addresses(spark, sf_dir):
+    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    return rec.select("entity_id", "addr_norm", "addr_tail", "landmark", "postal", "house_no", "unit", F.array_join("addr_nums", " ").alias("nums"), "addr_clean", "sorted_addr", "addr_fold", "country_norm")
+
+
+@query("SELECT doc_id, array_to_string(list_transform(" + o.tokens("regexp_replace(lower(text), '[^\\x00-\\x7f]+', ' ', 'g')") + ", lambda w: " + o.fold_token("w") + "), ' ') AS folded FROM documents")
+def fold_text(spark, sf_dir):
+    plain = F.regexp_replace(F.lower("text"), "[^\\x00-\\x7f]+", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", t.fold(plain, ascii_only=True).alias("folded"))
+
+
+@query(f"SELECT doc_id, legal_form FROM (SELECT doc_id, regexp_replace(lower(text), '[^\\x00-\\x7f]+', ' ', 'g') AS p5 FROM documents) x, LATERAL (SELECT {o.legal_case()} AS legal_form)")
+def legal_form_extract(spark, sf_dir):
+    plain = F.regexp_replace(F.lower("text"), "[^\\x00-\\x7f]+", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", plain.alias("p")).select("doc_id", t.legal_form(F.col("p")).alias("legal_form"))
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(regexp_extract(x, '\b(\d{5})-\d{4}\b', 1), ''), regexp_extract_all(x, '\b\d{5,6}\b')[-1], regexp_extract_all(x, '\b\d{4}\b')[-1], '') AS postal
+FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]+', ' ', 'g') AS x FROM documents)""")
+def postal_extract(spark, sf_dir):
+    plain = F.regexp_replace("text", "[^\\x00-\\x7f]+", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", plain.alias("x")).select("doc_id", t.postal_code(F.col("x")).alias("postal"))
+
+
+@query(o.query(o.RECORDS, body="""SELECT a.entity_id AS s1, b.entity_id AS r, ((a.house_no <> '') AND (a.house_no = b.house_no))::BIGINT AS house_eq, ((a.house_no <> '') AND (b.house_no <> '') AND (a.house_no <> b.house_no))::BIGINT AS house_conflict
+FROM s a JOIN p b ON a.name_core = b.name_core AND a.name_core <> ''"""))
+def house_number_compare(spark, sf_dir):
+    s1, pool = sides(spark, sf_dir)
+    a = s1.select(F.col("entity_id").alias("s1"), "name_core", F.col("house_no").alias("ha")).where("name_core <> ''")
+    b = pool.select(F.col("entity_id").alias("r"), "name_core", F.col("house_no").alias("hb"))
+    eq, conflict = t.agreement(F.col("ha"), F.col("hb"))
+    return a.join(b, "name_core").select("s1", "r", eq.cast("long").alias("house_eq"), conflict.cast("long").alias("house_conflict"))
+
+
+# Blocking channels.
+
+
+def channel_query(name: str, fn, sql: str) -> None:
+    def run(spark, sf_dir):
+        return rounded(longs(fn(*sides(spark, sf_dir)).select("s1", "r", "rank", "score"), "rank"), "score")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+channel_query("exact_key_candidates", ch.exact, o.query(o.RECORDS, o.EXACT, body=o.ranked("exact", 50, "kind")))
+channel_query("rare_token_topk", ch.rare_tokens, o.query(o.RECORDS, o.RARE, body=o.ranked("rare", 50)))
+channel_query("acronym_phonetic_topk", ch.phonetic, o.query(o.RECORDS, o.PHONETIC, body=o.ranked("heard", 15)))
+channel_query("address_topk", ch.address, o.query(o.RECORDS, o.ADDRESS, body=o.ranked("address", 30)))
+channel_query("token_overlap_jaccard", ch.token_overlap, o.query(o.RECORDS, o.OVERLAP, body=o.ranked("overlap", 30)))
+channel_query("substring_containment", ch.substring, o.query(o.RECORDS, o.SUBSTRING, body=o.ranked("sub", 20)))
+channel_query("sorted_neighbourhood", ch.sorted_neighbourhood, o.query(o.RECORDS, o.NEIGHBOURS, body="SELECT s1, r, row_number() OVER (PARTITION BY block, s1, pass ORDER BY j) - 1 AS rank, round(1.0::DOUBLE / (abs(i - j) + 1), 6) AS score FROM snm"))
+channel_query("tfidf_topk", ch.tfidf, o.query(o.RECORDS, o.TFIDF, body="SELECT s1, r, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY block, source, s1 ORDER BY round(score, 9) DESC, r_ord, r) - 1 AS rank FROM tfidf) WHERE rank < 50 AND score > 0.05"))
+
+FOUR = ("c1_exact", "c3_rare", "c4_phonetic", "c8_token_overlap")
+HITS = ",\n".join((o.RECORDS, o.EXACT, o.RARE, o.PHONETIC, o.OVERLAP)) + ",\n" + """found AS (
+  SELECT 'c1_exact' AS channel, 1 AS bit, * FROM ({}) UNION ALL SELECT 'c3_rare', 4, * FROM ({}) UNION ALL SELECT 'c4_phonetic', 8, * FROM ({}) UNION ALL SELECT 'c8_token_overlap', 256, * FROM ({})),
+un AS (SELECT s1, r, bit_or(bit)::BIGINT AS mask, count(*) AS n_channels, min(rank) AS min_rank, max(score) AS max_score FROM found GROUP BY s1, r)""".format(
+    o.ranked("exact", 50, "kind"), o.ranked("rare", 50), o.ranked("heard", 15), o.ranked("overlap", 30))
+
+
+def four_channels(spark, sf_dir) -> DataFrame:
+    hits = ch_hits(spark, sf_dir)
+    return cand.union(hits)
+
+
+def ch_hits(spark, sf_dir) -> DataFrame:
+    return cand.run_channels(*sides(spark, sf_dir), list(FOUR)).withColumn("score", F.round("score", 6))
+
+
+@query("WITH " + HITS + "\nSELECT s1, r, mask, n_channels, min_rank, max_score FROM un")
+def channel_union_provenance(spark, sf_dir):
+    return longs(four_channels(spark, sf_dir), "mask", "n_channels", "min_rank").select("s1", "r", "mask", "n_channels", "min_rank", "max_score")
+
+
+@query("WITH " + HITS + """,
+pr AS (SELECT *, 100.0 * n_channels - min_rank + 10.0 * max_score AS priority, (n_channels >= 2)::INT AS multi FROM un),
+rk AS (SELECT *, sum(multi) OVER (PARTITION BY s1) AS kept, row_number() OVER (PARTITION BY s1, multi ORDER BY round(priority, 6) DESC, r) AS n FROM pr)
+SELECT s1, r, round(priority, 6) AS priority FROM rk WHERE multi = 1 OR n <= greatest(20 - kept, 0)""")
+def budget_prune(spark, sf_dir):
+    return rounded(cand.prune(four_channels(spark, sf_dir), budget=20).select("s1", "r", "priority"), "priority")
+
+
+@query()
+def sibling_expansion(spark, sf_dir):
+    _, pool = sides(spark, sf_dir)
+    return rounded(cand.siblings(four_channels(spark, sf_dir), pool), "score")
+
+
+@query()
+def country_blocks(spark, sf_dir):
+    a, b = cand.assign_blocks(*(x.drop("block") for x in sides(spark, sf_dir)))
+    return a.select("entity_id", "block").unionByName(b.select("entity_id", "block"))
+
+
+# Statistics and pair features.
+
+
+@query(o.query(o.RECORDS, body="""SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM rec) + 1.0) / (count(*) + 1.0)) + 1.0, 6) AS idf
+FROM (SELECT unnest(list_distinct(list_concat(name_core_tokens, addr_tokens))) AS token FROM rec) GROUP BY token"""))
+def doc_freq_idf(spark, sf_dir):
+    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    df, n = feat.document_frequency(rec)
+    return df.select("token", "df", F.round(feat.idf(F.col("df"), n), 6).alias("idf"))
+
+
+@query(o.query(o.RECORDS, o.PAIRS, """dfq AS (SELECT token, ln(((SELECT count(*) FROM rec) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM (SELECT unnest(list_distinct(list_concat(name_core_tokens, addr_tokens))) AS token FROM rec) GROUP BY token),
+sides AS (SELECT s1, r, unnest(list_distinct(list_concat(s.name_core_tokens, p.name_core_tokens))) AS token, s.name_core_tokens AS ta, p.name_core_tokens AS tb FROM pairs JOIN s ON s.entity_id = s1 JOIN p ON p.entity_id = r)""",
+    body="""SELECT s1, r, round(coalesce(sum(idf) FILTER (list_contains(ta, token) AND list_contains(tb, token)), 0), 6) AS shared_sum, round(coalesce(max(idf) FILTER (list_contains(ta, token) AND list_contains(tb, token)), 0), 6) AS shared_max,
+round(coalesce(sum(idf) FILTER (NOT list_contains(tb, token)), 0), 6) AS unshared_sum_a, round(coalesce(sum(idf) FILTER (NOT list_contains(ta, token)), 0), 6) AS unshared_sum_b,
+round(coalesce(max(idf) FILTER (NOT (list_contains(ta, token) AND list_contains(tb, token))), 0), 6) AS unshared_max FROM sides JOIN dfq USING (token) GROUP BY s1, r"""))
+def idf_shared_unshared(spark, sf_dir):
+    s1, pool = sides(spark, sf_dir)
+    df, n = feat.document_frequency(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+    pairs = feat.attach(overlap_pairs(spark, sf_dir).select("s1", "r"), *(feat.with_idf(x.select("entity_id", "name_core_tokens", "addr_tokens"), df, n) for x in (s1, pool)))
+    found = feat.shared_unshared(F.col("a_name_core_tokens"), F.col("b_name_core_tokens"), F.col("a_idf"), F.col("b_idf"))
+    return pairs.select("s1", "r", *(F.round(x, 6).alias(k) for k, x in found.items()))
+
+
+def named_pairs(spark, sf_dir) -> DataFrame:
+    s1, pool = sides(spark, sf_dir)
+    columns = ("entity_id", "name_core", "name_core_tokens", "addr_norm")
+    return feat.attach(overlap_pairs(spark, sf_dir).select("s1", "r"), s1.select(*columns), pool.select(*columns))
+
+
+SIM = o.query(o.RECORDS, o.PAIRS, "x AS (SELECT s1, r, s.name_core AS a, p.name_core AS b, s.name_core_tokens AS ta, p.name_core_tokens AS tb FROM pairs JOIN s ON s.entity_id = s1 JOIN p ON p.entity_id = r)", body="SELECT s1, r, {} FROM x")
+
+
+@query(SIM.replace("{}", "round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS sim"))
+def levenshtein_sim(spark, sf_dir):
+    return named_pairs(spark, sf_dir).select("s1", "r", F.round(levenshtein(F.col("a_name_core"), F.col("b_name_core")), 6).alias("sim"))
+
+
+@query(SIM.replace("{}", "round(jaro_winkler_similarity(a, b), 6) AS jw, round(jaro_similarity(a, b), 6) AS jaro, round(1.0 - damerau_levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS damerau"))
+def jaro_winkler_damerau_sim(spark, sf_dir):
+    m = measures({"jw": ("jaro_winkler", "a_name_core", "b_name_core"), "jaro": ("jaro", "a_name_core", "b_name_core"), "damerau": ("damerau_similarity", "a_name_core", "b_name_core")})
+    return rounded(named_pairs(spark, sf_dir).select("s1", "r", m.alias("m")).select("s1", "r", "m.*"), "jw", "jaro", "damerau")
+
+
+@query(SIM.replace("{}", "round(len(list_intersect(list_distinct(ta), list_distinct(tb)))::DOUBLE / len(list_distinct(list_concat(ta, tb))), 6) AS jaccard, (len(list_distinct(list_concat(ta, tb))) - len(list_intersect(list_distinct(ta), list_distinct(tb))))::BIGINT AS unshared"))
+def token_jaccard(spark, sf_dir):
+    a, b = F.col("a_name_core_tokens"), F.col("b_name_core_tokens")
+    both, every = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return named_pairs(spark, sf_dir).select("s1", "r", F.round(both / every, 6).alias("jaccard"), (every - both).cast("long").alias("unshared"))
+
+
+def full_features(spark, sf_dir) -> DataFrame:
+    s1, pool = sides(spark, sf_dir)
+    df, n = feat.document_frequency(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+    pruned = cand.prune(four_channels(spark, sf_dir), budget=20)
+    pruned = pruned.withColumn("cand_count", F.count("*").over(Window.partitionBy("s1"))).select("s1", "r", "mask", "rank", "cand_count")
+    return feat.pair_features(feat.attach(pruned, feat.with_idf(s1, df, n), feat.with_idf(pool, df, n)))
+
+
+@query()
+def pair_features_full(spark, sf_dir):
+    return full_features(spark, sf_dir)
+
+
+@query()
+def pair_features_light(spark, sf_dir):
+    return feat.light_features(full_features(spark, sf_dir))
+
+
+# The columnar scheme.
+
+
+def columnar_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rec = normalise(raw_records(spark, sf_dir), ascii_only=True).withColumn("block", F.col("country_norm"))
+    return rec.where("source = 'S1'"), rec.where("source <> 'S1'")
+
+
+@query()
+def columnar_normalise(spark, sf_dir):
+    return normalise(raw_records(spark, sf_dir), ascii_only=True).select("entity_id", "name_n", "name_core", "name_phon", "legal", "addr_n", "house", "nums", "country_norm")
+
+
+@query()
+def rare_key_candidates(spark, sf_dir):
+    return rounded(cand.rare_key_candidates(*columnar_sides(spark, sf_dir)), "name_score", "addr_score", "joint_score").drop("block")
+
+
+@query()
+def pair_features_columnar(spark, sf_dir):
+    s1, pool = columnar_sides(spark, sf_dir)
+    return feat.columnar_features(feat.attach(cand.rare_key_candidates(s1, pool).drop("block"), s1, pool))
+
+
+@query()
+def baseline_exact_greedy(spark, sf_dir):
+    return rounded(cand.exact_greedy(*sides(spark, sf_dir)), "score")
+
+
+@query()
+def light_index_candidates(spark, sf_dir):
+    return longs(cand.count_of_keys(*sides(spark, sf_dir)), "rank", "score").drop("block")
+
+
+# Group context and decisions.
+
+CONTEXT = """c1 AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) - 1 AS rk, max(p) OVER (PARTITION BY s1) AS best, sum((p >= 0.5)::INT) OVER (PARTITION BY s1) AS above, sum(p) OVER (PARTITION BY s1) AS total,
+  row_number() OVER (PARTITION BY r ORDER BY p DESC, s1) - 1 AS rev, max(p) OVER (PARTITION BY r) AS top FROM (SELECT s1, r, round(p, 9) AS p FROM pairs)),
+c2 AS (SELECT *, coalesce(max(CASE WHEN rk = 1 THEN p END) OVER (PARTITION BY s1), 0) AS second, -sum(p / total * ln(p / total + 1e-12)) OVER (PARTITION BY s1) AS entropy, coalesce(max(CASE WHEN rev = 1 THEN p END) OVER (PARTITION BY r), 0) AS back FROM c1)"""
+
+
+def scored_pairs(spark, sf_dir) -> DataFrame:
+    return overlap_pairs(spark, sf_dir).select("s1", "r", F.round("p", 9).alias("p"))
+
+
+@query(o.query(o.RECORDS, o.PAIRS, CONTEXT, body="""SELECT s1, r, rk AS p_rank_in_s1, round(best - p, 6) AS p_gap_to_best, round(second, 6) AS p_second_in_s1, above::BIGINT AS n_above_half_in_s1, round(total, 6) AS p_sum_in_s1,
+round(entropy, 5) AS p_entropy_in_s1, rev AS rev_rank, round(CASE WHEN rev = 0 THEN p - back ELSE p - top END, 6) AS rev_gap FROM c2"""))
+def group_context(spark, sf_dir):
+    g = feat.group_context(scored_pairs(spark, sf_dir))
+    g = rounded(longs(g, "p_rank_in_s1", "n_above_half_in_s1", "rev_rank"), "p_gap_to_best", "p_second_in_s1", "p_sum_in_s1", "rev_gap").withColumn("p_entropy_in_s1", F.round("p_entropy_in_s1", 5))
+    return g.select("s1", "r", "p_rank_in_s1", "p_gap_to_best", "p_second_in_s1", "n_above_half_in_s1", "p_sum_in_s1", "p_entropy_in_s1", "rev_rank", "rev_gap")
+
+
+@query()
+def group_context_columnar(spark, sf_dir):
+    return feat.columnar_context(scored_pairs(spark, sf_dir), "p")
+
+
+EXCL = "ex AS (SELECT s1, r, p, row_number() OVER (PARTITION BY r ORDER BY p DESC, s1) AS n, max(p) OVER (PARTITION BY r) AS best FROM (SELECT s1, r, round(p, 9) AS p FROM pairs))"
+
+
+@query(o.query(o.RECORDS, o.PAIRS, EXCL, body="SELECT s1, r, round(CASE WHEN n = 1 THEN p WHEN best - p >= 0.2 THEN 0 ELSE p * 0.5 END, 6) AS p FROM ex"))
+def exclusivity_soft(spark, sf_dir):
+    return rounded(decide.exclusivity(scored_pairs(spark, sf_dir)), "p")
+
+
+@query(o.query(o.RECORDS, o.PAIRS, EXCL, body="SELECT s1, r, round(CASE WHEN n = 1 THEN p ELSE 0 END, 6) AS p FROM ex"))
+def exclusivity_hard(spark, sf_dir):
+    return rounded(decide.exclusivity(scored_pairs(spark, sf_dir), hard=True), "p")
+
+
+RK = "rkd AS (SELECT s1, r, p, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) AS rk FROM (SELECT s1, r, round(p, 9) AS p FROM pairs))"
+
+
+@query(o.query(o.RECORDS, o.PAIRS, RK, body="SELECT s1, r, rule FROM (SELECT s1, r, 'global' AS rule FROM rkd WHERE p >= 0.5 UNION ALL SELECT s1, r, 'top1' FROM rkd WHERE rk = 1 AND p >= 0.5)"))
+def global_and_top1_threshold(spark, sf_dir):
+    p = scored_pairs(spark, sf_dir)
+    rows = lambda df, rule: df.select("s1", "r", F.lit(rule).alias("rule"))
+    return rows(decide.global_threshold(p), "global").unionByName(rows(decide.top1_threshold(p), "top1"))
+
+
+@query(o.query(o.RECORDS, o.PAIRS, RK, body="SELECT s1, r FROM (SELECT s1, r, min((p >= CASE WHEN rk = 1 THEN 0.3 ELSE 0.4 END)::INT) OVER (PARTITION BY s1 ORDER BY rk) AS ok FROM rkd) WHERE ok = 1"))
+def two_threshold(spark, sf_dir):
+    return decide.two_thresholds(scored_pairs(spark, sf_dir), first=0.3, extra=0.4).select("s1", "r")
+
+
+@query(o.query(o.RECORDS, o.PAIRS, RK, """mf AS (SELECT s1, r, rk, sum(p) OVER (PARTITION BY s1 ORDER BY rk) AS cum, sum(p) OVER (PARTITION BY s1) AS total, exp(sum(ln(greatest(1 - p, 1e-300))) OVER (PARTITION BY s1)) AS none FROM rkd WHERE rk <= 20),
+mv AS (SELECT *, round(5 * cum / (4 * rk + total), 12) AS v FROM mf), mb AS (SELECT *, max(v) OVER (PARTITION BY s1) AS best FROM mv),
+mk AS (SELECT *, min(CASE WHEN v = best THEN rk END) OVER (PARTITION BY s1) AS k FROM mb)""", body="SELECT s1, r FROM mk WHERE rk <= k AND none < best"))
+def expected_f_meanfield(spark, sf_dir):
+    return decide.expected_f05_meanfield(scored_pairs(spark, sf_dir)).select("s1", "r")
+
+
+@query()
+def expected_f_exact(spark, sf_dir):
+    return decide.expected_f05(scored_pairs(spark, sf_dir)).select("s1", "r")
+
+
+@query("WITH RECURSIVE " + ",\n".join((o.RECORDS, o.PAIRS, RK)) + """,
+tail(s1, rk, pmf) AS (SELECT DISTINCT s1, 0::BIGINT, [1.0::DOUBLE] FROM rkd UNION ALL
+  SELECT t.s1, r.rk, list_transform(list_zip(list_append(list_transform(t.pmf, lambda x: x * (1 - r.p)), 0.0), list_prepend(0.0, list_transform(t.pmf, lambda x: x * r.p))), lambda z: z[1] + z[2]) FROM tail t JOIN rkd r ON r.s1 = t.s1 AND r.rk = t.rk + 1)
+SELECT s1, i::BIGINT - 1 AS k, round(pmf[i], 6) AS prob FROM (SELECT s1, pmf, unnest(range(1, len(pmf) + 1)) AS i FROM (SELECT *, max(rk) OVER (PARTITION BY s1) AS last FROM tail) WHERE rk = last)""")
+def match_count_distribution(spark, sf_dir):
+    ps = scored_pairs(spark, sf_dir).groupBy("s1").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("p"), "r")), asc=False), lambda x: x["p"]).alias("ps"))
+    return ps.select("s1", F.posexplode(decide.count_distribution(F.col("ps"))).alias("k", "prob")).select("s1", F.col("k").cast("long").alias("k"), F.round("prob", 6).alias("prob"))
+
+
+# Evaluation.
+
+CHOSEN = "chosen AS (SELECT s1, r FROM pairs WHERE round(p, 9) >= 0.5)"
+
+
+def chosen(spark, sf_dir) -> DataFrame:
+    return decide.global_threshold(scored_pairs(spark, sf_dir)).select("s1", "r")
+
+
+def evaluated(spark, sf_dir) -> DataFrame:
+    return metrics.per_entity(entities(spark, sf_dir), chosen(spark, sf_dir), gold_links(spark, sf_dir))
+
+
+@query(o.query(o.VIEW, o.GOLD, body="SELECT s1, r FROM gold"))
+def gold_long(spark, sf_dir):
+    return gold_links(spark, sf_dir)
+
+
+EVAL = (o.RECORDS, o.PAIRS, o.GOLD, CHOSEN, o.scored("chosen"))
+
+
+@query(o.query(*EVAL, body="SELECT s1, p, g, tp, round(f05, 6) AS f05 FROM per"))
+def f05_entity(spark, sf_dir):
+    return rounded(evaluated(spark, sf_dir), "f05").select("s1", "p", "g", "tp", "f05")
+
+
+@query(o.query(*EVAL, body="SELECT round(avg(f05), 6) AS macro_f05, round(coalesce(avg(f05) FILTER (g = 0), 0), 6) AS singleton_accuracy, round(coalesce(avg(f05) FILTER (g > 0), 0), 6) AS non_singleton_f05, count(*) AS n, count(*) FILTER (g = 0) AS n_singletons FROM per"))
+def f05_macro(spark, sf_dir):
+    return rounded(metrics.macro(evaluated(spark, sf_dir)), "macro_f05", "singleton_accuracy", "non_singleton_f05")
+
+
+@query(o.query(*EVAL, body="""SELECT round(avg((p = 0)::INT) FILTER (g = 0), 6) AS singleton_accuracy, round(1 - avg((p = 0)::INT) FILTER (g = 0), 6) AS singleton_false_positive_rate,
+round(coalesce(avg((p = 0)::INT) FILTER (g > 0), 0), 6) AS non_singleton_abstention_rate, count(*) FILTER (g = 0) AS n_singletons, count(*) FILTER (g > 0) AS n_non_singletons FROM per"""))
+def singleton_metrics(spark, sf_dir):
+    return rounded(metrics.singletons(evaluated(spark, sf_dir)), "singleton_accuracy", "singleton_false_positive_rate", "non_singleton_abstention_rate")
+
+
+@query(o.query(o.RECORDS, o.PAIRS, o.GOLD, o.scored("pairs"), body="""SELECT round(sum(tp) / sum(g), 6) AS pair_completeness, round(1.0 - sum(p) / ((SELECT count(*) FROM s)::DOUBLE * (SELECT count(*) FROM p)), 6) AS reduction_ratio, round(avg((tp = g)::INT), 6) AS entity_recall,
+round(avg(CASE WHEN g = 0 THEN 1.0 ELSE 5.0 * tp / (4.0 * tp + g) END), 6) AS ceiling_f05, round(avg(p), 6) AS mean_candidates, round(quantile_cont(p, 0.5), 6) AS p50_candidates, round(quantile_cont(p, 0.99), 6) AS p99_candidates, max(p) AS max_candidates FROM per"""))
+def blocking_metrics(spark, sf_dir):
+    s1, pool = sides(spark, sf_dir)
+    q = metrics.blocking_quality(entities(spark, sf_dir), overlap_pairs(spark, sf_dir), gold_links(spark, sf_dir), s1.count(), pool.count())
+    return rounded(q, "pair_completeness", "reduction_ratio", "entity_recall", "ceiling_f05", "mean_candidates", "p50_candidates", "p99_candidates")
+
+
+@query(o.query(o.RECORDS, o.PAIRS, o.GOLD, o.ENTITIES, body="""SELECT country_norm, count(*) AS n_gold, count(pairs.r) AS n_found, round(count(pairs.r)::DOUBLE / count(*), 6) AS recall
+FROM gold JOIN ent ON gold.s1 = ent.s1 LEFT JOIN pairs ON pairs.s1 = gold.s1 AND pairs.r = gold.r WHERE gold.s1 IN (SELECT s1 FROM pairs) GROUP BY country_norm"""))
+def recall_by_country(spark, sf_dir):
+    return rounded(metrics.recall_by(entities(spark, sf_dir), overlap_pairs(spark, sf_dir), gold_links(spark, sf_dir), "country_norm"), "recall")
+
+
+@query("WITH " + HITS + ",\n" + o.GOLD + "\nSELECT channel, count(*) AS n_found, round(count(*)::DOUBLE / (SELECT count(*) FROM gold), 6) AS recall FROM found JOIN gold USING (s1, r) GROUP BY channel")
+def channel_recall(spark, sf_dir):
+    return rounded(metrics.channel_recall(ch_hits(spark, sf_dir), gold_links(spark, sf_dir)), "recall")
+
+
+@query(o.query(*EVAL, body="SELECT country_norm, count(*) AS n, sum(p - tp)::BIGINT AS false_positives, sum(g - tp)::BIGINT AS false_negatives, round(avg(f05), 6) AS macro_f05 FROM per GROUP BY country_norm"))
+def error_profile(spark, sf_dir):
+    return rounded(metrics.error_profile(chosen(spark, sf_dir), gold_links(spark, sf_dir), entities(spark, sf_dir), "country_norm"), "macro_f05")
+
+
+@query(o.query(o.RECORDS, o.PAIRS, o.GOLD, CHOSEN, """w AS (SELECT coalesce(c.s1, g.s1) AS s1, coalesce(c.r, g.r) AS r, c.s1 IS NOT NULL AS wrong FROM chosen c FULL JOIN gold g ON c.s1 = g.s1 AND c.r = g.r WHERE c.s1 IS NULL OR g.s1 IS NULL),
+wj AS (SELECT w.*, EXISTS (SELECT 1 FROM pairs q WHERE q.s1 = w.s1 AND q.r = w.r) AS cand, w.s1 IN (SELECT s1 FROM gold) AS linked, a.name_core AS ca, b.name_core AS cb, a.house_no AS ha, b.house_no AS hb, a.addr_norm AS aa, b.addr_norm AS ab FROM w LEFT JOIN rec a ON a.entity_id = w.s1 LEFT JOIN rec b ON b.entity_id = w.r)""",
+    body="""SELECT s1, r, 'blocking_miss' AS tag FROM wj WHERE NOT wrong AND NOT cand UNION ALL SELECT s1, r, 'decision_miss' FROM wj WHERE NOT wrong AND cand UNION ALL SELECT s1, r, 'false_positive' FROM wj WHERE wrong
+UNION ALL SELECT s1, r, 'singleton_violation' FROM wj WHERE wrong AND NOT linked UNION ALL SELECT s1, r, 'branch_confusion' FROM wj WHERE wrong AND ca <> '' AND ca = cb AND ha <> '' AND hb <> '' AND ha <> hb
+UNION ALL SELECT s1, r, 'colocation_confusion' FROM wj WHERE wrong AND aa <> '' AND aa = ab AND ca <> cb"""))
+def error_tags(spark, sf_dir):
+    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    return metrics.error_tags(chosen(spark, sf_dir), overlap_pairs(spark, sf_dir), gold_links(spark, sf_dir), rec, rec)
+
+
+@query(o.query(o.RECORDS, o.PAIRS, o.GOLD, o.ENTITIES, """gs AS (SELECT ent.s1, count(gold.r) AS g FROM ent LEFT JOIN gold USING (s1) GROUP BY ent.s1), grid AS (SELECT unnest(range(5, 96)) / 100.0 AS x0),
+lab AS (SELECT pairs.s1, round(p, 9) AS p, (gold.r IS NOT NULL)::INT AS y FROM pairs LEFT JOIN gold ON gold.s1 = pairs.s1 AND gold.r = pairs.r),
+res AS (SELECT x0, gs.s1, g, count(lab.p) FILTER (lab.p >= x0) AS k, coalesce(sum(y) FILTER (lab.p >= x0), 0) AS tp FROM gs CROSS JOIN grid LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC) AS rk FROM lab) WHERE rk <= 20) lab USING (s1) GROUP BY x0, gs.s1, g)""",
+    body="SELECT round(x0, 3)::DOUBLE AS x0, round(avg(CASE WHEN g = 0 THEN (k = 0)::INT ELSE 5.0 * tp / (4.0 * k + g) END), 6) AS macro_f05 FROM res GROUP BY x0"))
+def threshold_sweep(spark, sf_dir):
+    y = gold_links(spark, sf_dir).withColumn("y", F.lit(1))
+    pairs = scored_pairs(spark, sf_dir).join(y, ["s1", "r"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    sizes = entities(spark, sf_dir).join(y.groupBy(F.col("s1").alias("_s")).agg(F.count("*").alias("g")), F.col("s1") == F.col("_s"), "left").select("s1", F.coalesce("g", F.lit(0)).alias("g"))
+    return rounded(decide.sweep(pairs, sizes, "global", decide.grids()["global"]), "x0", "macro_f05")
+
+
+@query(o.query(o.RECORDS, o.GOLD, body="""SELECT (SELECT coalesce(max(n), 0) <= 1 FROM (SELECT count(*) AS n FROM gold GROUP BY r)) AS g1_exclusive, round(avg((trim(lower(a.country)) = trim(lower(b.country)))::INT), 6) AS same_country_rate, round(avg((b.postal <> '')::INT), 6) AS postal_rate,
+round((SELECT count(*) FILTER (n > 1)::DOUBLE / count(*) FROM (SELECT count(*) AS n FROM gold GROUP BY s1)), 6) AS multi_match_share, round((SELECT avg((entity_id NOT IN (SELECT s1 FROM gold))::INT) FROM s), 6) AS singleton_rate
+FROM gold JOIN rec a ON a.entity_id = gold.s1 JOIN rec b ON b.entity_id = gold.r"""))
+def decision_gates(spark, sf_dir):
+    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    g = checks.decision_gates(rec, rec, gold_links(spark, sf_dir), entities(spark, sf_dir))
+    return rounded(g, "same_country_rate", "postal_rate", "multi_match_share", "singleton_rate").select("g1_exclusive", "same_country_rate", "postal_rate", "multi_match_share", "singleton_rate")
+
+
+@query(o.query(o.VIEW, body="""SELECT count(*) AS rows, count(*) FILTER (trim(entity_id) = '') AS empty_ids, count(entity_id) - count(DISTINCT entity_id) AS repeated_ids, count(*) FILTER (NOT starts_with(entity_id, source || '-')) AS wrong_prefixes,
+count(*) FILTER (trim(business_name) = '') AS empty_names, count(*) FILTER (trim(business_address) = '') AS empty_addresses, count(*) FILTER (trim(country) = '') AS empty_countries, count(*) FILTER (regexp_matches(business_name || ' ' || business_address, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) AS control_characters FROM view_raw"""))
+def validate_records(spark, sf_dir):
+    return checks.record_report(raw_records(spark, sf_dir))
+
+
+# Calibration figures on labelled documents: a score from the lengths, which are whole numbers in both engines.
+LABELLED = "lb AS (SELECT toxic AS y, (n_chars % 1000) / 1000.0::DOUBLE AS p FROM documents JOIN labels USING (doc_id))"
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("toxic").alias("y"), ((F.col("n_chars") % 1000) / 1000.0).alias("p"))
+
+
+@query(o.query(LABELLED, body="SELECT least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM lb GROUP BY 1"))
+def ece_bins(spark, sf_dir):
+    return rounded(longs(metrics.calibration_bins(labelled(spark, sf_dir)), "bin"), "mean_p", "mean_y")
+
+
+@query(o.query(LABELLED, "bn AS (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS my FROM lb GROUP BY least(floor(p * 10), 9))", body="""SELECT round((SELECT sum(n * abs(mp - my)) / sum(n) FROM bn), 6) AS ece, round(avg((p - y) * (p - y)), 6) AS brier,
+round(avg(-(y * ln(greatest(1e-6, least(1 - 1e-6, p))) + (1 - y) * ln(1 - greatest(1e-6, least(1 - 1e-6, p))))), 6) AS log_loss FROM lb"""))
+def brier_logloss(spark, sf_dir):
+    df = labelled(spark, sf_dir)
+    e = metrics.ece(df).first().ece
+    return rounded(metrics.losses(df).withColumn("ece", F.lit(e)), "ece", "brier", "log_loss").select("ece", "brier", "log_loss")
+
+
+@query(o.query(LABELLED, "rnk AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM lb)", body="SELECT round((sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1)::DOUBLE * count(*) FILTER (y = 0)), 6) AS auc FROM rnk"))
+def auc_ranksum(spark, sf_dir):
+    return rounded(metrics.auc(labelled(spark, sf_dir)), "auc")
+
+
+@query()
+def bootstrap_difference(spark, sf_dir):
+    other = decide.two_thresholds(scored_pairs(spark, sf_dir), first=0.3, extra=0.4).select("s1", "r")
+    e, g = entities(spark, sf_dir), gold_links(spark, sf_dir)
+    found = metrics.bootstrap_difference(metrics.per_entity(e, chosen(spark, sf_dir), g), metrics.per_entity(e, other, g))
+    return spark.createDataFrame([(float(found["observed_mean_delta"]), float(found["ci_lower"]), float(found["ci_upper"]), float(found["p_value"]), bool(found["significant"]))], "observed_mean_delta double, ci_lower double, ci_upper double, p_value double, significant boolean")
+
+
+@query()
+def mined_abbreviations(spark, sf_dir):
+    s1, pool = sides(spark, sf_dir)
+    names = feat.attach(overlap_pairs(spark, sf_dir).select("s1", "r"), s1.select("entity_id", "name_core"), pool.select("entity_id", "name_core")).select("s1", "r", F.col("a_name_core").alias("a"), F.col("b_name_core").alias("b"))
+    g = gold_links(spark, sf_dir)
+    return feat.abbreviations(names.join(g, ["s1", "r"], "left_semi"), names.join(g, ["s1", "r"], "left_anti"), min_count=1)
