@@ -21,7 +21,7 @@ and nothing that grows with the vocabulary is collected.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,19 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, durable, words_of
+from .common import durable
 
-WORDS = re.compile("[^\x20\x09-\x0D]+")
 #: The token after a text's last word. It holds a blank, so no word equals it.
 END = " end"
-#: Lower case for A to Z alone.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FOLD = str.maketrans(UPPER, LOWER)
 
 
-def fold(text: Column) -> Column:
-    """A-Z to lower case, nothing else."""
-    return F.translate(text, UPPER, LOWER)
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words in UTF-8, A to Z in lower case: bytes know no other letters, and no other blanks than \\x09-\\x0D and space."""
+    return (text or "").encode().lower().split()
 
 
 def held_out(doc_id: str = "doc_id", remainder: int = 1) -> Column:
@@ -49,12 +45,12 @@ def held_out(doc_id: str = "doc_id", remainder: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == remainder, F.lit(False))
 
 
-def bucket_of(word: str, buckets: int) -> int:
+def bucket_of(word: bytes, buckets: int) -> int:
     """The class of a rare word: by its last letters, with the word's own punctuation told apart."""
-    body = word.rstrip(".,;:!?\"')")
+    body = word.rstrip(b".,;:!?\"')")
     h = 2166136261
     for c in body[-3:]:
-        h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
     return ((h >> 7) * 2 + (body != word)) % buckets
 
 
@@ -74,28 +70,55 @@ class Shape:
         return self.shortlist + self.buckets
 
 
+#: A lexicon's value is class * NO_INDEX + index into the head's counts; NO_INDEX - 1 stands for none.
+NO_INDEX = 1 << 24
+
+
 class Lexicon(dict):
-    """word -> (class, index into the head's counts or -1); rare words are remembered up to a bound."""
+    """word -> class and index in one number; rare words are remembered up to a bound."""
 
-    def __init__(self, head: dict[str, tuple[int, int]], buckets: tuple[int, int], most: int = 200_000):
+    def __init__(self, head: dict[bytes, int], shape: Shape, most: int = 200_000):
         super().__init__(head)
-        self.head, self.buckets, self.most = head, buckets, most + len(head)
+        self.head, self.shape, self.most = head, shape, most + len(head)
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
             self.update(self.head)
-        self[word] = found = (self.buckets[0] + bucket_of(word, self.buckets[1]), -1)
+        self[word] = found = (self.shape.shortlist + bucket_of(word, self.shape.buckets)) * NO_INDEX + NO_INDEX - 1
         return found
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all documents: tokens are folded words and one END per document."""
-    words = F.concat(words_of(fold(F.col("text"))), F.array(F.lit(END)))
-    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
+def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
+    """(word, c) over all documents: tokens are folded words and one END per document.
+
+    Each task counts its own words first and passes them on whenever it knows
+    `flush` different ones, so its memory is bounded and frequent words hardly travel.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
-def nce_pass(params: dict[str, np.ndarray], log_noise: np.ndarray, noise_p: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict[str, np.ndarray], noise: int = 24, rate: float = 0.08) -> None:
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            for text in b.column(0):
+                seen.update(words_of(text.as_py()))
+                seen[END.encode()] += 1
+                if len(seen) >= flush:
+                    yield rows()
+        if seen:
+            yield rows()
+
+    return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def nce_pass(params: dict[str, np.ndarray], log_noise: np.ndarray, noise_p: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict[str, np.ndarray], noise: int = 24, rate: float = 0.1) -> None:
     """One AdaGrad step of noise-contrastive estimation on a batch of contexts (u, v) and classes w.
 
     The batch shares `noise` draws from the unigram distribution; each stands for
@@ -116,7 +139,7 @@ def nce_pass(params: dict[str, np.ndarray], log_noise: np.ndarray, noise_p: np.n
     np.add.at(grads["bias"], k, gf.sum(0))
     np.add.at(grads["q"], k, gf.T @ h)
     for name, at, rows in (("q", w, gt[:, None] * h), ("r", u, gh * a), ("r", v, gh * b)):
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16), kind="stable")
         sorted_at = at[order]
         begin = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
         grads[name][sorted_at[begin]] += np.add.reduceat(rows[order], begin, axis=0)
@@ -156,18 +179,13 @@ class LanguageModel:
     counts: DataFrame
     total: int
     distinct: int
-    head: dict[str, tuple[int, int]]
+    head: dict[bytes, int]
     head_counts: np.ndarray
     log_mass: np.ndarray
     params: dict[str, np.ndarray]
     log_z: np.ndarray
 
 
-def class_ids(text: str | None, lexicon: Lexicon, shape: Shape) -> tuple[list[str], list[tuple[int, int]]]:
-    words = WORDS.findall((text or "").translate(FOLD))
-    return words, [lexicon[w] for w in words]
-
-
 def fit(docs: DataFrame, shape: Shape = Shape(), batch: int = 1024) -> LanguageModel:
     """Count all tokens of `docs` (text) and train the log-bilinear model on all of them.
 
@@ -176,22 +194,30 @@ def fit(docs: DataFrame, shape: Shape = Shape(), batch: int = 1024) -> LanguageM
     """
     counts = durable(word_counts(docs.select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rows = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(shape.head).collect()
+    # The head: all words counted `least` times or more, the least number (of a fixed scale) that leaves at most shape.head.
+    scale = F.floor(F.log2(F.col("c").cast("double")) * 16 + 1e-9).cast("int")
+    steps = {r.s: r.n for r in counts.where(F.col("word") != END).groupBy(scale.alias("s")).agg(F.count("*").alias("n")).collect()}
+    least, held = max(steps, default=0) + 1, 0
+    while least - 1 >= min(steps, default=1) and held + steps.get(least - 1, 0) <= shape.head:
+        least -= 1
+        held += steps.get(least, 0)
+    common = (F.col("word") != END) & (scale >= least)
+    rows = sorted(((r.word.encode(), r.c) for r in counts.where(common).collect()), key=lambda x: (-x[1], x[0]))
     end_count = next((r.c for r in counts.where(F.col("word") == END).collect()), 0)
-    head = {r.word: (i if i < shape.shortlist else shape.shortlist + bucket_of(r.word, shape.buckets), i) for i, r in enumerate(rows)}
-    head_counts = np.array([r.c for r in rows] + [0], float)
+    classes = [i if i < shape.shortlist else shape.shortlist + bucket_of(w, shape.buckets) for i, (w, _) in enumerate(rows)]
+    head = {w: k * NO_INDEX + i for i, ((w, _), k) in enumerate(zip(rows, classes))}
+    head_counts = np.array([c for _, c in rows], float)
     # Mass (c + 0.5) of each class: the head's here, the others' summed by Spark per class. Each bucket has an
     # unknown word besides, c = 0, so its words' shares and the unknown one's sum to 1.
     mass = np.zeros(shape.classes)
     mass[shape.shortlist : shape.end] = 0.5
-    np.add.at(mass, [k for k, _ in head.values()], head_counts[:-1] + 0.5)
-    floor = rows[-1] if len(rows) == shape.head else None
-    if floor is not None:
-        tail = counts.where(F.col("word") != END).where((F.col("c") < floor.c) | ((F.col("c") == floor.c) & (F.col("word") > floor.word)))
+    np.add.at(mass, classes, head_counts + 0.5)
+    if held < distinct - (end_count > 0):
+        tail = counts.where((F.col("word") != END) & ~common)
 
         def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                k = np.array([bucket_of(w, shape.buckets) for w in b.column(0).to_pylist()], np.int64)
+                k = np.array([bucket_of(w.encode(), shape.buckets) for w in b.column(0).to_pylist()], np.int64)
                 m = np.bincount(k, b.column(1).to_numpy() + 0.5, shape.buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.buckets)), pa.array(m)], ["k", "m"])
 
@@ -203,7 +229,7 @@ def fit(docs: DataFrame, shape: Shape = Shape(), batch: int = 1024) -> LanguageM
     return LanguageModel(shape, counts, total, distinct, head, head_counts, np.log(np.maximum(mass, 0.5)), params, normalisers(params))
 
 
-def train(docs: DataFrame, shape: Shape, head: dict[str, tuple[int, int]], log_unigram: np.ndarray, batch: int) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, shape: Shape, head: dict[bytes, int], log_unigram: np.ndarray, batch: int) -> dict[str, np.ndarray]:
     """The average, by token count, of the parameters that tasks learn from all of their documents."""
     first = start(shape, log_unigram)
     names, sizes = list(first), {k: x.shape for k, x in first.items()}
@@ -214,31 +240,29 @@ def train(docs: DataFrame, shape: Shape, head: dict[str, tuple[int, int]], log_u
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = {k: x.copy() for k, x in first.items()}
         state = {k: np.full(x.shape, 1e-6, np.float32) for k, x in first.items()}
-        lexicon, rng, seen = Lexicon(shared.value, (shape.shortlist, shape.buckets)), np.random.default_rng(11), 0
+        lexicon, rng, seen = Lexicon(shared.value, shape), np.random.default_rng(11), 0
 
-        def step(ids: list[int], marks: list[int]) -> None:
-            x = np.array(ids, np.int64)
-            at = np.array(marks, np.int64)  # places of tokens to predict: two before each belong to its text
+        def step(texts: list[np.ndarray]) -> None:
+            """Train on texts, each with two END before it and one after it."""
+            x = np.concatenate(texts)
+            at = np.concatenate([np.arange(2, len(t)) + n for t, n in zip(texts, np.cumsum([0, *map(len, texts[:-1])]))])
             at = at[rng.permutation(len(at))]
             for s in range(0, len(at), batch):
                 p = at[s : s + batch]
                 nce_pass(params, noise, noise_p, x[p - 2], x[p - 1], x[p], rng, state)
 
-        ids: list[int] = []
-        marks: list[int] = []
+        texts, size = [], 0
         for b in batches:
             for text in b.column(0):
-                _, found = class_ids(text.as_py(), lexicon, shape)
-                ids += (shape.end, shape.end)
-                marks += range(len(ids), len(ids) + len(found) + 1)
-                ids += [k for k, _ in found]
-                ids.append(shape.end)
-                seen += len(found) + 1
-                if len(ids) > 200_000:
-                    step(ids, marks)
-                    ids, marks = [], []
-        if marks:
-            step(ids, marks)
+                ids = lexicon.of(words_of(text.as_py())) // NO_INDEX
+                texts.append(np.concatenate([[shape.end, shape.end], ids, [shape.end]]))
+                size += len(ids) + 1
+                if size > 200_000:
+                    step(texts)
+                    seen, texts, size = seen + size, [], 0
+        if texts:
+            step(texts)
+            seen += size
         if seen:
             flat = np.concatenate([params[k].ravel() for k in names]).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, float(seen)))], ["i", "x"])
@@ -275,40 +299,40 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id") -> Data
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
-        lexicon = Lexicon(head.value, (shape.shortlist, shape.buckets))
+        lexicon = Lexicon(head.value, shape)
         p, z = params.value, log_z.value
-        log_c = np.append(np.log(c0[:-1] + 0.5), 0.0)  # the last, index -1, is for words of the join
+        log_c = np.append(np.log(c0 + 0.5), 0.0)  # the last is for words of the join
+        left, right = p["r"] * p["a"], p["r"] * p["b"]
+        end_part = float(np.log(end_c + 0.5))
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("row", "word", "id", "tf", "n", "known", "base", "score")}
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                words, found = class_ids(text.as_py(), lexicon, shape)
+                words = words_of(text.as_py())
+                found = lexicon.of(words)
                 row, n = (part << 40) + n, n + 1
-                x = np.array([shape.end, shape.end, *(k for k, _ in found), shape.end], np.int64)
-                at = np.array([j for _, j in found], np.int64)
+                at = np.minimum(found % NO_INDEX, len(c0))
+                x = np.concatenate([[shape.end, shape.end], found // NO_INDEX, [shape.end]])
                 u, v, w = x[:-2], x[1:-1], x[2:]
-                s = np.einsum("ij,ij->i", p["r"][u] * p["a"] + p["r"][v] * p["b"], p["q"][w]) + p["bias"][w] - z[u, v]
+                s = np.einsum("ij,ij->i", left[u] + right[v], p["q"][w]) + p["bias"][w] - z[u, v]
                 word_part = float(log_c[at].sum())
-                end_part = float(np.log(end_c + 0.5))
                 out["row"].append(row)
-                out["word"].append(f" {row}")
+                out["word"].append(b" %d" % row)
                 out["id"].append(i)
                 out["tf"].append(0)
                 out["n"].append(len(w))
-                out["known"].append(int((at >= 0).sum()) + (end_c > 0))
+                rare = np.flatnonzero(at == len(c0))
+                out["known"].append(len(at) - len(rare) + (end_c > 0))
                 out["base"].append(word_part + end_part - len(w) * denominator)
                 out["score"].append(float(s.sum(dtype=np.float64)) + word_part - float(log_mass[w[:-1]].sum()))
-                rare: dict[str, int] = {}
-                for word, (_, j) in zip(words, found):
-                    if j < 0:
-                        rare[word] = rare.get(word, 0) + 1
-                k = len(rare)
+                tf = Counter([words[j] for j in rare])
+                k = len(tf)
                 out["row"] += [row] * k
-                out["word"] += rare.keys()
+                out["word"] += tf.keys()
                 out["id"] += [None] * k
-                out["tf"] += rare.values()
+                out["tf"] += tf.values()
                 for name in ("n", "known", "base", "score"):
                     out[name] += [0] * k
-            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["word"], pa.string()), pa.array(out["id"], b.column(0).type), pa.array(out["tf"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["word"], pa.binary()).cast(pa.string()), pa.array(out["id"], b.column(0).type), pa.array(out["tf"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())], list(out))
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, "text").mapInArrow(local, f"row long, word string, id {kind}, tf long, n long, known long, base double, score double")
