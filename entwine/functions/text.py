@@ -8,7 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from .unicode import strip_accents
 
-EMPTY = F.lit("")
 #: What is trimmed from the ends of names and addresses.
 EDGES = " ,.-/"
 
@@ -128,12 +127,12 @@ def phonetic_key(t: Column) -> Column:
 
 def acronym(toks: Column) -> Column:
     """Initials, of two tokens or more."""
-    return F.when(F.size(toks) < 2, EMPTY).otherwise(F.array_join(F.transform(toks, lambda t: F.substring(t, 1, 1)), ""))
+    return F.when(F.size(toks) < 2, F.lit("")).otherwise(F.array_join(F.transform(toks, lambda t: F.substring(t, 1, 1)), ""))
 
 
 def legal_form(x: Column) -> Column:
     """The canonical form of the first pattern that matches, or empty."""
-    out = EMPTY
+    out = F.lit("")
     for pattern, name in reversed(LEGAL_FORMS):
         out = F.when(x.rlike(pattern), F.lit(name)).otherwise(out)
     return out
@@ -200,7 +199,7 @@ def unit_number(x: Column) -> Column:
 def postal_code(x: Column) -> Column:
     """ZIP+4 without its end, else the last number of five or six digits, else the last of four."""
     last = lambda p: F.try_element_at(F.regexp_extract_all(x, F.lit(p), F.lit(0)), F.lit(-1))
-    return F.coalesce(F.nullif(F.regexp_extract(x, r"\b(\d{5})-\d{4}\b", 1), EMPTY), last(r"\b\d{5,6}\b"), last(r"\b\d{4}\b"), EMPTY)
+    return F.coalesce(F.nullif(F.regexp_extract(x, r"\b(\d{5})-\d{4}\b", 1), F.lit("")), last(r"\b\d{5,6}\b"), last(r"\b\d{4}\b"), F.lit(""))
 
 
 def common_prefix_length(a: Column, b: Column, most: int = 6) -> Column:
@@ -226,7 +225,7 @@ def address_tail(x: Column) -> Column:
     """The last two segments between commas."""
     parts = F.filter(F.transform(F.split(x, ","), lambda s: F.trim(s)), lambda s: s != "")
     n = F.size(parts)
-    tail = F.when(n == 0, EMPTY).otherwise(F.array_join(F.slice(parts, F.greatest(n - 1, F.lit(1)), F.lit(2)), " "))
+    tail = F.when(n == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, F.greatest(n - 1, F.lit(1)), F.lit(2)), " "))
     return F.trim(F.regexp_replace(tail, "[^a-z0-9]+", " "))
 
 

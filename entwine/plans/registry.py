@@ -315,7 +315,7 @@ def scored_pairs(spark, sf_dir) -> DataFrame:
 
 
 @query(o.query(o.RECORDS, o.PAIRS, CONTEXT, body="""SELECT s1, r, rk AS p_rank_in_s1, round(best - p, 6) AS p_gap_to_best, round(second, 6) AS p_second_in_s1, above::BIGINT AS n_above_half_in_s1, round(total, 6) AS p_sum_in_s1,
-round(entropy, 5) AS p_entropy_in_s1, rev AS rev_rank, round(CASE WHEN rev = 0 THEN p - back ELSE p - top END, 6) AS rev_gap FROM c2"""))
+round(entropy, 5) + 0.0 AS p_entropy_in_s1, rev AS rev_rank, round(CASE WHEN rev = 0 THEN p - back ELSE p - top END, 6) AS rev_gap FROM c2"""))
 def group_context(spark, sf_dir):
     g = feat.group_context(scored_pairs(spark, sf_dir))
     g = rounded(longs(g, "p_rank_in_s1", "n_above_half_in_s1", "rev_rank"), "p_gap_to_best", "p_second_in_s1", "p_sum_in_s1", "rev_gap").withColumn("p_entropy_in_s1", F.round("p_entropy_in_s1", 5))

@@ -23,18 +23,23 @@ class HeaderError(ValueError):
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, malformed: str = "keep") -> DataFrame:
     """A tab-separated file as strings, in file order by the column `row_ord`.
 
-    `columns` is the header that must be there, to the letter. Rows with fewer
+    `columns` is the header that must be there, to the letter (in a folder of part
+    files, in one of them). Rows with fewer
     fields are filled up (`keep`), left out (`drop`) or end the read (`fail`). A
     byte-order mark is ignored. row_ord rises with the place in the file; it
     comes from the place itself, so a lost task gives the same numbers again.
     """
-    first = spark.read.text(path).limit(1).collect()
-    header = tuple(first[0][0].lstrip("﻿").rstrip("\r").split("\t")) if first else ()
-    if columns is not None and header != tuple(columns):
-        raise HeaderError(f"{path}: expected {tuple(columns)}, found {header}")
+    bare = F.regexp_replace("value", "^﻿|\r$", "")
+    if columns is None:
+        first = spark.read.text(path).limit(1).select(bare.alias("line")).collect()
+        header = tuple(first[0].line.split("\t")) if first else ()
+    else:
+        header = tuple(columns)
+        if not spark.read.text(path).where(bare == "\t".join(header)).limit(1).collect():
+            raise HeaderError(f"{path}: no header {header}, but {[r[0] for r in spark.read.text(path).limit(1).collect()]}")
     parts = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row_ord")).where("value <> ''")
-    rows = lines.select(parts.alias("f"), "row_ord", F.regexp_replace("value", "^﻿|\r$", "").alias("line")).where(F.col("line") != "\t".join(header)).drop("line")
+    rows = lines.select(parts.alias("f"), "row_ord", bare.alias("line")).where(F.col("line") != "\t".join(header)).drop("line")
     if malformed == "drop":
         rows = rows.where(F.size("f") >= len(header))
     elif malformed == "fail":
