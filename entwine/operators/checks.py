@@ -59,7 +59,7 @@ def check_list_file(spark: SparkSession, path: str, header: tuple[str, str], req
     first = [] if found else lines.limit(1).collect()
     findings = [spark.createDataFrame([] if found else [("bad_header", first[0][0] if first else "")], "finding string, example string")]
     rows = lines.where(F.col("value") != head).withColumn("f", F.split("value", "\t", -1))
-    good = rows.where(F.size("f") == 2).select(F.col("f")[0].alias("s1"), F.filter(F.split(F.col("f")[1], ","), lambda x: x != "").alias("ids"))
+    good = rows.where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("s1"), F.filter(F.split(F.get("f", F.lit(1)), ","), lambda x: x != "").alias("ids"))
     say = lambda df, name, col: df.select(F.lit(name).alias("finding"), F.col(col).cast("string").alias("example"))
     findings.append(say(rows.where(F.size("f") != 2), "malformed_row", "value"))
     findings.append(say(good.groupBy("s1").count().where("count > 1"), "repeated_row", "s1"))
