@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embedding_dedup, html_main, language_model, mixing, ngram_join, quality, sharding, toxicity
+from . import bpe, chat, embedding_dedup, html_main, language_model, mixing, ngram_join, oracle, quality, sharding, toxicity
 from .common import table
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": oracle.EMBEDDINGS, "op3_quality_rules": oracle.quality(), "op5_ngram_jaccard": oracle.JACCARD, "op9_chat_format": oracle.CHATS}
