@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as t
+from ..operators import canonical as c
 from ..operators.channels import ADDRESS_STOP_WORDS
 
 
@@ -221,5 +222,52 @@ per0 AS (SELECT ent.s1, country_norm, coalesce(sum(p), 0)::BIGINT AS p, coalesce
 per AS (SELECT *, CASE WHEN g = 0 THEN (p = 0)::INT::DOUBLE ELSE 5.0 * tp / (4.0 * p + g) END AS f05 FROM per0)"""
 
 
+def phonetic_key(w: str) -> str:
+    x = f"CASE WHEN starts_with({w}, 'yu') THEN {w}[2:] ELSE {w} END"
+    for a, b in t.PHONETIC_STEPS:
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"CASE WHEN regexp_full_match({w}, '[a-z]+') THEN {doubles(f'{{k}}[1] || regexp_replace({{k}}[2:], {quote(chr(91) + 'aeiou' + chr(93))}, {quote(str())}, {quote(chr(103))})'.replace('{k}', f'({x})'))} ELSE {w} END"
+
+
+def columnar() -> str:
+    """The CTE `cn` of records normalised by the columnar scheme, from plain ASCII text."""
+    plain = lambda x: f"trim(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    for_initials = lambda x: f"replace(regexp_replace(regexp_replace(' ' || replace({x}, ' ', '  ') || ' ', ' ([a-z]) ', ' \x01\\1\x02 ', 'g'), '\x02  \x01', '', 'g'), '  ', ' ')".replace("\x01", chr(1)).replace("\x02", chr(2))
+    joined = lambda x: f"trim(replace(replace({for_initials(plain(x))}, '{chr(1)}', ''), '{chr(2)}', ''))"
+    places = {name: code for code, name in c.US_STATES.items()} | c.INDIAN_PLACES
+    longest = "|".join(sorted(places, key=lambda p: (-len(p), p)))
+    split = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+    legal = c.LEGAL_WORDS
+    return f"""{VIEW},
+n1 AS (SELECT entity_id, source, row_ord, {split(joined('business_name'))} AS tk, {split(joined('business_address'))} AS ad, {joined('country')} AS country_norm FROM view_raw),
+n2 AS (SELECT *, list_filter(tk, lambda w: w NOT IN {words_list(c.CORE_STOP_WORDS)}) AS pl,
+  string_split(regexp_replace(array_to_string(list_transform(ad, lambda w: regexp_replace(w, '^(\d+)(st|nd|rd|th)$', '\1')), ' '), '\b({longest})\b', '{chr(1)}\1{chr(1)}', 'g'), '{chr(1)}') AS seg FROM n1),
+n3 AS (SELECT *, list_filter(pl, lambda w: w NOT IN {words_list(legal)}) AS co0, {split(f"array_to_string(list_transform(seg, lambda s: {case('s', places.items(), 's')}), '')")} AS at0 FROM n2),
+n4 AS (SELECT *, CASE WHEN len(co0) > 0 THEN co0 WHEN len(pl) > 0 THEN pl ELSE tk END AS co, list_transform(at0, lambda w: {case('w', c.SHORT_STREETS.items(), 'w')}) AS at1 FROM n3),
+cn AS MATERIALIZED (SELECT entity_id, source, row_ord, country_norm, array_to_string(tk, ' ') AS name_n, array_to_string(co, ' ') AS name_core, array_to_string(list_transform(co, lambda w: {phonetic_key('w')}), ' ') AS name_phon,
+  array_to_string(list_sort(list_distinct(list_transform(list_filter(tk, lambda w: w IN {words_list(legal)}), lambda w: {case('w', legal.items(), 'w')}))), ' ') AS legal,
+  array_to_string(at1, ' ') AS addr_n, coalesce(list_filter(at1, lambda w: regexp_matches(w, '^[0-9]'))[1], '') AS house,
+  array_to_string(list_filter(list_filter(at1, lambda w: regexp_matches(w, '[0-9]')), lambda w, i: list_position(list_filter(at1, lambda v: regexp_matches(v, '[0-9]')), w) = i), ' ') AS nums FROM n4)"""
+
+
+def rare_keys() -> str:
+    """CTEs up to `rk` (s1, r, channel, score, rank) of the rare-key channels on `cn`."""
+    split = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+    pairs = lambda m, x: f"list_transform(range(1, len({x})), lambda i: '{m}' || {x}[i] || '_' || {x}[i + 1])"
+    names = f"list_concat(list_concat(list_transform(list_filter(nt, lambda w: length(w) >= 2 OR regexp_full_match(w, '[0-9]')), lambda w: 'n' || w), {pairs('b', 'nt')}), list_concat(list_transform(list_filter(pt, lambda w: length(w) >= 3), lambda w: 'p' || w), CASE WHEN name_core <> '' THEN ['w' || name_core] ELSE [] END))"
+    places = f"list_concat(list_transform(list_filter(dt, lambda w: length(w) >= 3 OR regexp_matches(w, '[0-9]')), lambda w: 'a' || w), {pairs('c', 'dt')})"
+    limits = {"name": 15, "addr": 25, "joint": 40}
+    ranked = " UNION ALL ".join(f"SELECT '{ch}' AS channel, entity_id AS id, source, row_ord, country_norm AS block, {k} AS ks FROM kt" for ch, k in (("name", "kn"), ("addr", "ka"), ("joint", "list_concat(kn, ka)")))
+    most = "CASE channel " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in limits.items()) + " END"
+    return f"""kt0 AS (SELECT *, {split('name_core')} AS nt, {split('name_phon')} AS pt, {split('addr_n')} AS dt FROM cn),
+kt AS (SELECT *, {names} AS kn, {places} AS ka FROM kt0),
+kx AS (SELECT channel, id, source, row_ord, block, key, min(nth) AS nth FROM (SELECT channel, id, source, row_ord, block, unnest(ks) AS key, generate_subscripts(ks, 1) AS nth FROM ({ranked})) GROUP BY channel, id, source, row_ord, block, key),
+np AS (SELECT country_norm AS block, count(*) AS n FROM cn WHERE source <> 'S1' GROUP BY country_norm),
+kd AS (SELECT channel, block, key, count(*) AS df FROM kx WHERE source <> 'S1' GROUP BY channel, block, key HAVING count(*) <= 1000),
+kq AS (SELECT * FROM (SELECT kx.channel, kx.block, id AS s1, key, ln((np.n + 1) / df) AS w, row_number() OVER (PARTITION BY kx.channel, kx.block, id ORDER BY df, nth) AS nr FROM kx JOIN kd USING (channel, block, key) JOIN np ON np.block = kx.block WHERE source = 'S1') WHERE nr <= {most}),
+ks AS (SELECT kq.channel, kq.block, s1, p.id AS r, min(p.row_ord) AS r_ord, sum(w) AS score FROM kq JOIN kx p ON p.channel = kq.channel AND p.block = kq.block AND p.key = kq.key AND p.source <> 'S1' GROUP BY kq.channel, kq.block, s1, p.id),
+rk AS (SELECT * FROM (SELECT channel, s1, r, score, row_number() OVER (PARTITION BY channel, block, s1 ORDER BY round(score, 9) DESC, r_ord, r) - 1 AS rank FROM ks) WHERE rank < 20)"""
+
+
 def query(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -277,14 +277,19 @@ def columnar_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rec.where("source = 'S1'"), rec.where("source <> 'S1'")
 
 
-@query()
+COLUMNAR = o.columnar()
+
+
+@query(o.query(COLUMNAR, body="SELECT entity_id, name_n, name_core, name_phon, legal, addr_n, house, nums, country_norm FROM cn"))
 def columnar_normalise(spark, sf_dir):
     return normalise(raw_records(spark, sf_dir), ascii_only=True).select("entity_id", "name_n", "name_core", "name_phon", "legal", "addr_n", "house", "nums", "country_norm")
 
 
-@query()
+@query(o.query(COLUMNAR, o.rare_keys(), body="""SELECT s1, r, max(CASE WHEN channel = 'name' THEN round(score, 6) END) AS name_score, max(CASE WHEN channel = 'name' THEN rank END) AS name_rank, max(CASE WHEN channel = 'addr' THEN round(score, 6) END) AS addr_score,
+max(CASE WHEN channel = 'addr' THEN rank END) AS addr_rank, max(CASE WHEN channel = 'joint' THEN round(score, 6) END) AS joint_score, max(CASE WHEN channel = 'joint' THEN rank END) AS joint_rank, count(*) AS n_channels, count(*) OVER (PARTITION BY s1) AS cand_count FROM rk GROUP BY s1, r"""))
 def rare_key_candidates(spark, sf_dir):
-    return rounded(cand.rare_key_candidates(*columnar_sides(spark, sf_dir)), "name_score", "addr_score", "joint_score").drop("block")
+    found = rounded(cand.rare_key_candidates(*columnar_sides(spark, sf_dir)), "name_score", "addr_score", "joint_score").drop("block")
+    return longs(found, "name_rank", "addr_rank", "joint_rank", "n_channels", "cand_count")
 
 
 @query()
@@ -322,9 +327,13 @@ def group_context(spark, sf_dir):
     return g.select("s1", "r", "p_rank_in_s1", "p_gap_to_best", "p_second_in_s1", "n_above_half_in_s1", "p_sum_in_s1", "p_entropy_in_s1", "rev_rank", "rev_gap")
 
 
-@query()
+@query(o.query(o.RECORDS, o.PAIRS, """gc AS (SELECT s1, r, p, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) AS rank2a, max(p) OVER (PARTITION BY s1) AS p_best, sum((p > 0.5)::INT) OVER (PARTITION BY s1) AS n_above50, sum(p) OVER (PARTITION BY s1) AS sum_p FROM (SELECT s1, r, round(p, 9) AS p FROM pairs))""",
+    body="""SELECT s1, r, round(ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))), 5) + 0.0 AS logit2a, rank2a, round(p_best, 6) AS p_best, n_above50::BIGINT AS n_above50, round(sum_p, 6) AS sum_p, round(p_best - p, 6) AS gap_best,
+round(coalesce(max(CASE WHEN rank2a = 2 THEN p END) OVER (PARTITION BY s1), 0), 6) AS p_second, round(p / greatest(p_best, 1e-6), 6) AS rel_best FROM gc"""))
 def group_context_columnar(spark, sf_dir):
-    return feat.columnar_context(scored_pairs(spark, sf_dir), "p")
+    g = feat.columnar_context(scored_pairs(spark, sf_dir), "p")
+    g = rounded(longs(g, "rank2a", "n_above50"), "p_best", "sum_p", "gap_best", "p_second", "rel_best").withColumn("logit2a", F.round("logit2a", 5) + 0.0)
+    return g.select("s1", "r", "logit2a", "rank2a", "p_best", "n_above50", "sum_p", "gap_best", "p_second", "rel_best")
 
 
 EXCL = "ex AS (SELECT s1, r, p, row_number() OVER (PARTITION BY r ORDER BY p DESC, s1) AS n, max(p) OVER (PARTITION BY r) AS best FROM (SELECT s1, r, round(p, 9) AS p FROM pairs))"
