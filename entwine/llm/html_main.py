@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import durable
+from .common import durable, row_keys
 
 # Elements by their roles in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +31,8 @@ nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager heade
 cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login register
 share sharing social follow comment comments commentlist disqus reply replies respond discussion reactions related recommended recommendations
 trending popular toolbar search form tags copyright skip""".split())
+#: Of these, those that name what even an article element is not.
+ASIDE_NAMES = frozenset("comment comments commentlist reply replies respond discussion related recommended recommendations teaser card promo promotion sponsored ad advert advertisement".split())
 #: Elements that an opening tag ends, if they are open nearer than the elements in SCOPE.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -39,6 +41,9 @@ ENDS = {
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
+#: Places among which a host's pages are dealt when they meet its templates.
+SALT = 16
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)|(\bhidden\b)""")
 NAME = re.compile(r"[a-z0-9]+")
@@ -48,10 +53,11 @@ HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 class Node:
     """An element: its children are nodes and strings (text with references decoded)."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "children", "hash", "size")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "hash", "size", "holds", "title")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role, self.hidden, self.children, self.hash, self.size = tag, frozenset(), "", False, [], 0, 0
+        self.holds = self.title = False  # an article, main element or first heading below; a first heading below
         if attributes and not attributes.isspace():
             for key, value, hidden in ATTRIBUTE.findall(attributes):
                 key = key.lower()
@@ -63,8 +69,12 @@ class Node:
                     self.hidden = True
 
     def furniture(self) -> bool:
-        """Whether its tag, role or name says that it is not content."""
-        return self.tag in DROPPED or self.role in DROPPED_ROLES or self.hidden or bool(self.names & DROPPED_NAMES) and self.tag not in ("html", "body", "article", "main")
+        """Whether its tag, role or name says that it is not content. A name says nothing of an element around the content."""
+        if self.tag in DROPPED or self.role in DROPPED_ROLES or self.hidden:
+            return True
+        if not self.names or self.holds or self.tag in ("html", "body", "main"):
+            return False
+        return bool(self.names & (ASIDE_NAMES if self.tag == "article" else DROPPED_NAMES))
 
 
 def parse(html: str) -> Node:
@@ -110,6 +120,10 @@ def parse(html: str) -> Node:
             del stack[-1]
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        if tag in ("h1", "main") or tag == "article" and not node.furniture():
+            for n in stack:
+                n.holds = True
+                n.title = n.title or tag == "h1"
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -147,17 +161,17 @@ def signed(h: int) -> int:
 
 
 def content(root: Node) -> list[Node]:
-    """The elements that hold the content: the outermost articles, else main, else the body, else the root."""
+    """The elements that hold the content: the outermost articles (those with a first heading, if any has one), else main, else the body, else the root."""
     for wanted in ("article", "main"):
         found, todo = [], [root]
         while todo:
             n = todo.pop()
-            if n.tag == wanted or wanted == "main" and n.role == "main":
+            if (n.tag == wanted or wanted == "main" and n.role == "main") and not (n.tag == "article" and n.furniture()):
                 found.append(n)
             elif not n.furniture() or n.tag in ("html", "body"):
                 todo += [c for c in reversed(n.children) if not isinstance(c, str)]
         if found:
-            return found
+            return [n for n in found if n.title] or found
     todo = [root]
     while todo:
         n = todo.pop()
@@ -212,7 +226,7 @@ def blocks(nodes: list[Node], template: frozenset[int]) -> list[str]:
                     cut()
                 elif c.tag == "br":
                     parts.append(" ")
-            elif not c.furniture() and c.hash not in template:
+            elif (not c.furniture() or c.tag == "header" and c.title and top.tag in ("article", "main") and not c.hidden) and c.hash not in template:
                 if c.tag in BLOCKS:
                     cut()
                 todo.append(iter(c.children))
@@ -236,24 +250,29 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3) -> DataFra
     ignored; an empty table gives an empty one. White space of any kind inside a
     block becomes one space, and blocks are joined by two newlines.
     """
-    pages = pages.select("page_id", "url", "html")
+    k1, k2 = row_keys("page_id", "url", "html")
+    pages = pages.select("page_id", "url", "html", k1.alias("k1"), k2.alias("k2"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for html in b.column(1).to_pylist():
+            for html in b.column("html").to_pylist():
                 root = parse(html or "")
                 digest(root)
                 found.append(sorted({signed(n.hash) for n in candidates(root)}))
-            yield pa.RecordBatch.from_arrays([pa.array(map(host_of, b.column(0).to_pylist()), pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(map(host_of, b.column("url").to_pylist()), pa.string()), pa.array(found, pa.list_(pa.int64()))], ["k1", "k2", "host", "hashes"])
 
-    seen = pages.select("url", "html").mapInArrow(hashes, "host string, hashes array<long>")
+    seen = durable(pages.select("url", "html", "k1", "k2").mapInArrow(hashes, "k1 long, k2 long, host string, hashes array<long>"))
     # One row per host besides one per hash: a page counts as the hash null.
-    counts = durable(seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")))
+    counts = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    counts = durable(counts)
     of = counts.where("h is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
-    template = counts.where(f"h is not null and n >= {int(min_pages)}").join(of, F.col("host") == F.col("_host")).where(F.col("n") > share * F.col("pages"))
-    # More than a share of the pages, so at most hashes-per-page / share templates of a host.
-    lists = template.groupBy("host").agg(F.sort_array(F.collect_set("h")).alias("templates")).withColumnRenamed("host", "_host")
+    template = counts.where(f"h is not null and n >= {int(min_pages)}").join(of, F.col("host") == F.col("_host")).where(F.col("n") > share * F.col("pages")).select("host", "h")
+    # Templates go to `SALT` places each, as a hot host's pages all have them; the pages' html is dealt by row, not by host.
+    spots = template.select(F.col("host").alias("_host"), F.col("h").alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    marks = seen.select("k1", "k2", "host", F.explode(F.array_distinct("hashes")).alias("h"), F.pmod("k1", F.lit(SALT)).cast("int").alias("salt"))
+    on = (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt"))
+    lists = marks.join(spots, on).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("h")).alias("templates")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,7 +288,6 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3) -> DataFra
                 removed.append(len(drop))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
 
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    known = pages.withColumn("_h", host).join(lists, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "templates")
+    known = pages.join(lists, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("page_id", "url", "html", "templates")
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())])
     return known.mapInArrow(text, schema)

@@ -102,6 +102,15 @@ def test_bodies_that_recur_stay(spark):
     assert {r.text for r in html_main.extract(df).collect()} == {("A long story told on every page. " * 5).strip()}
 
 
+def test_articles_among_other_elements():
+    read = lambda h: html_main.blocks(html_main.content(html_main.parse(h)), frozenset())
+    wrapped = '<div class="page-header social-share"><article class="post"><header><h1>T</h1><p>by A</p></header><p>x</p><footer>f</footer></article></div>'
+    assert read(wrapped + '<section class="comments"><article class="comment"><p>c</p></article></section>') == ["T", "by A", "x"]
+    assert read('<article><h1>T</h1><p>x</p><section class="comments"><article class="comment"><p>c</p></article></section></article><article class="card"><p>other</p></article>') == ["T", "x"]
+    assert read('<body><header><h1>Logo</h1></header><div id="content" class="has-sidebar"><h1>T</h1><p>x</p></div><div class="sidebar">s</div></body>') == ["T", "x"]
+    assert read('<div role="main"><p>x</p></div><div role="navigation">n</div>') == ["x"]
+
+
 def test_unclosed_and_deep_markup():
     assert html_main.blocks(html_main.content(html_main.parse("<p>a<script>x" )), frozenset()) == ["a"]
     assert html_main.blocks(html_main.content(html_main.parse("<div>" * 5000 + "x")), frozenset()) == ["x"]
