@@ -241,7 +241,7 @@ def columnar() -> str:
     return f"""{VIEW},
 n1 AS (SELECT entity_id, source, row_ord, {split(joined('business_name'))} AS tk, {split(joined('business_address'))} AS ad, {joined('country')} AS country_norm FROM view_raw),
 n2 AS (SELECT *, list_filter(tk, lambda w: w NOT IN {words_list(c.CORE_STOP_WORDS)}) AS pl,
-  string_split(regexp_replace(array_to_string(list_transform(ad, lambda w: regexp_replace(w, '^(\d+)(st|nd|rd|th)$', '\1')), ' '), '\b({longest})\b', '{chr(1)}\1{chr(1)}', 'g'), '{chr(1)}') AS seg FROM n1),
+  string_split(regexp_replace(array_to_string(list_transform(ad, lambda w: regexp_replace(w, '^(\\d+)(st|nd|rd|th)$', '\\1')), ' '), '\\b({longest})\\b', '{chr(1)}\\1{chr(1)}', 'g'), '{chr(1)}') AS seg FROM n1),
 n3 AS (SELECT *, list_filter(pl, lambda w: w NOT IN {words_list(legal)}) AS co0, {split(f"array_to_string(list_transform(seg, lambda s: {case('s', places.items(), 's')}), '')")} AS at0 FROM n2),
 n4 AS (SELECT *, CASE WHEN len(co0) > 0 THEN co0 WHEN len(pl) > 0 THEN pl ELSE tk END AS co, list_transform(at0, lambda w: {case('w', c.SHORT_STREETS.items(), 'w')}) AS at1 FROM n3),
 cn AS MATERIALIZED (SELECT entity_id, source, row_ord, country_norm, array_to_string(tk, ' ') AS name_n, array_to_string(co, ' ') AS name_core, array_to_string(list_transform(co, lambda w: {phonetic_key('w')}), ' ') AS name_phon,
