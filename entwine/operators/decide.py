@@ -169,3 +169,15 @@ def best_setting(swept: DataFrame) -> tuple[tuple[float, ...], float]:
     names = [c for c in swept.columns if c.startswith("x")]
     row = swept.orderBy(F.round("macro_f05", 12).desc(), *names).first()
     return tuple(row[c] for c in names), row.macro_f05
+
+
+def first_come(pairs: DataFrame, order: str = "row_ord") -> DataFrame:
+    """Each pool record with the first entity in file order that has it."""
+    w = Window.partitionBy("r").orderBy(order, "s1")
+    return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def probability_lists(pairs: DataFrame, p: str = "p", most: int = 20) -> DataFrame:
+    """(s1, ps): each entity's highest probabilities, in falling order."""
+    ranked = _ranked(pairs, p).where(F.col("rk") <= most)
+    return ranked.groupBy("s1").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", p))), lambda x: x[p]).alias("ps"))

@@ -16,6 +16,7 @@ from ..functions import text as t
 from ..functions.similarity import levenshtein, measures
 from ..operators import candidates as cand, channels as ch, checks, decide, features as feat, metrics
 from ..operators.canonical import canonicalize, normalise
+from ..sources import tables
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,6 +386,23 @@ def match_count_distribution(spark, sf_dir):
     return ps.select("s1", F.posexplode(decide.count_distribution(F.col("ps"))).alias("k", "prob")).select("s1", F.col("k").cast("long").alias("k"), F.round("prob", 6).alias("prob"))
 
 
+@query(o.query(o.RECORDS, o.PAIRS, body="SELECT s1, r FROM (SELECT pairs.s1, r, row_number() OVER (PARTITION BY r ORDER BY s.row_ord, pairs.s1) AS n FROM pairs JOIN s ON s.entity_id = pairs.s1 WHERE round(p, 9) >= 0.3) WHERE n = 1"))
+def first_come_exclusivity(spark, sf_dir):
+    order = sides(spark, sf_dir)[0].select(F.col("entity_id").alias("s1"), "row_ord")
+    return decide.first_come(decide.global_threshold(scored_pairs(spark, sf_dir), threshold=0.3).join(order, "s1")).select("s1", "r")
+
+
+@query(o.query(o.RECORDS, o.PAIRS, RK, body="SELECT s1, array_to_string(list_transform(list(p ORDER BY rk), lambda x: printf('%.6f', x)), ' ') AS ps FROM rkd WHERE rk <= 20 GROUP BY s1"))
+def probability_lists(spark, sf_dir):
+    lists = decide.probability_lists(scored_pairs(spark, sf_dir))
+    return lists.select("s1", F.array_join(F.transform("ps", lambda x: F.format_string("%.6f", x)), " ").alias("ps"))
+
+
+@query(o.query(o.RECORDS, body="SELECT country_norm, count(*) AS n FROM rec WHERE country_norm <> '' GROUP BY country_norm"))
+def country_counts(spark, sf_dir):
+    return tables.countries(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+
+
 # Evaluation.
 
 CHOSEN = "chosen AS (SELECT s1, r FROM pairs WHERE round(p, 9) >= 0.5)"

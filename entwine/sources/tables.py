@@ -152,3 +152,20 @@ def cohort(entities: DataFrame, gold: DataFrame, pool_records: DataFrame, n_val:
         out[f"{name}_entities"], out[f"{name}_gold"] = part, own
         out[f"{name}_pool"] = pool_records.join(own.select(F.col("r").alias("entity_id")).distinct(), "entity_id", "left_semi").unionByName(rest.drop("n"))
     return out
+
+
+def countries(records: DataFrame) -> DataFrame:
+    """(country_norm, n) of the countries that are given, the most frequent first."""
+    return records.where("country_norm <> ''").groupBy("country_norm").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country_norm")
+
+
+def package(paths: Sequence[str], archive: str) -> None:
+    """Pack files and folders on the driver into a zip archive, by their base names."""
+    import zipfile
+    from pathlib import Path
+
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in map(Path, paths):
+            for f in sorted(p.rglob("*")) if p.is_dir() else [p]:
+                if f.is_file() and not f.name.startswith("."):
+                    z.write(f, f.relative_to(p.parent))
