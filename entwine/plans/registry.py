@@ -270,6 +270,61 @@ def pair_features_light(spark, sf_dir):
     return feat.light_features(full_features(spark, sf_dir))
 
 
+def _eq(c: str) -> str:
+    return f"(a.{c} <> '' AND a.{c} = b.{c})::INT::DOUBLE"
+
+
+def _differ(c: str) -> str:
+    return f"(a.{c} <> '' AND b.{c} <> '' AND a.{c} <> b.{c})::INT::DOUBLE"
+
+
+def _share(x: str, y: str) -> str:
+    return f"CASE WHEN len({x}) = 0 THEN 0 ELSE len(list_intersect(list_distinct({x}), list_distinct({y})))::DOUBLE / len(list_distinct({x})) END"
+
+
+def _jaccard(x: str, y: str) -> str:
+    return f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 0 ELSE len(list_intersect(list_distinct({x}), list_distinct({y})))::DOUBLE / len(list_distinct(list_concat({x}, {y}))) END"
+
+
+def _lengths(x: str, y: str) -> str:
+    return f"CASE WHEN greatest({x}, {y}) = 0 THEN 1 ELSE least({x}, {y})::DOUBLE / greatest({x}, {y}) END"
+
+
+_DIGITS = {s: f"list_sort(list_distinct(regexp_extract_all({s}.business_name, '[0-9]')))" for s in "ab"}
+_TAIL = {s: f"list_filter(string_split({s}.addr_tail, ' '), lambda w: w <> '')" for s in "ab"}
+PLAIN_FEATURES = {
+    "name_exact_norm": _eq("name_norm"), "name_exact_core": _eq("name_core"), "name_exact_fold": _eq("name_fold"),
+    "name_lev_ratio_core": "CASE WHEN greatest(length(a.name_core), length(b.name_core)) = 0 THEN 1 ELSE 1 - levenshtein(a.name_core, b.name_core)::DOUBLE / greatest(length(a.name_core), length(b.name_core)) END",
+    "addr_lev_ratio": "CASE WHEN greatest(length(a.addr_norm), length(b.addr_norm)) = 0 THEN 1 ELSE 1 - levenshtein(a.addr_norm, b.addr_norm)::DOUBLE / greatest(length(a.addr_norm), length(b.addr_norm)) END",
+    "name_token_jaccard_core": _jaccard("a.name_core_tokens", "b.name_core_tokens"),
+    "name_first_token_eq": "coalesce(a.name_core_tokens[1] = b.name_core_tokens[1], false)::INT::DOUBLE", "name_last_token_eq": "coalesce(a.name_core_tokens[-1] = b.name_core_tokens[-1], false)::INT::DOUBLE",
+    "name_acronym_match": "((a.name_acronym <> '' AND len(b.name_core_tokens) > 0 AND (list_contains(b.name_core_tokens, a.name_acronym) OR a.name_acronym = b.name_acronym)) OR (b.name_acronym <> '' AND len(a.name_core_tokens) > 0 AND (list_contains(a.name_core_tokens, b.name_acronym) OR a.name_acronym = b.name_acronym)))::INT::DOUBLE",
+    "legal_form_eq": _eq("legal_form"), "legal_form_conflict": _differ("legal_form"),
+    "name_len_ratio_chars": _lengths("length(a.name_core)", "length(b.name_core)"), "name_len_ratio_tokens": _lengths("len(a.name_core_tokens)", "len(b.name_core_tokens)"),
+    "name_n_tokens_a": "len(a.name_core_tokens)::DOUBLE", "name_n_tokens_b": "len(b.name_core_tokens)::DOUBLE",
+    "digits_in_name_eq": f"(len({_DIGITS['a']}) > 0 AND len({_DIGITS['b']}) > 0 AND {_DIGITS['a']} = {_DIGITS['b']})::INT::DOUBLE", "digits_in_name_conflict": f"(len({_DIGITS['a']}) > 0 AND len({_DIGITS['b']}) > 0 AND {_DIGITS['a']} <> {_DIGITS['b']})::INT::DOUBLE",
+    "addr_exact_eq": _eq("addr_norm"), "postal_eq": _eq("postal"), "postal_conflict": _differ("postal"), "postal_both_present": "(a.postal <> '' AND b.postal <> '')::INT::DOUBLE",
+    "house_eq": _eq("house_no"), "house_conflict": _differ("house_no"), "unit_eq": _eq("unit"), "unit_conflict": _differ("unit"),
+    "nums_jaccard": f"CASE WHEN len(a.addr_nums) > 0 AND len(b.addr_nums) > 0 THEN {_jaccard('a.addr_nums', 'b.addr_nums')} ELSE 0 END",
+    "nums_conflict_count": "CASE WHEN len(a.addr_nums) > 0 AND len(b.addr_nums) > 0 THEN len(list_distinct(list_concat(a.addr_nums, b.addr_nums))) - len(list_intersect(list_distinct(a.addr_nums), list_distinct(b.addr_nums))) ELSE 0 END::DOUBLE",
+    "tail_token_overlap": f"CASE WHEN len({_TAIL['a']}) > 0 AND len({_TAIL['b']}) > 0 THEN {_jaccard(_TAIL['a'], _TAIL['b'])} ELSE 0 END",
+    "landmark_present_a": "(a.landmark <> '')::INT::DOUBLE", "landmark_present_b": "(b.landmark <> '')::INT::DOUBLE",
+    "addr_len_ratio": _lengths("length(a.addr_norm)", "length(b.addr_norm)"), "same_country": _eq("country_norm"), "is_s3": "(b.source = 'S3')::INT::DOUBLE",
+    "name_in_addr_a2b": _share("a.name_core_tokens", "b.addr_tokens"), "name_in_addr_b2a": _share("b.name_core_tokens", "a.addr_tokens"),
+    "channel_mask": "q.mask::DOUBLE", "n_channels": "q.n_channels::DOUBLE", "cand_count_i": "q.cand_count::DOUBLE", "name_jw_core": "CASE WHEN a.name_core = b.name_core THEN 1 ELSE jaro_winkler_similarity(a.name_core, b.name_core) END",
+}
+
+
+@query("WITH " + HITS + """,
+pr AS (SELECT *, 100.0 * n_channels - min_rank + 10.0 * max_score AS priority, (n_channels >= 2)::INT AS multi FROM un),
+kp AS (SELECT *, sum(multi) OVER (PARTITION BY s1) AS kept, row_number() OVER (PARTITION BY s1, multi ORDER BY round(priority, 6) DESC, r) AS n FROM pr),
+q AS (SELECT *, count(*) OVER (PARTITION BY s1) AS cand_count FROM kp WHERE multi = 1 OR n <= greatest(20 - kept, 0))
+SELECT q.s1, q.r, """ + ", ".join(f"round({x}, 6) AS {k}" for k, x in PLAIN_FEATURES.items()) + " FROM q JOIN rec a ON a.entity_id = q.s1 JOIN rec b ON b.entity_id = q.r")
+def pair_features_plain(spark, sf_dir):
+    """Those of the full scheme's features that SQL can say."""
+    return rounded(full_features(spark, sf_dir).select("s1", "r", *PLAIN_FEATURES), *PLAIN_FEATURES)
+
+
 # The columnar scheme.
 
 
