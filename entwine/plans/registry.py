@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions.similarity import levenshtein, measures
-from ..operators import candidates as cand, channels as ch, checks, decide, features as feat, metrics
+from ..operators import candidates as cand, channels as ch, checks, decide, features as feat, learn, metrics
 from ..operators.canonical import canonicalize, normalise
+from ..operators.running import materialise
 from ..sources import tables
 from . import oracle as o
 
@@ -595,3 +596,23 @@ def mined_abbreviations(spark, sf_dir):
     names = feat.attach(overlap_pairs(spark, sf_dir).select("s1", "r"), s1.select("entity_id", "name_core"), pool.select("entity_id", "name_core")).select("s1", "r", F.col("a_name_core").alias("a"), F.col("b_name_core").alias("b"))
     g = gold_links(spark, sf_dir)
     return feat.abbreviations(names.join(g, ["s1", "r"], "left_semi"), names.join(g, ["s1", "r"], "left_anti"), min_count=1)
+
+
+# Learning: a small cascade, cross-fitted on the registry's pairs.
+
+
+@query()
+def hard_negative_weights(spark, sf_dir):
+    y = gold_links(spark, sf_dir).withColumn("y", F.lit(1))
+    df = full_features(spark, sf_dir).join(y, ["s1", "r"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return learn.hard_negative_weight(df).select("s1", "r", "y", "weight", learn.fold_of(F.col("s1"), 5).alias("fold"))
+
+
+@query()
+def matcher_out_of_fold(spark, sf_dir):
+    """Selected pairs of the two-stage matcher, each scored by the fold that has not seen it."""
+    gold = gold_links(spark, sf_dir)
+    sizes = entities(spark, sf_dir).join(gold.groupBy(F.col("s1").alias("_s")).agg(F.count("*").alias("g")), F.col("s1") == F.col("_s"), "left").select("s1", F.coalesce("g", F.lit(0)).alias("g"))
+    features = materialise(full_features(spark, sf_dir))
+    matcher, scored = learn.train(features, gold, sizes, [c for c in features.columns if c not in ("s1", "r")], learn.Settings(folds=2, rounds=4, depth=3))
+    return decide.expected_f05(scored, "pcal", matcher.lam, matcher.beta).select("s1", "r", "p2a", "p2b", "pcal", "fold")
