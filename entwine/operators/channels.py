@@ -60,7 +60,10 @@ def exact(s1: DataFrame, pool: DataFrame, cap: int = 50, posting_cap: int = 50)
     cleaned = F.transform("name_alts", lambda a: F.regexp_replace(F.lower(a), r"[^\p{L}\p{N}]", ""))
     names = right(pool.where(given), F.lit(3).alias("kind"), F.posexplode(F.concat(F.array("name_clean"), cleaned)).alias("at", "key"), F.col("country_norm").alias("part")).where("key <> ''")
     clean = names.withColumn("_n", F.row_number().over(Window.partitionBy("block", "key", "part").orderBy("r_ord", "r", "at"))).where(F.col("_n") <= posting_cap)
-    postings = plain.unionByName(clean.select(*plain.columns))
+    # Of a hot key only its first records can be among an S1's first `cap`: of the second kind `cap` more than the
+    # first has already given, and so on. So the join is bounded, with the same result.
+    few = capped(plain, ["block", "kind", "key", "part"], 3 * cap)
+    postings = few.unionByName(clean.select(*plain.columns))
     best = own.join(postings, ["block", "kind", "key", "part"]).groupBy("block", "s1", "r").agg(F.min("kind").alias("kind"), F.min("r_ord").alias("r_ord"), F.lit(1.0).alias("score"))
     return top(best, cap, F.col("kind"))
 
@@ -129,12 +132,18 @@ def rare_tokens(s1: DataFrame, pool: DataFrame, max_df: int = 200, k: int = 50)
 def phonetic(s1: DataFrame, pool: DataFrame, max_postings: int = 30, k: int = 15) -> DataFrame:
     """2 for equal acronyms, 1 for each posting of a rare folded token; repeated tokens count again."""
     has = F.length("name_acronym") >= 2
-    same = left(s1.where(has), F.col("name_acronym").alias("key")).join(right(pool.where(has), F.col("name_acronym").alias("key")), ["block", "key"]).select("block", "s1", "r", "r_ord", F.lit(2.0).alias("w"))
+    acronym = F.col("name_acronym").alias("key")
+    # Pairs by acronym alone score 2, so of a hot one the first k suffice; pairs that are heard get their 2 by comparison.
+    first = capped(right(pool.where(has), acronym), ["block", "key"], k)
+    same = left(s1.where(has), acronym).join(first, ["block", "key"]).select("block", "s1", "r", "r_ord", F.lit(2.0).alias("score"))
     toks = F.explode(F.filter(t.words(F.col("name_fold")), lambda w: F.length(w) >= 4)).alias("key")
     postings = right(pool, toks)
     rare = postings.groupBy("block", "key").count().where(F.col("count") <= max_postings).select("block", "key")
-    heard = left(s1, toks).join(rare, ["block", "key"]).join(postings, ["block", "key"]).select("block", "s1", "r", "r_ord", F.lit(1.0).alias("w"))
-    return top(same.unionByName(heard).groupBy("block", "s1", "r").agg(F.min("r_ord").alias("r_ord"), F.sum("w").alias("score")), k)
+    heard = left(s1, toks).join(rare, ["block", "key"]).join(postings, ["block", "key"]).groupBy("block", "s1", "r").agg(F.min("r_ord").alias("r_ord"), F.count("*").cast("double").alias("n"))
+    known = heard.join(left(s1, F.col("name_acronym").alias("aa")), ["block", "s1"]).join(right(pool, F.col("name_acronym").alias("ab")).drop("r_ord"), ["block", "r"])
+    bonus = F.when((F.length("aa") >= 2) & (F.col("aa") == F.col("ab")), 2.0).otherwise(0.0)
+    both = same.unionByName(known.select("block", "s1", "r", "r_ord", (F.col("n") + bonus).alias("score")))
+    return top(both.groupBy("block", "s1", "r").agg(F.min("r_ord").alias("r_ord"), F.max("score").alias("score")), k)
 
 
 def address_tokens() -> Column:
@@ -156,7 +165,9 @@ def address(s1: DataFrame, pool: DataFrame, k: int = 30, max_df: int = 250, post
     )
     postings = right(pool, F.inline(keys))
     few = capped(postings.where("kind >= 2"), ["block", "kind", "key", "part"], posting_cap)
-    exact_hits = left(s1, F.inline(keys)).join(postings.where("kind < 2").unionByName(few), ["block", "kind", "key", "part"]).select("block", "s1", "r", "r_ord", F.try_element_at(scores, c("kind")).alias("score"))
+    # The first k of a key score what the kind gives or more, so none after them can be among the k best by it.
+    first = capped(postings.where("kind < 2"), ["block", "kind", "key", "part"], k)
+    exact_hits = left(s1, F.inline(keys)).join(first.unionByName(few), ["block", "kind", "key", "part"]).select("block", "s1", "r", "r_ord", F.try_element_at(scores, c("kind")).alias("score"))
     toks = F.explode(address_tokens()).alias("key")
     numbered = left(s1, (F.size("addr_nums") > 0).alias("numbered"), toks)
     idf = _idf_join(numbered, right(pool, toks), group_sizes(s1, pool), max_df)

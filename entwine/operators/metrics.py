@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+
+from .running import running_sums
 
 
 def f05(tp: Column, predicted: Column, gold: Column) -> Column:
@@ -89,11 +90,11 @@ def losses(scored: DataFrame, y: str = "y", p: str = "p", clip: float = 1e-6) ->
 def auc(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: the area under the ROC curve by rank sums, ties shared; null with one class only.
 
-    Scores are counted per value first, so the ordering window sees distinct values.
+    Scores, which lie in [0, 1], are counted per value first; the ranks are running sums in two levels.
     """
     per = scored.groupBy(F.col(p).alias("v")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = below + (F.col("n") + 1) / 2
+    per = running_sums(per.withColumns({"all": F.lit(0), "chunk": F.floor(F.col("v") * 4096)}), ["all"], "chunk", ["v"], {"below": "n"})
+    rank = F.col("below") + (F.col("n") + 1) / 2
     s = per.select("n", "pos", rank.alias("rank")).agg(F.sum(F.col("pos") * F.col("rank")).alias("s"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
     return s.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
 
