@@ -284,3 +284,30 @@ def test_mined_abbreviations(spark):
     pos = spark.createDataFrame([("acme pvt", "acme private")] * 6, "a string, b string")
     neg = spark.createDataFrame([("x y", "z w")], "a string, b string")
     assert [(r.short, r.long, r["count"]) for r in feat.abbreviations(pos, neg).collect()] == [("pvt", "private", 6)]
+
+
+def test_first_come_lists_and_countries(spark, made, tmp_path):
+    import zipfile
+
+    from entwine.sources import tables
+
+    df = spark.createDataFrame([("b", "x", 0.9, 1), ("a", "x", 0.2, 0), ("b", "y", 0.5, 1)], "s1 string, r string, p double, row_ord int")
+    assert {(r.s1, r.r) for r in decide.first_come(df).collect()} == {("a", "x"), ("b", "y")}
+    assert {r.s1: r.ps for r in decide.probability_lists(df).collect()} == {"a": [0.2], "b": [0.9, 0.5]}
+    counts = tables.countries(made[0]).collect()
+    assert sum(r.n for r in counts) == 60 and counts[0].n >= counts[-1].n
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("a")
+    tables.package([str(tmp_path / "d")], str(tmp_path / "z.zip"))
+    assert zipfile.ZipFile(tmp_path / "z.zip").namelist() == ["d/a.txt"]
+
+
+def test_hot_keys_keep_the_first_records(spark):
+    """A name that every record has: capped postings give what the whole posting would."""
+    rows = lambda source, n: [(f"{source}-{i}", "Star Mart", f"{i} A St, 12345" if i % 2 else "", "US", source, i) for i in range(n)]
+    a, b = (canonicalize(spark.createDataFrame(rows(s, n), KIND)).withColumn("block", F.lit("us")) for s, n in (("S1", 3), ("S2", 400)))
+    for fn, k in ((ch.exact, 50), (ch.phonetic, 15), (ch.address, 30)):
+        got = fn(a, b).groupBy("s1").agg(F.count("*").alias("n"), F.max("rank").alias("m")).collect()
+        assert got and all(r.n <= k and r.m == r.n - 1 for r in got)
+    ranked = ch.exact(a, b).where("s1 = 'S1-0'").orderBy("rank").select("r").collect()
+    assert [r.r for r in ranked] == [f"S2-{i}" for i in range(50)]
