@@ -56,13 +56,14 @@ STREET_WORDS = {
 # Words that the sorted address key leaves out.
 SORTED_ADDRESS_STOP_WORDS = "st street ave avenue rd road blvd dr drive ln lane ct court pl place terrace null township apt suite ste flr floor".split()
 
+# Patterns of address parts and of web names.
 LANDMARK = r"\b(?:near|opp\.?|opposite|behind|beside|next\s+to|adjacent\s+to)\s+([^,;]+)"
 HOUSE = r"^\s*(?:plot\s+no\.?\s*)?([0-9]+[a-z]?|[0-9]+/[0-9]+)\b"
 UNIT = r"\b(?:suite|ste|shop|unit|flat|fl|floor|apt|apartment|room|rm)\s*([0-9a-z\-/]+)\b"
 NUMBER = r"\b([0-9]+(?:[/\-][0-9a-z]+)?|[0-9]+[a-z]?)\b"
 DOMAIN = r"\.(?:com|org|net|co\.in|in|co|io|biz|info|gov|edu|fr|us)(?=[/\s]|$)"
 
-#: The steps of folding, in order, before and after doubled letters collapse.
+# The steps of folding and of phonetic keys, in order.
 VOWEL_FOLDS = (("aa+", "a"), ("ee+", "i"), ("ii+", "i"), ("oo+", "u"), ("ou+", "u"))
 ASPIRATE_FOLDS = (("bh", "b"), ("dh", "d"), ("th", "t"), ("kh", "k"), ("gh", "g"), ("ph", "f"), ("jh", "j"), ("ch", "c"))
 CONSONANT_FOLDS = (("sh", "s"), ("w", "v"), ("z", "j"), ("ck", "k"), ("q", "k"))
