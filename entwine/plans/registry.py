@@ -196,9 +196,11 @@ def sibling_expansion(spark, sf_dir):
     return rounded(cand.siblings(four_channels(spark, sf_dir), pool), "score")
 
 
-@query()
+@query(o.query(o.RECORDS, "own AS (SELECT DISTINCT country_norm AS block FROM rec WHERE source = 'S1')", body="""SELECT entity_id, country_norm AS block FROM rec WHERE source = 'S1' OR country_norm IN (SELECT block FROM own)
+UNION ALL SELECT entity_id, block FROM rec CROSS JOIN own WHERE source <> 'S1' AND country_norm NOT IN (SELECT block FROM own)"""))
 def country_blocks(spark, sf_dir):
-    a, b = cand.assign_blocks(*(x.drop("block") for x in sides(spark, sf_dir)))
+    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    a, b = cand.assign_blocks(rec.where("source = 'S1'"), rec.where("source <> 'S1'"))
     return a.select("entity_id", "block").unionByName(b.select("entity_id", "block"))
 
 
@@ -360,7 +362,19 @@ def baseline_exact_greedy(spark, sf_dir):
     return rounded(cand.exact_greedy(*sides(spark, sf_dir)), "score")
 
 
-@query()
+def _light(side: str, columns: str) -> str:
+    kinds = {
+        "core": "name_core", "fold": "CASE WHEN name_fold <> name_core THEN name_fold ELSE '' END", "clean": "name_clean", "house": "CASE WHEN postal <> '' AND house_no <> '' THEN postal || '|' || house_no ELSE '' END",
+        "addr": "CASE WHEN length(addr_clean) >= 10 THEN addr_clean[1:25] ELSE '' END", "sorted": "CASE WHEN length(sorted_addr) >= 6 THEN sorted_addr ELSE '' END",
+    }
+    each = " UNION ALL ".join(f"SELECT {columns}, '{k}' AS kind, {x} AS key FROM {side}" for k, x in kinds.items())
+    return f"SELECT * FROM ({each} UNION ALL SELECT {columns}, 'token', unnest(list_filter(list_distinct(name_core_tokens), lambda w: length(w) >= 3)) FROM {side}) WHERE key <> ''"
+
+
+@query(o.query(o.RECORDS, f"ls AS ({_light('s', 'block, entity_id AS s1')})", f"lp0 AS ({_light('p', 'block, entity_id AS r, row_ord AS r_ord')})",
+    "lp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block, kind, key ORDER BY r_ord, r) AS n FROM lp0) WHERE n <= CASE WHEN kind IN ('core', 'fold', 'clean') THEN 50 WHEN kind = 'token' THEN 400 ELSE 20 END)",
+    "lh AS (SELECT block, s1, r, min(r_ord) AS r_ord, count(DISTINCT kind) AS score FROM ls JOIN lp USING (block, kind, key) GROUP BY block, s1, r)",
+    body="SELECT s1, r, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY block, s1 ORDER BY score DESC, r_ord, r) - 1 AS rank FROM lh) WHERE rank < 100"))
 def light_index_candidates(spark, sf_dir):
     return longs(cand.count_of_keys(*sides(spark, sf_dir)), "rank", "score").drop("block")
 
