@@ -41,7 +41,8 @@ RULES = (
     Rule("dup_lines", "n_dup_lines", "n_lines", 100),
     Rule("repeats", "n_repeat_words", "n_words", 60),
     Rule("shouting", "n_shouts", "word_chars", 40),
-    Rule("word_length", "word_chars", "10 * n_words", 3, 10, True),
+    # In tenths of a character a word, so that the top bin (100 characters) is far beyond real text.
+    Rule("word_length", "word_chars", "100 * n_words", 3, below=True),
 )
 
 
