@@ -41,6 +41,8 @@ ENDS = {
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
+#: Kinds of the subtrees that are counted.
+SMALL, INLINE = 2, 3
 #: Places among which a host's pages are dealt when they meet its templates.
 SALT = 16
 
@@ -181,8 +183,8 @@ def content(root: Node) -> list[Node]:
     return [root]
 
 
-def candidates(root: Node) -> list[Node]:
-    """The subtrees in the content that can be deleted as templates: block elements other than paragraphs,
+def candidates(root: Node) -> list[tuple[Node, int]]:
+    """With their kinds: the subtrees in the content that can be deleted as templates: block elements other than paragraphs,
     headings and the like, which are text that pages may share. Those with a third of the content's text or more are
     not among them: copies of a page do not make its body a template. `digest` comes first."""
     held = content(root)
@@ -193,11 +195,19 @@ def candidates(root: Node) -> list[Node]:
         if n.furniture():
             continue
         if n.tag in ("div", "section", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "center", "span", "a") and n.size < most:
-            out.append(n)
+            out.append((n, INLINE if n.tag in ("span", "a") else SMALL))
         todo += [c for c in n.children if not isinstance(c, str)]
     return out
 
 
+def alike(root: Node) -> int:
+    """What pages with equal content have in common, whatever is around it. `digest` comes first."""
+    h = xxhash.xxh64()
+    for n in content(root):
+        h.update(n.hash.to_bytes(8, "little"))
+    return signed(h.intdigest())
+
+
 def blocks(nodes: list[Node], template: frozenset[int]) -> list[str]:
     """The squeezed text of each block in page order; subtrees with a template's hash are left out."""
     out: list[str] = []
@@ -240,11 +250,13 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int = 20) -> DataFrame:
     """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars, n_removed (template subtrees left out).
 
     A subtree is a template of its host if it occurs on at least `min_pages` of
-    its pages and on more than `share` of them. Null and empty html give an empty
+    its pages and on more than `share` of them, or, links and spans excepted (they
+    are words of sentences), on `many` pages that differ in content, however
+    large the host is. Null and empty html give an empty
     text; rows without a url are of one host without a name; repeated rows are
     pages of their own; pages of any length are read whole; other columns are
     ignored; an empty table gives an empty one. White space of any kind inside a
@@ -255,24 +267,28 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3) -> DataFra
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            found, same = [], []
             for html in b.column("html").to_pylist():
                 root = parse(html or "")
                 digest(root)
-                found.append(sorted({signed(n.hash) for n in candidates(root)}))
-            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(map(host_of, b.column("url").to_pylist()), pa.string()), pa.array(found, pa.list_(pa.int64()))], ["k1", "k2", "host", "hashes"])
-
-    seen = durable(pages.select("url", "html", "k1", "k2").mapInArrow(hashes, "k1 long, k2 long, host string, hashes array<long>"))
-    # One row per host besides one per hash: a page counts as the hash null.
-    counts = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    counts = durable(counts)
-    of = counts.where("h is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
-    template = counts.where(f"h is not null and n >= {int(min_pages)}").join(of, F.col("host") == F.col("_host")).where(F.col("n") > share * F.col("pages")).select("host", "h")
+                found.append([{"h": h, "kind": k} for h, k in sorted({(signed(n.hash), k) for n, k in candidates(root)})])
+                same.append(alike(root))
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(map(host_of, b.column("url").to_pylist()), pa.string()), pa.array(same, pa.int64()), pa.array(found, pa.list_(pa.struct([("h", pa.int64()), ("kind", pa.int32())])))], ["k1", "k2", "host", "alike", "hashes"])
+
+    seen = durable(pages.select("url", "html", "k1", "k2").mapInArrow(hashes, "k1 long, k2 long, host string, alike long, hashes array<struct<h:bigint,kind:int>>"))
+    # One row per host besides one per hash: a page counts as the hash null. Two levels, so no task holds a host's pages.
+    each = seen.select("host", "alike", F.inline(F.concat(F.expr("array(struct(cast(null AS bigint) AS h, 0 AS kind))"), "hashes")))
+    each = each.groupBy("host", "h", "alike").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind").isin(SMALL, INLINE), 1)).alias("small"), F.max("kind").alias("kind"))
+    counts = durable(each.groupBy("host", "h").agg(F.sum("n").alias("n"), F.sum("small").alias("small"), F.count("*").alias("apart"), F.max("kind").alias("kind")))
+    of = counts.where("h is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"), F.col("apart").alias("pages_apart"))
+    narrow = (F.col("small") >= min_pages) & (F.col("small") > share * F.col("pages"))
+    wide = (F.col("kind") != INLINE) & (F.col("apart") >= many)
+    template = counts.where(f"h is not null and n >= {int(min(min_pages, many))}").join(of, F.col("host") == F.col("_host")).where(narrow | wide).select("host", "h", wide.alias("wide"))
     # Templates go to `SALT` places each, as a hot host's pages all have them; the pages' html is dealt by row, not by host.
-    spots = template.select(F.col("host").alias("_host"), F.col("h").alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    marks = seen.select("k1", "k2", "host", F.explode(F.array_distinct("hashes")).alias("h"), F.pmod("k1", F.lit(SALT)).cast("int").alias("salt"))
+    spots = template.select(F.col("host").alias("_host"), F.col("h").alias("_h"), "wide", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    marks = seen.select("k1", "k2", "host", F.pmod("k1", F.lit(SALT)).cast("int").alias("salt"), F.inline("hashes"))
     on = (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt"))
-    lists = marks.join(spots, on).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("h")).alias("templates")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    lists = marks.join(spots, on).where(F.col("wide") | F.col("kind").isin(SMALL, INLINE)).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("h")).alias("templates")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,7 +298,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3) -> DataFra
                 drop = frozenset()
                 if known:
                     digest(root)
-                    drop = frozenset(n.hash for n in candidates(root)) & {h & 0xFFFFFFFFFFFFFFFF for h in known}
+                    drop = frozenset(n.hash for n, _ in candidates(root)) & {h & 0xFFFFFFFFFFFFFFFF for h in known}
                 texts.append("\n\n".join(blocks(content(root), drop)))
                 sizes.append(len(texts[-1]))
                 removed.append(len(drop))

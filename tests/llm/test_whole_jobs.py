@@ -2,7 +2,7 @@
 
 import random
 
-from entwine.llm import quality
+from entwine.llm import html_main, quality
 
 ROWS = "doc_id long, text string, lang string, source string"
 
@@ -16,3 +16,23 @@ def test_word_length_rejects_long_and_single_letter_words(spark):
     got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(data, ROWS)).collect()}
     assert got[200].failed == ["word_length"] and got[201].failed == ["word_length"]
     assert all(got[i].kept for i in range(120))
+
+
+def main_texts(spark, htmls):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_main.extract(df).collect()}
+
+
+def test_boxes_on_a_tenth_of_a_large_host_are_templates(spark):
+    story = lambda i: f"<p>Story {i} tells at some length of matters that no other page has.</p>" * 4
+    box = "<div>Read our terms of use</div>"
+    got = main_texts(spark, [f"<article><h1>T{i}</h1>{story(i)}{box if i < 25 else ''}<p>See {'<a>France</a>' if i < 60 else 'France'} too, {i}.</p></article>" for i in range(250)])
+    assert not any("terms of use" in t for t in got.values())
+    assert all(f"Story {i} tells" in t and f"See France too, {i}." in t for i, t in got.items())
+
+
+def test_copies_of_a_page_do_not_make_templates_of_a_large_host(spark):
+    page = "<article><h1>T</h1><p>" + "A long story. " * 20 + "</p><div>its own box</div></article>"
+    other = [f"<article><h1>T{i}</h1><p>Story {i}.</p></article>" for i in range(100)]
+    got = main_texts(spark, [f"<nav>{i}</nav>{page}" for i in range(25)] + other)
+    assert "its own box" in got[0]
