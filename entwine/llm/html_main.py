@@ -39,10 +39,11 @@ ENDS = {
     "option": {"option"}, "thead": {"tbody", "tfoot"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"},
 }
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote address li pre dt dd figcaption summary".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 #: Kinds of the subtrees that are counted.
-SMALL, INLINE = 2, 3
+LARGE, SMALL, INLINE, TEXT = 1, 2, 3, 4
 #: Places among which a host's pages are dealt when they meet its templates.
 SALT = 16
 
@@ -184,9 +185,10 @@ def content(root: Node) -> list[Node]:
 
 
 def candidates(root: Node) -> list[tuple[Node, int]]:
-    """With their kinds: the subtrees in the content that can be deleted as templates: block elements other than paragraphs,
-    headings and the like, which are text that pages may share. Those with a third of the content's text or more are
-    not among them: copies of a page do not make its body a template. `digest` comes first."""
+    """With their kinds: the subtrees in the content that can be deleted as templates. Boxes and lists are LARGE with a
+    third of the content's text or more, else SMALL; spans and links are INLINE if as small; paragraphs, headings, items and
+    the like are TEXT from 20 characters on, as shorter ones recur by chance. Tables count as a whole, not by cells,
+    and emphasis inside sentences doesn't count. `digest` comes first."""
     held = content(root)
     most = sum(n.size for n in held) / 3
     out, todo = [], [c for n in held for c in n.children if not isinstance(c, str)]
@@ -194,8 +196,13 @@ def candidates(root: Node) -> list[tuple[Node, int]]:
         n = todo.pop()
         if n.furniture():
             continue
-        if n.tag in ("div", "section", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "center", "span", "a") and n.size < most:
-            out.append((n, INLINE if n.tag in ("span", "a") else SMALL))
+        if n.tag in ("div", "section", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "center"):
+            out.append((n, SMALL if n.size < most else LARGE))
+        elif n.tag in ("span", "a"):
+            if n.size < most:
+                out.append((n, INLINE))
+        elif n.tag in TEXTS and n.size >= 20:
+            out.append((n, TEXT))
         todo += [c for c in n.children if not isinstance(c, str)]
     return out
 
@@ -256,7 +263,9 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int
     A subtree is a template of its host if it occurs on at least `min_pages` of
     its pages and on more than `share` of them, or, links and spans excepted (they
     are words of sentences), on `many` pages that differ in content, however
-    large the host is. Null and empty html give an empty
+    large the host is. Where it has a third of the text or more, and for
+    paragraphs and the like, copies of a page count once; the latter need `many`
+    pages, as pages of a small host may share a line. Null and empty html give an empty
     text; rows without a url are of one host without a name; repeated rows are
     pages of their own; pages of any length are read whole; other columns are
     ignored; an empty table gives an empty one. White space of any kind inside a
@@ -282,7 +291,8 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int
     counts = durable(each.groupBy("host", "h").agg(F.sum("n").alias("n"), F.sum("small").alias("small"), F.count("*").alias("apart"), F.max("kind").alias("kind")))
     of = counts.where("h is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"), F.col("apart").alias("pages_apart"))
     narrow = (F.col("small") >= min_pages) & (F.col("small") > share * F.col("pages"))
-    wide = (F.col("kind") != INLINE) & (F.col("apart") >= many)
+    often = (F.col("kind") != TEXT) & (F.col("apart") >= min_pages) & (F.col("apart") > share * F.col("pages_apart"))
+    wide = (F.col("kind") != INLINE) & ((F.col("apart") >= many) | often)
     template = counts.where(f"h is not null and n >= {int(min(min_pages, many))}").join(of, F.col("host") == F.col("_host")).where(narrow | wide).select("host", "h", wide.alias("wide"))
     # Templates go to `SALT` places each, as a hot host's pages all have them; the pages' html is dealt by row, not by host.
     spots = template.select(F.col("host").alias("_host"), F.col("h").alias("_h"), "wide", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))

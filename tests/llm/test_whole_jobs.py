@@ -36,3 +36,12 @@ def test_copies_of_a_page_do_not_make_templates_of_a_large_host(spark):
     other = [f"<article><h1>T{i}</h1><p>Story {i}.</p></article>" for i in range(100)]
     got = main_texts(spark, [f"<nav>{i}</nav>{page}" for i in range(25)] + other)
     assert "its own box" in got[0]
+
+
+def test_recurring_paragraphs_and_large_boxes_are_templates(spark):
+    advert = "<p>Subscribe to our weekly letter for more of this.</p>"
+    box = "<div>" + "This box explains who we are and what we do. " * 3 + "</div>"
+    story = lambda i, n: f"<p>Story {i} tells at some length of matters.</p>" * n
+    got = main_texts(spark, [f"<article><h1>T{i}</h1>{story(i, 1 if i % 4 else 40)}{advert}{box}<p>Short.</p></article>" for i in range(24)])
+    assert not any("weekly letter" in t or "who we are" in t for t in got.values())
+    assert all(f"Story {i} tells" in t and "Short." in t for i, t in got.items())
