@@ -33,6 +33,13 @@ share sharing social follow comment comments commentlist disqus reply replies re
 trending popular toolbar search form tags copyright skip""".split())
 #: Of these, those that name what even an article element is not.
 ASIDE_NAMES = frozenset("comment comments commentlist reply replies respond discussion related recommended recommendations teaser card promo promotion sponsored ad advert advertisement".split())
+#: Title words as well: alone, they name furniture only where the element is mostly links; what recurs on the host goes as a template.
+AMBIGUOUS = frozenset("""related discussion search social form tags header notice notices alert follow login register popular trending recommended recommendations
+reactions respond disclaimer copyright consent menu skip promotion banner""".split())
+#: Words that make compounds with names in a class: related-posts, share-buttons, cookie-bar.
+COMPANIONS = frozenset("""articles area bar block box button buttons container content entry form icons inner item items left link links list main module page panel post posts right
+site stories top bottom unit wrap wrapper""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that an opening tag ends, if they are open nearer than the elements in SCOPE.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -50,22 +57,46 @@ SALT = 16
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)|(\bhidden\b)""")
 NAME = re.compile(r"[a-z0-9]+")
+
+
+def named(token: str, known: frozenset[str], is_id: bool) -> str:
+    """What a class token or a whole id says: "sure" of furniture, "maybe", or "".
+
+    A token is one name or a compound of names; in classes also of names and
+    companions. Ids are often slugs of titles, so theirs are names only, and
+    words of titles alone never settle one.
+    """
+    words = NAME.findall(token)
+    found = [w for w in words if w in known]
+    if not found or any(w not in known and (is_id or w not in COMPANIONS) for w in words):
+        return ""
+    if len(words) == 1 or is_id:
+        return "maybe" if all(w in AMBIGUOUS for w in found) else "sure"
+    return "sure"
+
+
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
     """An element: its children are nodes and strings (text with references decoded)."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "children", "hash", "size", "holds", "title")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "hash", "size", "holds", "title", "named")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role, self.hidden, self.children, self.hash, self.size = tag, frozenset(), "", False, [], 0, 0
+        self.named = ""
         self.holds = self.title = False  # an article, main element or first heading below; a first heading below
         if attributes and not attributes.isspace():
             for key, value, hidden in ATTRIBUTE.findall(attributes):
                 key = key.lower()
                 if key in ("class", "id"):
-                    self.names |= frozenset(NAME.findall(value.lower()))
+                    value = value.strip("\"'").lower()
+                    self.names |= frozenset(NAME.findall(value))
+                    known = ASIDE_NAMES if tag == "article" else DROPPED_NAMES
+                    for token in value.split():
+                        if self.named != "sure":
+                            self.named = named(token, known, key == "id") or self.named
                 elif key == "role":
                     self.role = value.strip("\"' ").lower()
                 elif hidden or key == "hidden" or key == "aria-hidden" and "true" in value:
@@ -75,9 +106,26 @@ class Node:
         """Whether its tag, role or name says that it is not content. A name says nothing of an element around the content."""
         if self.tag in DROPPED or self.role in DROPPED_ROLES or self.hidden:
             return True
-        if not self.names or self.holds or self.tag in ("html", "body", "main"):
+        if not self.named or self.holds or self.tag in ("html", "body", "main") or self.tag in HEADINGS:
             return False
-        return bool(self.names & (ASIDE_NAMES if self.tag == "article" else DROPPED_NAMES))
+        if self.named == "maybe" and self.children:
+            self.named = "sure" if linked(self) else ""
+        return self.named == "sure"
+
+
+def linked(node: Node) -> bool:
+    """Whether more than half of an element's text is in links."""
+    inside, whole, todo = 0, 0, [(node, node.tag == "a")]
+    while todo:
+        n, link = todo.pop()
+        for c in n.children:
+            if isinstance(c, str):
+                size = len("".join(c.split()))
+                whole += size
+                inside += size * link
+            else:
+                todo.append((c, link or c.tag == "a"))
+    return 2 * inside > whole
 
 
 def parse(html: str) -> Node:

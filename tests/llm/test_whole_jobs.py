@@ -45,3 +45,12 @@ def test_recurring_paragraphs_and_large_boxes_are_templates(spark):
     got = main_texts(spark, [f"<article><h1>T{i}</h1>{story(i, 1 if i % 4 else 40)}{advert}{box}<p>Short.</p></article>" for i in range(24)])
     assert not any("weekly letter" in t or "who we are" in t for t in got.values())
     assert all(f"Story {i} tells" in t and "Short." in t for i, t in got.items())
+
+
+def test_titles_are_no_furniture():
+    read = lambda h: html_main.blocks(html_main.content(html_main.parse(h)), frozenset())
+    kept = '<section id="related-work"><h2 id="discussion">A</h2><p>b</p></section><h2 id="social-impact">C</h2><section id="search-methods">d</section>'
+    kept += '<h2 class="header">E</h2><p id="discussion">f</p><div class="notice">g</div><p class="tags">h</p>'
+    assert read(f"<article><h1>T</h1>{kept}</article>") == ["T", "A", "b", "C", "d", "E", "f", "g", "h"]
+    gone = '<div class="related"><a>x</a> <a>y</a></div><div class="related-posts">z</div><div class="share-buttons">s</div><div id="cookie-notice">c</div><div class="a newsletter">n</div>'
+    assert read(f"<article><h1>T</h1>{gone}<p>end</p></article>") == ["T", "end"]
