@@ -19,6 +19,7 @@ from ..operators.canonical import canonicalize, normalise
 from ..operators.running import materialise
 from ..sources import tables
 from . import oracle as o
+from .config import Config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,10 +191,36 @@ def budget_prune(spark, sf_dir):
     return rounded(cand.prune(four_channels(spark, sf_dir), budget=20).select("s1", "r", "priority"), "priority")
 
 
+def whole_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(S1, pool) canonical records, without blocks; records of countries that S1 lacks included."""
+    rec = materialise(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+    return rec.where("source = 'S1'"), rec.where("source <> 'S1'")
+
+
+def all_channels(s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pruned, union) candidates with the settings of a run: every channel, the expansion, the whole budget."""
+    c = Config()
+    return cand.block_and_prune(s1, pool, c.budget, c.by_country, c.expansion, list(c.channels), **c.channel_options())
+
+
+@query()
+def all_channels_union(spark, sf_dir):
+    _, union = all_channels(*whole_sides(spark, sf_dir))
+    return rounded(longs(union, "mask", "n_channels", "min_rank").select("s1", "r", "mask", "n_channels", "min_rank", "max_score"), "max_score")
+
+
+@query()
+def all_channels_prune(spark, sf_dir):
+    pruned, _ = all_channels(*whole_sides(spark, sf_dir))
+    return rounded(pruned.select("s1", "r", "priority"), "priority")
+
+
 @query()
 def sibling_expansion(spark, sf_dir):
-    _, pool = sides(spark, sf_dir)
-    return rounded(cand.siblings(four_channels(spark, sf_dir), pool), "score")
+    c = Config()
+    s1, pool = whole_sides(spark, sf_dir)
+    hits = cand.run_channels(*cand.assign_blocks(s1, pool, c.by_country), list(c.channels), **c.channel_options()).drop("block")
+    return rounded(cand.siblings(cand.union(hits), pool), "score")
 
 
 @query(o.query(o.RECORDS, "own AS (SELECT DISTINCT country_norm AS block FROM rec WHERE source = 'S1')", body="""SELECT entity_id, country_norm AS block FROM rec WHERE source = 'S1' OR country_norm IN (SELECT block FROM own)
@@ -256,9 +283,12 @@ def token_jaccard(spark, sf_dir):
 
 
 def full_features(spark, sf_dir) -> DataFrame:
-    s1, pool = sides(spark, sf_dir)
+    s1, pool = whole_sides(spark, sf_dir)
+    return features_of(spark, sf_dir, s1, pool, all_channels(s1, pool)[0])
+
+
+def features_of(spark, sf_dir, s1: DataFrame, pool: DataFrame, pruned: DataFrame) -> DataFrame:
     df, n = feat.document_frequency(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
-    pruned = cand.prune(four_channels(spark, sf_dir), budget=20)
     pruned = pruned.withColumn("cand_count", F.count("*").over(Window.partitionBy("s1"))).select("s1", "r", "mask", "rank", "cand_count")
     return feat.pair_features(feat.attach(pruned, feat.with_idf(s1, df, n), feat.with_idf(pool, df, n)))
 
@@ -324,8 +354,9 @@ kp AS (SELECT *, sum(multi) OVER (PARTITION BY s1) AS kept, row_number() OVER (P
 q AS (SELECT *, count(*) OVER (PARTITION BY s1) AS cand_count FROM kp WHERE multi = 1 OR n <= greatest(20 - kept, 0))
 SELECT q.s1, q.r, """ + ", ".join(f"round({x}, 6) AS {k}" for k, x in PLAIN_FEATURES.items()) + " FROM q JOIN rec a ON a.entity_id = q.s1 JOIN rec b ON b.entity_id = q.r")
 def pair_features_plain(spark, sf_dir):
-    """Those of the full scheme's features that SQL can say."""
-    return rounded(full_features(spark, sf_dir).select("s1", "r", *PLAIN_FEATURES), *PLAIN_FEATURES)
+    """Those of the full scheme's features that SQL can say, of the channels and the budget that its SQL has."""
+    pruned = cand.prune(four_channels(spark, sf_dir), budget=20)
+    return rounded(features_of(spark, sf_dir, *sides(spark, sf_dir), pruned).select("s1", "r", *PLAIN_FEATURES), *PLAIN_FEATURES)
 
 
 # The columnar scheme.
