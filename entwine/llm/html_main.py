@@ -1,15 +1,19 @@
 """Main text of web pages by removal of site templates.
 
-A page becomes a tree of elements. Every subtree that could be furniture is
-hashed by its tags, roles and text; Spark counts on how many pages of a host each hash
-occurs, and subtrees that recur across a host's pages are deleted, besides those
-whose tag, role or name says what they are. What is left of the article (or of
-the body, on pages without one) is read block by block.
+A page becomes a tree of elements. Every element subtree of the whole page
+(menus, headers, footers, boxes, paragraphs) is hashed by its tags, names, roles
+and text; Spark counts on how many differing pages of a host, and of a section of it, each
+hash occurs, and the subtrees that recur there are deleted. Of what is left the
+article (or the body, on pages without one) is read block by block. What cannot
+recur is left to HTML itself: elements whose tag or role says that they are no
+content, and reader comments. Class names settle nothing more where a host has
+enough pages to count on; there they only ask for less recurrence.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -40,6 +44,8 @@ reactions respond disclaimer copyright consent menu skip promotion banner""".spl
 COMPANIONS = frozenset("""articles area bar block box button buttons container content entry form icons inner item items left link links list main module page panel post posts right
 site stories top bottom unit wrap wrapper""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Class tokens and ids of reader comments, which differ from page to page, so recurrence can't tell them.
+COMMENT_NAMES = frozenset("comment comments commentlist comment-list comments-area disqus disqus_thread replies respond".split())
 #: Elements that an opening tag ends, if they are open nearer than the elements in SCOPE.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -49,10 +55,12 @@ SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote address li pre dt dd figcaption summary".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
-#: Kinds of the subtrees that are counted.
-LARGE, SMALL, INLINE, TEXT = 1, 2, 3, 4
+#: Kinds of the subtrees that are counted: around the content; in it boxes and lists, links and spans, paragraphs and
+#: the like, named ones, and boxes without paragraphs.
+OUTSIDE, BOX, INLINE, TEXT, NAMED, BARE = 1, 2, 3, 4, 5, 6
+BOXES = frozenset("article div section ul ol dl table figure details fieldset center".split())
 #: Places among which a host's pages are dealt when they meet its templates.
-SALT = 16
+SALT = 32
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)|(\bhidden\b)""")
@@ -75,17 +83,18 @@ def named(token: str, known: frozenset[str], is_id: bool) -> str:
     return "sure"
 
 
-HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
+HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[^/?#]*)?(?:/([^/?#]*)/)?", re.I)
 
 
 class Node:
     """An element: its children are nodes and strings (text with references decoded)."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "children", "hash", "size", "holds", "title", "named")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "hash", "holds", "title", "named", "comments", "full", "words")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.names, self.role, self.hidden, self.children, self.hash, self.size = tag, frozenset(), "", False, [], 0, 0
-        self.named = ""
+        self.tag, self.names, self.role, self.hidden, self.children, self.hash = tag, frozenset(), "", False, [], 0
+        self.named, self.comments = "", False
+        self.full, self.words = False, 0  # a paragraph or the like below; words below
         self.holds = self.title = False  # an article, main element or first heading below; a first heading below
         if attributes and not attributes.isspace():
             for key, value, hidden in ATTRIBUTE.findall(attributes):
@@ -95,6 +104,7 @@ class Node:
                     self.names |= frozenset(NAME.findall(value))
                     known = ASIDE_NAMES if tag == "article" else DROPPED_NAMES
                     for token in value.split():
+                        self.comments = self.comments or token in COMMENT_NAMES
                         if self.named != "sure":
                             self.named = named(token, known, key == "id") or self.named
                 elif key == "role":
@@ -102,15 +112,16 @@ class Node:
                 elif hidden or key == "hidden" or key == "aria-hidden" and "true" in value:
                     self.hidden = True
 
-    def furniture(self) -> bool:
-        """Whether its tag, role or name says that it is not content. A name says nothing of an element around the content."""
+    def furniture(self, names: bool = True) -> bool:
+        """Whether its tag or role says that it is not content, or, with `names`, its name. Names say nothing of an
+        element around the content; without `names` they count for reader comments and for what is mostly links."""
         if self.tag in DROPPED or self.role in DROPPED_ROLES or self.hidden:
             return True
         if not self.named or self.holds or self.tag in ("html", "body", "main") or self.tag in HEADINGS:
             return False
-        if self.named == "maybe" and self.children:
-            self.named = "sure" if linked(self) else ""
-        return self.named == "sure"
+        if names and self.named == "sure" or self.comments:
+            return True
+        return bool(self.children) and linked(self)
 
 
 def linked(node: Node) -> bool:
@@ -191,7 +202,7 @@ def squeeze(parts: list[str]) -> str:
 
 
 def digest(node: Node) -> int:
-    """Set the hash of every element of a subtree, of tags, names, roles and squeezed text, and the size of its text; iteratively, as trees can be deep."""
+    """Set the hash of every element of a subtree, of tags, names, roles and squeezed text; iteratively, as trees can be deep."""
     todo = [(node, False)]
     while todo:
         n, ready = todo.pop()
@@ -202,8 +213,9 @@ def digest(node: Node) -> int:
         h = xxhash.xxh64(f"{n.tag}|{' '.join(sorted(n.names))}|{n.role}")
         for c in n.children:
             h.update(b"\0" + " ".join(c.split()).encode("utf-8", "surrogatepass") if isinstance(c, str) else b"\1" + c.hash.to_bytes(8, "little"))
+            n.words += len(c.split()) if isinstance(c, str) else c.words
+            n.full = n.full or not isinstance(c, str) and (c.full or c.tag in TEXTS)
         n.hash = h.intdigest()
-        n.size = sum(len(c) if isinstance(c, str) else c.size for c in n.children)
     return node.hash
 
 
@@ -233,25 +245,40 @@ def content(root: Node) -> list[Node]:
 
 
 def candidates(root: Node) -> list[tuple[Node, int]]:
-    """With their kinds: the subtrees in the content that can be deleted as templates. Boxes and lists are LARGE with a
-    third of the content's text or more, else SMALL; spans and links are INLINE if as small; paragraphs, headings, items and
-    the like are TEXT from 20 characters on, as shorter ones recur by chance. Tables count as a whole, not by cells,
-    and emphasis inside sentences doesn't count. `digest` comes first."""
+    """With their kinds: the subtrees of a page that can be templates; `digest` comes first.
+
+    Around the content, and in menus, forms and the like inside it, these are
+    all block elements; in the content boxes and lists, links and spans, and
+    paragraphs, headings and items. An element that holds one other and nothing
+    else stands for both. Tables count as a whole, not by cells, and emphasis
+    inside sentences doesn't count, nor do paragraphs of one or two words, which
+    recur by chance; of several articles each is a box.
+    """
     held = content(root)
-    most = sum(n.size for n in held) / 3
-    out, todo = [], [c for n in held for c in n.children if not isinstance(c, str)]
+    inner = {id(n) for n in held}
+    out, todo = [], [(root, False, False)]
     while todo:
-        n = todo.pop()
-        if n.furniture():
+        n, inside, alone = todo.pop()
+        if n.tag in RAW or n.tag == "head":
             continue
-        if n.tag in ("div", "section", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "center"):
-            out.append((n, SMALL if n.size < most else LARGE))
-        elif n.tag in ("span", "a"):
-            if n.size < most:
-                out.append((n, INLINE))
-        elif n.tag in TEXTS and n.size >= 20:
-            out.append((n, TEXT))
-        todo += [c for c in n.children if not isinstance(c, str)]
+        own = id(n) in inner
+        outside = not (inside or own) or n.furniture(names=False)
+        kind = 0
+        if outside:
+            kind = OUTSIDE if n.tag in BLOCKS and n.tag not in ("html", "body") and not n.holds else 0
+        elif n.tag in BOXES and (not own or len(held) > 1):
+            kind = BOX
+        elif not own:
+            kind = INLINE if n.tag in ("span", "a") else TEXT if n.tag in TEXTS and n.words >= 3 else 0
+        if kind and not alone:
+            out.append((n, kind))
+            if kind == BOX and not n.full:
+                out.append((n, BARE))
+            if n.named and not outside and not n.holds and n.tag not in HEADINGS:
+                out.append((n, NAMED))
+        kids = [c for c in n.children if not isinstance(c, str)]
+        only = bool(kind) and len(kids) == 1 and not any(isinstance(c, str) and not c.isspace() for c in n.children)
+        todo += [(c, not outside, only and not kids[0].named) for c in kids]
     return out
 
 
@@ -263,8 +290,30 @@ def alike(root: Node) -> int:
     return signed(h.intdigest())
 
 
-def blocks(nodes: list[Node], template: frozenset[int]) -> list[str]:
-    """The squeezed text of each block in page order; subtrees with a template's hash are left out."""
+def prune(root: Node, inner: frozenset[int], outer: frozenset[int]) -> int:
+    """Delete the topmost subtrees whose hashes are templates, of `inner` in the content and of `outer` around it; how many they were."""
+    held = {id(n) for n in content(root)}
+    removed, todo = 0, [(root, id(root) in held)]
+    while todo:
+        n, inside = todo.pop()
+        kept = []
+        for c in n.children:
+            if isinstance(c, str):
+                kept.append(c)
+                continue
+            outside = not (inside or id(c) in held) or c.furniture(names=False)
+            if c.hash in (outer if outside else inner) and not (outside and c.holds):
+                removed += 1
+                kept.append(" ")
+                continue
+            kept.append(c)
+            todo.append((c, not outside))
+        n.children = kept
+    return removed
+
+
+def blocks(nodes: list[Node], template: frozenset[int] = frozenset(), names: bool = True) -> list[str]:
+    """The squeezed text of each block in page order; furniture and subtrees with a template's hash are left out."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -291,7 +340,7 @@ def blocks(nodes: list[Node], template: frozenset[int]) -> list[str]:
                     cut()
                 elif c.tag == "br":
                     parts.append(" ")
-            elif (not c.furniture() or c.tag == "header" and c.title and top.tag in ("article", "main") and not c.hidden) and c.hash not in template:
+            elif (not c.furniture(names) or c.tag == "header" and c.title and top.tag in ("article", "main") and not c.hidden) and c.hash not in template:
                 if c.tag in BLOCKS:
                     cut()
                 todo.append(iter(c.children))
@@ -300,68 +349,113 @@ def blocks(nodes: list[Node], template: frozenset[int]) -> list[str]:
     return out
 
 
-def host_of(url: str | None) -> str:
+def host_of(url: str | None) -> tuple[str, str]:
+    """A page's host and the first folder of its path (empty without one)."""
     m = HOST.match(url or "")
-    return m[1].lower() if m else ""
+    return (m[1].lower(), m[2] or "") if m else ("", "")
 
 
-def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int = 20) -> DataFrame:
-    """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars, n_removed (template subtrees left out).
+def page_hashes(html: str | None) -> tuple[int, list[tuple[int, int]]]:
+    """What equal contents have in common, and (hash, kind) of the subtrees of a page, each once."""
+    root = parse(html or "")
+    digest(root)
+    return alike(root), sorted({(signed(n.hash), k) for n, k in candidates(root)})
 
-    A subtree is a template of its host if it occurs on at least `min_pages` of
-    its pages and on more than `share` of them, or, links and spans excepted (they
-    are words of sentences), on `many` pages that differ in content, however
-    large the host is. Where it has a third of the text or more, and for
-    paragraphs and the like, copies of a page count once; the latter need `many`
-    pages, as pages of a small host may share a line. Null and empty html give an empty
+
+def template_counts(seen: DataFrame, min_pages: int, share: float, many: int, few: int) -> DataFrame:
+    """(host, h, kinds): the templates of each host and the kinds in which they are; h = 0 stands for a host of `few` pages or more.
+
+    `seen` has host, section, alike and hashes. Pages with equal content count
+    once. Two levels of sums, so no task holds a host's pages; a page counts as
+    the hash 0 itself.
+    """
+    each = seen.select("host", "section", "alike", F.explode(F.concat(F.expr("array(0L)"), F.array_distinct("hashes.h"))).alias("h"))
+    apart = each.groupBy("host", "section", "alike", "h").agg(F.count("*").alias("copies"))
+    by_section = durable(apart.groupBy("host", "section", "h").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")))
+    pages = by_section.where("h = 0").select(F.col("host").alias("_host"), F.col("section").alias("_section"), F.col("n").alias("pages"))
+    found = by_section.where(f"h <> 0 and n >= {int(min_pages)}").join(pages, (F.col("host") == F.col("_host")) & (F.col("section") == F.col("_section")))
+    regular = found.where(F.col("n") > share * F.col("pages")).select("host", "h", "n")
+    of_host = by_section.groupBy("host", "h").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).where("copies >= 2")
+    whole = of_host.where("h = 0").select(F.col("host").alias("_host"), F.col("n").alias("pages"), F.col("copies").alias("all_pages"))
+    shared = of_host.where("h <> 0").join(whole, F.col("host") == F.col("_host")).select("host", "h", "n", (F.col("n") > share * F.col("pages")).alias("regular"), (F.col("copies") > share * F.col("all_pages")).alias("usual"), "copies")
+    # Regular: on more than `share` of the pages of the host, or of one section of it.
+    most = regular.groupBy("host", "h").agg(F.max("n").alias("at")).withColumnsRenamed({"host": "_host", "h": "_h"})
+    joined = shared.join(most, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")), "left")
+    n, regular = F.col("n"), F.coalesce(F.when(F.col("regular"), F.col("n")), F.col("at"), F.lit(0))
+    rules = {OUTSIDE: n >= min_pages, BOX: (regular >= min_pages) | (n >= many), INLINE: regular >= many, TEXT: regular >= many, NAMED: n >= 2, BARE: F.col("usual") & (F.col("copies") >= min_pages)}
+    kinds = F.array_compact(F.array(*(F.when(rule, F.lit(kind)) for kind, rule in rules.items())))
+    big = whole.where(f"pages >= {int(few)}").select(F.col("_host").alias("host"), F.lit(0).cast("long").alias("h"), F.array(F.lit(0)).alias("kinds"))
+    return joined.select("host", "h", kinds.alias("kinds")).where("size(kinds) > 0").unionByName(big)
+
+
+def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int = 20, few: int = 20) -> DataFrame:
+    """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars, n_removed (topmost template subtrees deleted).
+
+    Pages count apart if their contents differ, so copies of a page count once,
+    but for boxes without a paragraph, heading or item, which count on all.
+    A subtree is a template of its host if it occurs
+
+    * around the content, on `min_pages` pages;
+    * as a box or list in the content, on `many` pages, or on `min_pages` that are
+      more than `share` of the host's or of one of its sections (the path's first folder);
+    * as a paragraph, heading, item, link or span in the content, on `many` pages
+      that are more than `share` as well, as articles share lines of their own;
+    * with a name of furniture, on two pages. On hosts with fewer than `few` pages,
+      too few to count on, the name alone is enough.
+
+    Null and empty html give an empty
     text; rows without a url are of one host without a name; repeated rows are
-    pages of their own; pages of any length are read whole; other columns are
-    ignored; an empty table gives an empty one. White space of any kind inside a
+    pages of their own with equal results; pages of any length are read whole; other columns are
+    ignored, whatever their names; an empty table gives an empty one; ties at a
+    limit: `min_pages`, `many` and `few` are reached by equality, `share` must be exceeded. White space of any kind inside a
     block becomes one space, and blocks are joined by two newlines.
     """
     k1, k2 = row_keys("page_id", "url", "html")
     pages = pages.select("page_id", "url", "html", k1.alias("k1"), k2.alias("k2"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("kind", pa.int32())]))
         for b in batches:
             found, same = [], []
-            for html in b.column("html").to_pylist():
-                root = parse(html or "")
-                digest(root)
-                found.append([{"h": h, "kind": k} for h, k in sorted({(signed(n.hash), k) for n, k in candidates(root)})])
-                same.append(alike(root))
-            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(map(host_of, b.column("url").to_pylist()), pa.string()), pa.array(same, pa.int64()), pa.array(found, pa.list_(pa.struct([("h", pa.int64()), ("kind", pa.int32())])))], ["k1", "k2", "host", "alike", "hashes"])
-
-    seen = durable(pages.select("url", "html", "k1", "k2").mapInArrow(hashes, "k1 long, k2 long, host string, alike long, hashes array<struct<h:bigint,kind:int>>"))
-    # One row per host besides one per hash: a page counts as the hash null. Two levels, so no task holds a host's pages.
-    each = seen.select("host", "alike", F.inline(F.concat(F.expr("array(struct(cast(null AS bigint) AS h, 0 AS kind))"), "hashes")))
-    each = each.groupBy("host", "h", "alike").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind").isin(SMALL, INLINE), 1)).alias("small"), F.max("kind").alias("kind"))
-    counts = durable(each.groupBy("host", "h").agg(F.sum("n").alias("n"), F.sum("small").alias("small"), F.count("*").alias("apart"), F.max("kind").alias("kind")))
-    of = counts.where("h is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"), F.col("apart").alias("pages_apart"))
-    narrow = (F.col("small") >= min_pages) & (F.col("small") > share * F.col("pages"))
-    often = (F.col("kind") != TEXT) & (F.col("apart") >= min_pages) & (F.col("apart") > share * F.col("pages_apart"))
-    wide = (F.col("kind") != INLINE) & ((F.col("apart") >= many) | often)
-    template = counts.where(f"h is not null and n >= {int(min(min_pages, many))}").join(of, F.col("host") == F.col("_host")).where(narrow | wide).select("host", "h", wide.alias("wide"))
-    # Templates go to `SALT` places each, as a hot host's pages all have them; the pages' html is dealt by row, not by host.
-    spots = template.select(F.col("host").alias("_host"), F.col("h").alias("_h"), "wide", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    marks = seen.select("k1", "k2", "host", F.pmod("k1", F.lit(SALT)).cast("int").alias("salt"), F.inline("hashes"))
+            for html in b.column("html"):
+                a, hs = page_hashes(html.as_py())
+                found.append([{"h": h, "kind": k} for h, k in hs])
+                same.append(a)
+            hosts = list(map(host_of, b.column("url").to_pylist()))
+            columns = [b.column("k1"), b.column("k2"), pa.array([h for h, _ in hosts], pa.string()), pa.array([s for _, s in hosts], pa.string()), pa.array(same, pa.int64()), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "host", "section", "alike", "hashes"])
+
+    seen = durable(pages.select("url", "html", "k1", "k2").mapInArrow(hashes, "k1 long, k2 long, host string, section string, alike long, hashes array<struct<h:bigint,kind:int>>"))
+    template = durable(template_counts(seen, min_pages, share, many, few))
+    # Templates go to `SALT` places each, as a hot host's pages all have them; pages are dealt by row, not by host.
+    spots = template.select(F.col("host").alias("_host"), F.col("h").alias("_h"), "kinds", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    marks = seen.select("k1", "k2", "host", F.pmod("k1", F.lit(SALT)).cast("int").alias("salt"), F.inline(F.concat(F.expr("array(struct(0L AS h, 0 AS kind))"), "hashes")))
     on = (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt"))
-    lists = marks.join(spots, on).where(F.col("wide") | F.col("kind").isin(SMALL, INLINE)).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("h")).alias("templates")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    met = marks.join(spots, on).where(F.array_contains("kinds", F.col("kind")))
+    lists = met.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("h", "kind"))).alias("templates")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [None if t is None else zlib.compress(t.encode(), 1) for t in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "k1", "k2")), pa.array(data, pa.binary())], ["page_id", "url", "k1", "k2", "packed"])
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes, removed = [], [], []
-            for html, known in zip(b.column("html").to_pylist(), b.column("templates").to_pylist()):
-                root = parse(html or "")
-                drop = frozenset()
-                if known:
+            for data, known in zip(b.column("packed"), b.column("templates")):
+                data, known = data.as_py(), known.as_py() or []
+                root = parse("" if data is None else zlib.decompress(data).decode())
+                marks = {(t["h"] & 0xFFFFFFFFFFFFFFFF, t["kind"]) for t in known}
+                gone = 0
+                if inner_outer := marks - {(0, 0)}:
                     digest(root)
-                    drop = frozenset(n.hash for n, _ in candidates(root)) & {h & 0xFFFFFFFFFFFFFFFF for h in known}
-                texts.append("\n\n".join(blocks(content(root), drop)))
+                    gone = prune(root, frozenset(h for h, k in inner_outer if k != OUTSIDE), frozenset(h for h, k in inner_outer if k == OUTSIDE))
+                texts.append("\n\n".join(blocks(content(root), names=(0, 0) not in marks)))
                 sizes.append(len(texts[-1]))
-                removed.append(len(drop))
+                removed.append(gone)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
 
-    known = pages.join(lists, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("page_id", "url", "html", "templates")
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return known.mapInArrow(text, schema)
+    head = [pages.schema["page_id"], pages.schema["url"]]
+    small = pages.mapInArrow(packed, T.StructType([*head, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    known = small.join(lists, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("page_id", "url", "packed", "templates")
+    return known.mapInArrow(text, T.StructType([*head, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())]))
