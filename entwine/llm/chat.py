@@ -1,56 +1,88 @@
 """Chat formatting with collapse of cumulative snapshots, in DataFrame operations only.
 
 A service that logs a conversation after every turn leaves one log per turn,
-each a prefix of the next. A log's rolling hash after turn i is the sum of the
-hashes of (position, role, text) of its first i turns, twice with other seeds,
-which extends by one addition and is therefore a running sum in two levels. A
-conversation whose last hash is another's hash before its end is a prefix of it:
-anti-joins drop those, and all but the first of equal ones; the rest is rendered.
+each a prefix of the next. A turn is first reduced to two hashes of its role and
+text; the rolling hash of a prefix is the sum of the hashes of (position, turn)
+of its turns, in four words of 32 bits, which extends by one addition and is
+therefore a running sum in two levels. A conversation whose last hash is
+another's hash before its end is a prefix of it: an anti-join drops those, and
+all but the first of equal ones. Until then only hashes travel; texts are
+shuffled once, those of the conversations that are kept, and rendered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .common import durable, running_sums
+from .common import durable
 
 #: Turns of a conversation in one piece of its running sums.
 PIECE = 512
+#: Places among which a long conversation's turns are dealt when they meet the ids that are kept.
+SALT = 32
 
 
-def _hash(seed: int) -> Column:
-    parts = [F.lit(seed), F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    return F.xxhash64(*parts).cast("decimal(38,0)")
+def _part(turn: Column) -> Column:
+    """The piece of a turn number: monotone, and null before all others."""
+    return F.coalesce(F.shiftright(turn.cast("long"), 9), F.lit(-(1 << 62)))
+
+
+def _turn_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text"))
+
+
+def _settle_ties(numbered: DataFrame, turns: DataFrame) -> DataFrame:
+    """Put turns with equal numbers in the order of role, then text, for which alone their texts are read again."""
+    same = numbered.where("tie").select("conv_id", "part", "turn").distinct()
+    first = numbered.join(same.select(*(F.col(c).alias(f"_{c}") for c in same.columns)), (F.col("conv_id") == F.col("_conv_id")) & (F.col("part") == F.col("_part")) & F.col("turn").eqNullSafe(F.col("_turn")))
+    first = first.groupBy("_conv_id", "_part", "_turn").agg(F.min("at").alias("_first"))
+    texts = turns.select("conv_id", "turn", "role", "text", _part(F.col("turn")).alias("part")).join(first, (F.col("conv_id") == F.col("_conv_id")) & (F.col("part") == F.col("_part")) & F.col("turn").eqNullSafe(F.col("_turn")))
+    texts = texts.select("_conv_id", "_part", "_turn", "_first", "role", "text", _turn_hash(1).alias("_t1"), _turn_hash(2).alias("_t2")).distinct()
+    nth = F.row_number().over(Window.partitionBy("_conv_id", "_part", "_turn").orderBy("role", "text")) - 1
+    ranked = texts.select("_conv_id", "_part", "_turn", "_t1", "_t2", (F.col("_first") + nth).alias("_at"))
+    on = (F.col("conv_id") == F.col("_conv_id")) & (F.col("part") == F.col("_part")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    return numbered.join(ranked, on, "left").select("conv_id", "part", "turn", "t1", "t2", F.coalesce("_at", "at").alias("at"))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, pos, h1, h2): each turn's position from 0 and the rolling hashes up to and with it."""
-    rows = turns.select("conv_id", "turn", "role", "text").where("conv_id is not null").distinct()
-    keyed = rows.withColumns({"_part": F.floor(F.coalesce(F.col("turn"), F.lit(0)) / PIECE).cast("long"), "_one": F.lit(1).cast("long"), "_turn": F.coalesce(F.col("turn"), F.lit(0))})
-    order = ["_turn", "turn", "role", "text"]
-    numbered = running_sums(keyed, ["conv_id"], "_part", order, {"pos": "_one"})
-    hashed = numbered.withColumns({"_h1": _hash(1), "_h2": _hash(2), "_part": F.floor(F.col("pos") / PIECE).cast("long")})
-    summed = running_sums(hashed, ["conv_id"], "_part", ["pos"], {"h1": "_h1", "h2": "_h2"})
-    return summed.select("conv_id", "turn", "role", "text", "pos", (F.col("h1") + F.col("_h1")).alias("h1"), (F.col("h2") + F.col("_h2")).alias("h2"))
+    """(conv_id, n_turns, pos, p1, p2): per turn its position from 0 and the two hashes of the prefix that ends with it."""
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", _part(F.col("turn")).alias("part"), _turn_hash(1).alias("t1"), _turn_hash(2).alias("t2"))
+    # One exchange serves the removal of repeated rows and the numbering.
+    inside = Window.partitionBy("conv_id", "part").orderBy("turn", "t1", "t2")
+    at, before = F.row_number().over(inside) - 1, F.lag("turn").over(inside)
+    numbered = rows.repartition("conv_id", "part").distinct().select("*", at.cast("long").alias("at"), before.eqNullSafe(F.col("turn")).alias("same"))
+    numbered = durable(numbered.select("conv_id", "part", "turn", "t1", "t2", "at", (F.col("same") & (F.col("at") > 0)).alias("tie")))
+    if numbered.where("tie").limit(1).count():
+        numbered = durable(_settle_ties(numbered, turns))
+    # Totals of the pieces give each piece's shift; a conversation's turns never gather in one task.
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select(F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"), F.sum("n").over(Window.partitionBy("conv_id")).alias("n_turns"))
+    on = (F.col("conv_id") == F.col("_conv_id")) & (F.col("part") == F.col("_part"))
+    placed = numbered.join(sizes, on).select("conv_id", "part", "n_turns", (F.col("at") + F.col("shift")).alias("pos"), "t1", "t2")
+    a, b, low = F.xxhash64(F.lit(1), "pos", "t1", "t2"), F.xxhash64(F.lit(2), "pos", "t1", "t2"), F.lit(0xFFFFFFFF)
+    words = {"w0": a.bitwiseAND(low), "w1": F.shiftrightunsigned(a, 32), "w2": b.bitwiseAND(low), "w3": F.shiftrightunsigned(b, 32)}
+    hashed = placed.select("conv_id", "part", "n_turns", "pos", *(h.alias(w) for w, h in words.items()))
+    totals = hashed.groupBy("conv_id", "part").agg(*(F.sum(w).alias(w) for w in words))
+    totals = totals.select(F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part"), *(F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_{w}") for w in words))
+    upto = Window.partitionBy("conv_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = hashed.select("conv_id", "part", "n_turns", "pos", *(F.sum(w).over(upto).alias(w) for w in words)).join(totals, on)
+    sums = [F.col(w) + F.col(f"_{w}") for w in words]
+    return summed.select("conv_id", "n_turns", "pos", F.xxhash64(F.lit(1), *sums).alias("p1"), F.xxhash64(F.lit(2), *sums).alias("p2"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, copies, first_id): every conversation that is kept.
+    """(conv_id, n_turns, copies): every conversation that is kept.
 
     `copies` conversations have exactly these turns; the one with the smallest id
-    stands for them.
+    stands for them. An empty table gives an empty one.
     """
-    hashes = durable(prefixes(turns).select("conv_id", "pos", "h1", "h2"))
-    return _maximal(hashes)
-
-
-def _maximal(hashes: DataFrame) -> DataFrame:
-    ends = hashes.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("last")).select("conv_id", "last.*")
-    whole = ends.groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
-    # A hash that some conversation has before its end: prefixes, each once however many conversations begin with it.
-    ended = ends.select(F.col("conv_id").alias("_id"), F.col("pos").alias("_end"))
-    inner = hashes.join(ended, F.col("conv_id") == F.col("_id")).where("pos < _end").select(F.col("pos").alias("_pos"), F.col("h1").alias("_1"), F.col("h2").alias("_2")).distinct()
-    on = (F.col("pos") == F.col("_pos")) & (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))
+    hashes = durable(prefixes(turns))
+    whole = hashes.where("pos = n_turns - 1").groupBy("pos", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    # What some conversation has before its end: each prefix once, however many conversations begin with it.
+    inner = hashes.where("pos < n_turns - 1").select(F.col("pos").alias("_pos"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2")).distinct()
+    on = (F.col("pos") == F.col("_pos")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2"))
     return whole.join(inner, on, "left_anti").select("conv_id", (F.col("pos") + 1).alias("n_turns"), "copies")
 
 
@@ -61,14 +93,18 @@ def format_chats(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im
     turn (null first), then role, then text where turns tie. Rows that are
     repeated exactly count once; a null role or text renders as empty but differs
     from an empty one in comparisons; rows without conv_id belong to no
-    conversation and are dropped; extra columns are ignored; an empty table gives
-    an empty one. A rendered conversation is one value, so it alone, not what
+    conversation and are dropped; extra columns are ignored, whatever their names; an empty table gives
+    an empty one; texts of any length are hashed and rendered whole. A rendered conversation is one value, so it alone, not what
     the operator gathers besides, is as long as its conversation.
     """
-    rows = prefixes(turns)
-    hashes = durable(rows.select("conv_id", "pos", "h1", "h2"))
-    kept = _maximal(hashes).withColumnRenamed("conv_id", "_id")
-    numbered = rows.select("conv_id", "pos", F.concat(F.lit(start), F.coalesce(F.col("role"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text"), F.lit("")), F.lit(end + "\n")).alias("piece"))
-    joined = numbered.join(kept, F.col("conv_id") == F.col("_id"))
-    parts = joined.groupBy("conv_id", "n_turns", "copies", F.floor(F.col("pos") / PIECE).alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-    return parts.groupBy("conv_id", "n_turns", "copies").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("rendered"))
+    turns = turns.select("conv_id", "turn", "role", "text")
+    kept = durable(maximal(turns)).withColumnRenamed("conv_id", "_id")
+    piece = lambda x: F.concat(F.lit(start), F.coalesce(x["role"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit(end + "\n"))
+    render = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))), piece), "")
+    short = turns.join(kept.where(F.col("n_turns") <= PIECE), F.col("conv_id") == F.col("_id")).groupBy("conv_id", "n_turns", "copies").agg(render.alias("rendered"))
+    # Long conversations are rendered in pieces, which meet as finished texts only.
+    spread = kept.where(F.col("n_turns") > PIECE).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = turns.withColumns({"salt": F.pmod(F.xxhash64("turn"), F.lit(SALT)).cast("int"), "part": _part(F.col("turn"))})
+    long = salted.join(spread, (F.col("conv_id") == F.col("_id")) & (F.col("salt") == F.col("_salt"))).groupBy("conv_id", "n_turns", "copies", "part").agg(render.alias("piece"))
+    long = long.groupBy("conv_id", "n_turns", "copies").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("rendered"))
+    return short.unionByName(long)
