@@ -17,18 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate data, `spark.checkpoint.dir`.
 
-    The folder is `spark.checkpoint.dir`; only where that is unset (tests on one
-    machine) a temporary one is made.
+    Only on one machine (a local master, as in tests) a temporary folder stands
+    in for it; elsewhere other executors could not see that, so it is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="entwine-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="entwine-scratch-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def disguised(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its columns named c0, c1, ... and what each name has become: working columns can't clash with any."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), {n: f"c{i}" for i, n in enumerate(docs.columns)}
+
+
 def words_of(text: Column) -> Column:
     """The array of a text's words; empty for null and blank texts."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, n_words_of, row_keys, running_sums
+from .common import disguised, durable, n_words_of, row_keys, running_sums
 
 #: The fraction of the golden ratio in steps of 2^-31: multiples of it, mod 2^31, are the points.
 GOLDEN, POINTS = 1327217885, 1 << 31
@@ -119,17 +119,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The whole documents of the mix with all columns of `docs`: each as often as the mix begins it (0, 1 or 2 times).
+    """The whole documents of the mix with all columns of `docs` as they are, whatever their names: each as often as the mix begins it (0, 1 or 2 times).
 
     Decisions are joined by a hash of id, source and text; rows that are equal
     in these share their copies, the first of them the odd ones. The window that
-    numbers them uses the join's own partitions and order.
+    numbers them uses the join's own partitions and order. Null and blank texts
+    have no words and are not in the mix; an empty table gives an empty one.
     """
     rows, _ = mix(docs, **options)
     wanted = rows.groupBy("k1", "k2").agg(F.sum("starts").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    k1, k2 = row_keys("doc_id", "source", "text")
-    joined = docs.withColumns({"_1": k1, "_2": k2}).join(wanted, (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")))
+    plain, name = disguised(docs)
+    k1, k2 = row_keys(*(name[c] for c in ("doc_id", "source", "text")))
+    joined = plain.withColumns({"_1": k1, "_2": k2}).join(wanted, (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")))
     nth = F.row_number().over(Window.partitionBy("_1", "_2").orderBy("_1"))
     copies = F.expr("cast(_copies div _rows + if(_nth <= _copies % _rows, 1, 0) as int)")
     each = F.explode(F.expr("sequence(1, _own)"))
-    return joined.withColumn("_nth", nth).withColumn("_own", copies).where("_own > 0").withColumn("_copy", each).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return joined.withColumn("_nth", nth).withColumn("_own", copies).where("_own > 0").withColumn("_copy", each).select(*plain.columns).toDF(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, durable, local_roots, mix64
+from .common import connected_components, disguised, durable, local_roots, mix64
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9995
 BLOCK, SHINGLES = 1024, 1_000_000
@@ -293,14 +293,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, with all columns, that stand for their class of similar documents: one row of each class.
+    """The rows of `docs`, with all columns as they are, whatever their names, that stand for their class of similar documents: one row of each class.
 
     Rows with one doc_id are one document, so of several with the class's first
-    id one stays. Null and blank texts have no similar ones and stay.
+    id one stays. Null and blank texts and rows without an
+    id have no similar ones and stay; an empty table gives an empty one.
     """
     join = jaccard_join(docs, **options)
     drop = join.where("n_links > 0").groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("_kept")).withColumnRenamed("doc_id", "_id")
-    left = docs.join(drop, F.col("doc_id") == F.col("_id"), "left").where("_id is null or _kept = 1")
-    linked = F.col("_id").isNotNull()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return left.withColumn("_nth", nth).where(~linked | (F.col("_nth") == 1)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, name = disguised(docs)
+    left = rows.join(drop, F.col(name["doc_id"]) == F.col("_id"), "left").where("_id is null or _kept = 1")
+    # Rows that are not linked are windows of their own, so those without an id don't meet in one task.
+    left = left.withColumn("_alone", F.when(F.col("_id").isNull(), F.monotonically_increasing_id()))
+    nth = F.row_number().over(Window.partitionBy(name["doc_id"], "_alone").orderBy(F.xxhash64(name["text"])))
+    return left.withColumn("_nth", nth).where("_nth = 1").select(*rows.columns).toDF(*docs.columns)

@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from . import quality as operator
-from .quality import BINS
-
-#: The SQL stays as it was: its word_length bins saturate, so it never rejects by word length as the operator does (README).
-RULES = tuple(replace(r, den="10 * n_words", scale=10) if r.name == "word_length" else r for r in operator.RULES)
-
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 EMBEDDINGS = """WITH RECURSIVE v AS (
@@ -33,33 +25,37 @@ u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, rendered FROM
 SELECT conv_id, n_turns, copies, rendered FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.n_turns > u.n_turns AND starts_with(o.rendered, u.rendered))"""
 
 
-def quality(min_rows: int = 100, reach: int = 3) -> str:
-    bins = ", ".join(f"CASE WHEN {r.den} > 0 THEN least({BINS}, ({BINS * r.scale} * {r.num}) // greatest({r.den}, 1)) ELSE 0 END AS bin_{r.name}" for r in RULES)
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{r.name}' AS rule, bin_{r.name} AS bin FROM m WHERE NOT base_failed" for r in RULES)
-    levels = " UNION ALL ".join(
-        f"SELECT '{name}' AS level, {lang} AS lang, {source} AS source, rule, bin, sum(n) AS n FROM h GROUP BY {', '.join(str(i) for i in (2, 3, 4, 5))}"
-        for name, lang, source in (("group", "lang", "source"), ("lang", "lang", "NULL"), ("all", "NULL", "NULL"))
-    )
-    spread = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.least_spread}" for r in RULES) + " END"
-    tests = []
-    for r in RULES:
-        fence = lambda x, r=r: f"(SELECT {x} FROM f WHERE f.level = k.level AND f.lang IS NOT DISTINCT FROM k.l AND f.source IS NOT DISTINCT FROM k.s AND f.rule = '{r.name}')"
-        tests.append(f"coalesce(bin_{r.name} > {fence('hi')}, false)")
-        if r.below:
-            tests.append(f"coalesce(bin_{r.name} < {fence('lo')}, false)")
+#: The quality rules in the SQL's own words: name, numerator, denominator, least spread in ten-thousandths, whether low values fail too.
+QUALITY_RULES = (
+    ("symbols", "n_symbols", "word_chars", 100, False),
+    ("dup_lines", "n_dup_lines", "n_lines", 1000, False),
+    ("repeats", "n_repeat_words", "n_words", 600, False),
+    ("shouting", "n_shouts", "word_chars", 400, False),
+    ("word_length", "word_chars", "n_words", 3000, True),
+)
+
+
+def quality(weight: int = 50, reach: int = 3) -> str:
+    """Counts of whole texts, quartiles in cells of a 64th of the value, fences at `reach` spreads, small groups drawn to larger ones."""
+    rows = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{n}' AS rule, CASE WHEN {den} > 0 THEN (10000 * {num}) // {den} ELSE 0 END AS v FROM m0" for n, num, den, _, _ in QUALITY_RULES)
+    spread = "CASE rule " + " ".join(f"WHEN '{n}' THEN {s}" for n, _, _, s, _ in QUALITY_RULES) + " END"
+    low = " OR ".join(f"rule = '{n}'" for n, _, _, _, below in QUALITY_RULES if below)
+    mean = lambda x, n, own, above: f"(coalesce({n}, 0) * coalesce({own}.{x}, 0) + {weight} * {above}) // (coalesce({n}, 0) + {weight})"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM (SELECT rid, i, w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d))),
 r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
 l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
-m0 AS (SELECT d.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[\\p{{Lu}}!]'))::BIGINT AS n_shouts,
-  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN l USING (rid) LEFT JOIN r USING (rid)),
-m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {bins} FROM m0),
-h AS (SELECT lang, source, rule, bin, count(*) AS n FROM ({rows}) GROUP BY lang, source, rule, bin),
-lv AS ({levels}),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS c, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM lv),
-q AS (SELECT level, lang, source, rule, min(bin) FILTER (4 * c >= total) AS q1, min(bin) FILTER (4 * c >= 3 * total) AS q3, max(total) AS total FROM cum GROUP BY level, lang, source, rule),
-f AS (SELECT *, q3 + {reach} * greatest(q3 - q1, {spread}) AS hi, q1 - {reach} * greatest(q3 - q1, {spread}) AS lo FROM q),
-sz AS (SELECT level, lang, source, max(total) AS total FROM f GROUP BY level, lang, source),
-k AS (SELECT m.*, CASE WHEN g1.total >= {min_rows} THEN 'group' WHEN g2.total >= {min_rows} THEN 'lang' ELSE 'all' END AS level, CASE WHEN g1.total >= {min_rows} OR g2.total >= {min_rows} THEN m.lang END AS l, CASE WHEN g1.total >= {min_rows} THEN m.source END AS s
-  FROM m LEFT JOIN sz g1 ON g1.level = 'group' AND g1.lang IS NOT DISTINCT FROM m.lang AND g1.source IS NOT DISTINCT FROM m.source LEFT JOIN sz g2 ON g2.level = 'lang' AND g2.lang IS NOT DISTINCT FROM m.lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(tests)}) AS kept FROM k"""
+m0 AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (SELECT d.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[\\p{{Lu}}!]'))::BIGINT AS n_shouts,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN l USING (rid) LEFT JOIN r USING (rid))),
+v AS ({rows}),
+s AS (SELECT lang, source, rule, v, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)::INT) << (length(bin(v)) - 7)::INT END AS cell FROM v WHERE NOT base_failed),
+q1 AS (SELECT lang, source, rule, count(*) AS n, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3 FROM s GROUP BY ALL),
+q2 AS (SELECT lang, rule, count(*) AS n, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3 FROM s GROUP BY ALL),
+q3 AS (SELECT rule, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3 FROM s GROUP BY ALL),
+f2 AS (SELECT k.lang, q3.rule, {mean("q1", "q2.n", "q2", "q3.q1")} AS q1, {mean("q3", "q2.n", "q2", "q3.q3")} AS q3
+  FROM (SELECT DISTINCT lang FROM m0) k CROSS JOIN q3 LEFT JOIN q2 ON q2.lang IS NOT DISTINCT FROM k.lang AND q2.rule = q3.rule),
+f AS (SELECT lang, source, rule, q3 + {reach} * greatest(q3 - q1, {spread}) AS hi, CASE WHEN {low} THEN q1 - {reach} * greatest(q3 - q1, {spread}) END AS lo
+  FROM (SELECT k.lang, k.source, f2.rule, {mean("q1", "q1.n", "q1", "f2.q1")} AS q1, {mean("q3", "q1.n", "q1", "f2.q3")} AS q3
+    FROM (SELECT DISTINCT lang, source FROM m0) k JOIN f2 ON f2.lang IS NOT DISTINCT FROM k.lang LEFT JOIN q1 ON q1.lang IS NOT DISTINCT FROM k.lang AND q1.source IS NOT DISTINCT FROM k.source AND q1.rule = f2.rule)),
+bad AS (SELECT DISTINCT rid FROM v JOIN f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.rule = v.rule WHERE v.v > f.hi OR coalesce(v.v < f.lo, false))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM m0 LEFT JOIN bad USING (rid)"""

@@ -1,12 +1,14 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
 Each document gets counts (words, symbols, repeated lines and words, shouting).
-A mergeable quantile sketch per language and source replaces fixed cutoffs: the
-histogram of a ratio at a fixed resolution (`BINS`), which merges by adding
-counts, so Spark builds it with map-side combining and hot sources cost no more
-than cold ones. Sketches of a language's sources, and of all languages, are sums
-of the same rows and stand in for groups with fewer than `min_rows` documents.
-Thresholds are Tukey fences of the sketch; documents are joined with their
+Mergeable quantile sketches per language and source replace fixed cutoffs. A
+sketch of a ratio counts its values in log-linear cells, whose width is at most a
+64th of the value, whatever its range: quantiles are right to that relative error,
+and sketches merge by adding counts, in any order, to the same sketch. So Spark
+builds them with map-side combining and hot sources cost no more than cold ones; a
+language's sketch is the sum of its sources', and all languages' the sum of those.
+A small group's quartiles lean on the merged sketch above it, the more the smaller
+it is. Thresholds are Tukey fences; documents are joined with their
 group's fences and filtered.
 """
 
@@ -17,32 +19,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, row_keys, words_of
+from .common import disguised, durable, row_keys, words_of
 
-#: Resolution of the sketch: ratios become whole numbers from 0 to BINS.
-BINS = 1000
+#: Ratios count in this part of one; cells are exact below 2 * STEPS and then STEPS to each doubling.
+UNIT, STEPS = 10_000, 64
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio num / den in thousandths (times `scale`), and the least spread its fence assumes."""
+    """A ratio num / den in parts of UNIT, and the least spread its fence assumes."""
 
     name: str
     num: str
     den: str
     least_spread: int
-    scale: int = 1
     below: bool = False
 
 
 #: The spread floors keep groups in which nearly all documents agree from rejecting slight deviations.
 RULES = (
-    Rule("symbols", "n_symbols", "word_chars", 10),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 100),
-    Rule("repeats", "n_repeat_words", "n_words", 60),
-    Rule("shouting", "n_shouts", "word_chars", 40),
-    # In tenths of a character a word, so that the top bin (100 characters) is far beyond real text.
-    Rule("word_length", "word_chars", "100 * n_words", 3, below=True),
+    Rule("symbols", "n_symbols", "word_chars", 100),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 1000),
+    Rule("repeats", "n_repeat_words", "n_words", 600),
+    Rule("shouting", "n_shouts", "word_chars", 400),
+    Rule("word_length", "word_chars", "n_words", 3000, below=True),
 )
 
 
@@ -72,88 +72,106 @@ def base_failed() -> Column:
 
 
 def ratio(rule: Rule) -> Column:
-    """The rule's ratio as a bin from 0 to BINS; 0 if there is nothing to divide by."""
-    den = F.expr(rule.den)
-    return F.when(den > 0, F.least(F.lit(BINS), F.expr(f"({BINS * rule.scale} * {rule.num}) div greatest({rule.den}, 1)"))).otherwise(0).cast("int")
+    """The rule's ratio in parts of UNIT, without a bound; 0 if there is nothing to divide by."""
+    return F.expr(f"CASE WHEN {rule.den} > 0 THEN ({UNIT} * {rule.num}) div greatest({rule.den}, 1) ELSE 0L END")
+
+
+def cell(value: Column) -> Column:
+    """The sketch's cell of a whole number from 0 on."""
+    e = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+    return (F.lit(STEPS).cast("long") * e + F.call_function("shiftright", value, e)).cast("int")
+
+
+def least_of(c: Column) -> Column:
+    """The least value of a cell, which stands for it."""
+    e = F.greatest(F.floor(c / STEPS) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", (c - STEPS * e).cast("long"), e)
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, rule, cell, n): the sketches of all groups, from documents that pass the base rule."""
+    values = F.array(*(F.struct(F.lit(r.name).alias("rule"), cell(F.col(f"value_{r.name}")).alias("cell")) for r in RULES))
+    return measured.where(~F.col("base_failed")).select("lang", "source", F.inline(values)).groupBy("lang", "source", "rule", "cell").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rule, n, q1, q3) of the sketch merged over all but the keys."""
+    merged = sketch.groupBy(*keys, "rule", "cell").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys, "rule")
+    ranked = merged.select(*keys, "rule", "cell", F.sum("n").over(w.orderBy("cell")).alias("upto"), F.sum("n").over(w).alias("total"))
+    at = lambda q: least_of(F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("cell"))))
+    return ranked.groupBy(*keys, "rule").agg(F.max("total").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
 
 
 def fences(measured: DataFrame, min_rows: int, reach: int) -> DataFrame:
-    """One row per (lang, source): the fences of every rule, from the group's sketch or a merged one."""
-    bins = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.col(f"bin_{r.name}").alias("bin")) for r in RULES))
-    sketch = durable(
-        measured.where(~F.col("base_failed")).select("lang", "source", F.inline(bins))
-        .groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
-    )
+    """One row per (lang, source): the fences of every rule.
+
+    A quartile is the mean of the group's own, weighted by its documents, and of
+    the language's, weighted as `min_rows` documents; likewise the language's and all languages'.
+    """
+    sketch = durable(sketches(measured))
+    wide = lambda q, keys, name: q.groupBy(*keys).agg(*(F.max(F.when(F.col("rule") == r.name, F.col(x))).alias(f"{name}_{r.name}_{x}") for r in RULES for x in ("n", "q1", "q3")))
     groups = measured.select("lang", "source").distinct()
-    levels = {
-        "group": (["lang", "source"], sketch),
-        "lang": (["lang"], sketch.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))),
-        "all": ([], sketch.groupBy("rule", "bin").agg(F.sum("n").alias("n"))),
-    }
-    for name, (keys, merged) in levels.items():
-        w = Window.partitionBy(*keys, "rule")
-        cum = merged.select(*keys, "rule", "bin", F.sum("n").over(w.orderBy("bin")).alias("cum"), F.sum("n").over(w).alias("total"))
-        at = lambda q: F.min(F.when(4 * F.col("cum") >= q * F.col("total"), F.col("bin")))
-        quart = cum.groupBy(*keys, "rule").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("total"))
-        cols = []
-        for r in RULES:
-            pick = F.col("rule") == r.name
-            spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(r.least_spread))
-            cols.append(F.max(F.when(pick, F.col("q3") + reach * spread)).alias(f"{name}_{r.name}_hi"))
-            if r.below:
-                cols.append(F.min(F.when(pick, F.col("q1") - reach * spread)).alias(f"{name}_{r.name}_lo"))
-        table = quart.groupBy(*keys).agg(*cols, F.max("total").alias(f"{name}_n"))
-        if keys:
-            groups = groups.join(table.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in table.columns if c not in keys)), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
-        else:  # one row: a dozen numbers
-            row = table.first()
-            groups = groups.withColumns({c: F.lit(row[c] if row else None).cast(table.schema[c].dataType) for c in table.columns})
+    for name, keys in (("group", ["lang", "source"]), ("lang", ["lang"])):
+        table = wide(quartiles(sketch, keys), keys, name).withColumnsRenamed({k: f"_{k}" for k in keys})
+        groups = groups.join(table, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
+    total = {r.rule: r for r in quartiles(sketch, []).collect()}  # one row per rule
     out = [F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source")]
     for r in RULES:
-        for side in ("hi", "lo")[: 1 + r.below]:
-            pick = F.when(F.col("group_n") >= min_rows, F.col(f"group_{r.name}_{side}")).when(F.col("lang_n") >= min_rows, F.col(f"lang_{r.name}_{side}")).otherwise(F.col(f"all_{r.name}_{side}"))
-            out.append(pick.alias(f"{r.name}_{side}"))
+        q = {}
+        for x in ("q1", "q3"):
+            value = F.lit(int(total[r.name][x]) if r.name in total else None).cast("long")
+            for level in ("lang", "group"):
+                n = F.coalesce(F.col(f"{level}_{r.name}_n"), F.lit(0))
+                own = F.coalesce(F.col(f"{level}_{r.name}_{x}"), F.lit(0))
+                value = F.call_function("div", n * own + min_rows * value, n + min_rows)
+            q[x] = value
+        spread = F.greatest(q["q3"] - q["q1"], F.lit(r.least_spread))
+        out.append((q["q3"] + reach * spread).alias(f"{r.name}_hi"))
+        if r.below:
+            out.append((q["q1"] - reach * spread).alias(f"{r.name}_lo"))
     return groups.select(*out)
 
 
-def assess(docs: DataFrame, min_rows: int = 100, reach: int = 3) -> DataFrame:
+def assess(docs: DataFrame, min_rows: int = 50, reach: int = 3) -> DataFrame:
     """Per row of `docs` (doc_id, text, lang, source): the counts, base_failed, failed (names of the fences crossed), kept.
 
     Also `k1` and `k2`, the hashes of these four with which decisions can be
     joined back to the texts. A null text counts as empty and fails the base rule; null languages and
-    sources are groups of their own; ties lie inside the fence (only values
+    sources are groups of their own; texts of any length are counted whole; ties lie inside the fence (only values
     beyond it fail); repeated rows are counted and judged one by one; columns
-    other than the four are left out; an empty table gives an empty one. The
-    fences come from the documents that pass the base rule.
+    other than the four are left out, whatever their names; an empty table gives an empty one. The
+    fences come from the documents that pass the base rule; without any there are none.
     """
-    named = [r.name for r in RULES]
     k1, k2 = row_keys("doc_id", "lang", "source", "text")
     measured = durable(
         counts(docs.select("doc_id", "text", "lang", "source", k1.alias("k1"), k2.alias("k2"))).drop("text")
         .withColumn("base_failed", base_failed())
-        .withColumns({f"bin_{r.name}": ratio(r) for r in RULES})
+        .withColumns({f"value_{r.name}": ratio(r) for r in RULES})
     )
     judged = measured.join(fences(measured, min_rows, reach), F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source")), "left")
     tests = []
     for r in RULES:
-        out = F.col(f"bin_{r.name}") > F.col(f"{r.name}_hi")
+        out = F.col(f"value_{r.name}") > F.col(f"{r.name}_hi")
         if r.below:
-            out = out | (F.col(f"bin_{r.name}") < F.col(f"{r.name}_lo"))
+            out = out | (F.col(f"value_{r.name}") < F.col(f"{r.name}_lo"))
         tests.append(F.when(out, F.lit(r.name)))
     failed = F.array_compact(F.array(*tests))
     return judged.select(
         "doc_id", "lang", "source", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts",
-        "base_failed", failed.alias("failed"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"), *(f"bin_{n}" for n in named),
+        "base_failed", failed.alias("failed"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"), *(f"value_{r.name}" for r in RULES),
     )
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns.
+    """The rows of `docs` that are kept, with all their columns as they are, whatever their names.
 
     Decisions are joined by a hash of id, language, source and text, which
-    settle a row's decision; rows equal in these have the same one.
+    settle a row's decision; rows equal in these have the same one. Empty and
+    null texts fail the base rule; an empty table gives an empty one.
     """
     judged = assess(docs, **options).where("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    k1, k2 = row_keys("doc_id", "lang", "source", "text")
-    keyed = docs.withColumns({"_1": k1, "_2": k2})
-    return keyed.join(judged, (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, name = disguised(docs)
+    k1, k2 = row_keys(*(name[c] for c in ("doc_id", "lang", "source", "text")))
+    kept = rows.withColumns({"_1": k1, "_2": k2}).join(judged, (F.col("_1") == F.col("_k1")) & (F.col("_2") == F.col("_k2")), "left_semi")
+    return kept.select(*rows.columns).toDF(*docs.columns)
