@@ -26,12 +26,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
     Normalised records are used by every channel, and a filter on one of their
     columns would otherwise be pushed below all steps that made it, which
-    repeats those steps once for each use. Where the setting is absent (tests on
-    one machine) a temporary folder is made.
+    repeats those steps once for each use. Where the setting is absent, a
+    temporary folder is made on one machine; with other masters it is an error.
     """
     import tempfile
 
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="entwine-checkpoint-"))
+    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="entwine-checkpoint-"))
     return df.checkpoint(eager=True)
