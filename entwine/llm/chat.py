@@ -19,8 +19,6 @@ from .common import durable
 
 #: Turns of a conversation in one piece of its running sums.
 PIECE = 512
-#: Places among which a long conversation's turns are dealt when they meet the ids that are kept.
-SALT = 32
 
 
 def _part(turn: Column) -> Column:
@@ -45,8 +43,8 @@ def _settle_ties(numbered: DataFrame, turns: DataFrame) -> DataFrame:
     return numbered.join(ranked, on, "left").select("conv_id", "part", "turn", "t1", "t2", F.coalesce("_at", "at").alias("at"))
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, pos, p1, p2): per turn its position from 0 and the two hashes of the prefix that ends with it."""
+def prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, n_turns, pos, p1, p2), per turn its position from 0 and the two hashes of the prefix that ends with it; and (conv_id, part), the pieces."""
     rows = turns.where("conv_id is not null").select("conv_id", "turn", _part(F.col("turn")).alias("part"), _turn_hash(1).alias("t1"), _turn_hash(2).alias("t2"))
     # One exchange serves the removal of repeated rows and the numbering.
     inside = Window.partitionBy("conv_id", "part").orderBy("turn", "t1", "t2")
@@ -69,16 +67,16 @@ def prefixes(turns: DataFrame) -> DataFrame:
     upto = Window.partitionBy("conv_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     summed = hashed.select("conv_id", "part", "n_turns", "pos", *(F.sum(w).over(upto).alias(w) for w in words)).join(totals, on)
     sums = [F.col(w) + F.col(f"_{w}") for w in words]
-    return summed.select("conv_id", "n_turns", "pos", F.xxhash64(F.lit(1), *sums).alias("p1"), F.xxhash64(F.lit(2), *sums).alias("p2"))
+    out = summed.select("conv_id", "n_turns", "pos", F.xxhash64(F.lit(1), *sums).alias("p1"), F.xxhash64(F.lit(2), *sums).alias("p2"))
+    return out, numbered.select("conv_id", "part").distinct()
 
 
-def maximal(turns: DataFrame) -> DataFrame:
+def maximal(hashes: DataFrame) -> DataFrame:
     """(conv_id, n_turns, copies): every conversation that is kept.
 
     `copies` conversations have exactly these turns; the one with the smallest id
     stands for them. An empty table gives an empty one.
     """
-    hashes = durable(prefixes(turns))
     whole = hashes.where("pos = n_turns - 1").groupBy("pos", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     # What some conversation has before its end: each prefix once, however many conversations begin with it.
     inner = hashes.where("pos < n_turns - 1").select(F.col("pos").alias("_pos"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2")).distinct()
@@ -98,13 +96,22 @@ def format_chats(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im
     the operator gathers besides, is as long as its conversation.
     """
     turns = turns.select("conv_id", "turn", "role", "text")
-    kept = durable(maximal(turns)).withColumnRenamed("conv_id", "_id")
+    hashes, parts = prefixes(turns)
+    kept = maximal(durable(hashes)).withColumnRenamed("conv_id", "_id")
+    pieces = parts.join(kept, F.col("conv_id") == F.col("_id"))
+    several = F.count("*").over(Window.partitionBy("conv_id"))
+    pieces = durable(pieces.select(F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part"), "n_turns", "copies", several.alias("pieces")))
+    # Texts are shuffled once, by conversation and piece; the pieces of long conversations meet as finished texts only.
     piece = lambda x: F.concat(F.lit(start), F.coalesce(x["role"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit(end + "\n"))
     render = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))), piece), "")
-    short = turns.join(kept.where(F.col("n_turns") <= PIECE), F.col("conv_id") == F.col("_id")).groupBy("conv_id", "n_turns", "copies").agg(render.alias("rendered"))
-    # Long conversations are rendered in pieces, which meet as finished texts only.
-    spread = kept.where(F.col("n_turns") > PIECE).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = turns.withColumns({"salt": F.pmod(F.xxhash64("turn"), F.lit(SALT)).cast("int"), "part": _part(F.col("turn"))})
-    long = salted.join(spread, (F.col("conv_id") == F.col("_id")) & (F.col("salt") == F.col("_salt"))).groupBy("conv_id", "n_turns", "copies", "part").agg(render.alias("piece"))
-    long = long.groupBy("conv_id", "n_turns", "copies").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("rendered"))
-    return short.unionByName(long)
+    keyed = turns.withColumn("part", _part(F.col("turn")))
+
+    def rendered(some: DataFrame) -> DataFrame:
+        met = keyed.join(some, (F.col("conv_id") == F.col("_conv_id")) & (F.col("part") == F.col("_part")))
+        return met.groupBy("conv_id", "part").agg(F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies"), render.alias("rendered"))
+
+    out = rendered(pieces.where("pieces = 1")).select("conv_id", "n_turns", "copies", "rendered")
+    if pieces.where("pieces > 1").limit(1).count():
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "rendered"))), lambda x: x["rendered"]), "")
+        out = out.unionByName(rendered(pieces.where("pieces > 1")).groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies"), joined.alias("rendered")))
+    return out

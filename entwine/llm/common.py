@@ -4,6 +4,7 @@ two levels, connected components, and numpy helpers for block-wise comparison.""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,26 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders made for sessions on one machine, by application.
+_made: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate data, `spark.checkpoint.dir`.
 
     Only on one machine (a local master, as in tests) a temporary folder stands
     in for it; elsewhere other executors could not see that, so it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="entwine-scratch-")
+    if sc.applicationId not in _made:
+        _made[sc.applicationId] = tempfile.mkdtemp(prefix="entwine-scratch-")
+    return _made[sc.applicationId]
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(scratch(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows as Parquet to the cluster's shared folder and read them from there.
+
+    Unlike a checkpoint such a table is compressed, is read column by column,
+    and has a known size, by which Spark chooses its joins.
+    """
+    path = f"{scratch(df.sparkSession)}/entwine-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def disguised(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -82,27 +92,38 @@ def running_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str], s
     return out.withColumns({k: F.col(k) + F.col(f"{k}_shift") for k in sums}).drop(*(f"_{c}" for c in by), *(f"{k}_shift" for k in sums))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, places: int = 64) -> DataFrame:
     """(id, component): the smallest id reachable from each end of the edges (a, b).
 
     Alternates large-star and small-star steps until the edge set no longer
     changes: every step is two aggregations and a join of edges, whose number
-    never grows, so neither hubs nor long chains gather in one place. The
-    lineage is cut each round.
+    never grows. Hubs, the nodes with more than a thousandth of all edges (and
+    over 1000), are at most 2000; their edges are dealt to `places` tasks each, so neither hubs nor
+    long chains gather in one place. The lineage is cut each round.
     """
     def fingerprint(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def with_least(e: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        """Each edge (u, v) with the least m of its u; `least` is (x, m, c) with a node's number of edges."""
+        most = max(1000, 2 * n // 1000)
+        hubs = F.broadcast(least.where(F.col("c") > most).select(F.col("x").alias("_hub")))
+        dealt = e.join(hubs, F.col("u") == F.col("_hub"), "left").select("u", "v", F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(places))).otherwise(0).cast("int").alias("place"))
+        to = F.explode(F.when(F.col("c") > most, F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0))))
+        return dealt.join(least.select("x", "m", to.alias("_place")), (F.col("u") == F.col("x")) & (F.col("place") == F.col("_place")))
+
+    def minima(e: DataFrame, m: Column) -> DataFrame:
+        return e.groupBy(F.col("u").alias("x")).agg(F.min(m).alias("m"), F.count("*").alias("c"))
+
     e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = fingerprint(e)
     for _ in range(rounds):
         if not was[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("x")).agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_least(both.where("v > u"), minima(both, F.least("u", "v")), was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = minima(large, F.col("v"))
+        small = with_least(large, least, was[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
         now = fingerprint(e)
         if now == was:
