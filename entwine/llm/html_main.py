@@ -13,7 +13,6 @@ enough pages to count on; there they only ask for less recurrence.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -290,8 +289,8 @@ def alike(root: Node) -> int:
     return signed(h.intdigest())
 
 
-def prune(root: Node, inner: frozenset[int], outer: frozenset[int]) -> int:
-    """Delete the topmost subtrees whose hashes are templates, of `inner` in the content and of `outer` around it; how many they were."""
+def prune(root: Node, host: str, inner: set[int], outer: set[int]) -> int:
+    """Delete the topmost subtrees whose hashes on the host are templates, of `inner` in the content and of `outer` around it; how many they were."""
     held = {id(n) for n in content(root)}
     removed, todo = 0, [(root, id(root) in held)]
     while todo:
@@ -302,7 +301,7 @@ def prune(root: Node, inner: frozenset[int], outer: frozenset[int]) -> int:
                 kept.append(c)
                 continue
             outside = not (inside or id(c) in held) or c.furniture(names=False)
-            if c.hash in (outer if outside else inner) and not (outside and c.holds):
+            if signed(on_host(host, c.hash)) in (outer if outside else inner) and not (outside and c.holds):
                 removed += 1
                 kept.append(" ")
                 continue
@@ -355,37 +354,43 @@ def host_of(url: str | None) -> tuple[str, str]:
     return (m[1].lower(), m[2] or "") if m else ("", "")
 
 
-def page_hashes(html: str | None) -> tuple[int, list[tuple[int, int]]]:
-    """What equal contents have in common, and (hash, kind) of the subtrees of a page, each once."""
+def on_host(host: str, h: int) -> int:
+    """A subtree's hash among those of its host: hashes of different hosts never meet, so they alone are the key."""
+    return xxhash.xxh64_intdigest(h.to_bytes(8, "little") + host.encode("utf-8", "surrogatepass"))
+
+
+def page_hashes(html: str | None, url: str | None = None) -> tuple[int, int, int, list[tuple[int, int]]]:
+    """A page's host and section as numbers, what equal contents have in common, and (hash on its host, kind) of its subtrees, each once."""
+    host, section = host_of(url)
     root = parse(html or "")
     digest(root)
-    return alike(root), sorted({(signed(n.hash), k) for n, k in candidates(root)})
+    found = sorted({(signed(on_host(host, n.hash)), k) for n, k in candidates(root)})
+    return signed(on_host(host, 0)), signed(on_host(f"{host}/{section}", 1)), alike(root), found
 
 
 def template_counts(seen: DataFrame, min_pages: int, share: float, many: int, few: int) -> DataFrame:
-    """(host, h, kinds): the templates of each host and the kinds in which they are; h = 0 stands for a host of `few` pages or more.
+    """(h, kinds): the templates and the kinds in which they are; a host's own number stands for a host of `few` pages or more, with the kind 0.
 
     `seen` has host, section, alike and hashes. Pages with equal content count
     once. Two levels of sums, so no task holds a host's pages; a page counts as
-    the hash 0 itself.
+    its host's number.
     """
-    each = seen.select("host", "section", "alike", F.explode(F.concat(F.expr("array(0L)"), F.array_distinct("hashes.h"))).alias("h"))
-    apart = each.groupBy("host", "section", "alike", "h").agg(F.count("*").alias("copies"))
-    by_section = durable(apart.groupBy("host", "section", "h").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")))
-    pages = by_section.where("h = 0").select(F.col("host").alias("_host"), F.col("section").alias("_section"), F.col("n").alias("pages"))
-    found = by_section.where(f"h <> 0 and n >= {int(min_pages)}").join(pages, (F.col("host") == F.col("_host")) & (F.col("section") == F.col("_section")))
-    regular = found.where(F.col("n") > share * F.col("pages")).select("host", "h", "n")
-    of_host = by_section.groupBy("host", "h").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).where("copies >= 2")
-    whole = of_host.where("h = 0").select(F.col("host").alias("_host"), F.col("n").alias("pages"), F.col("copies").alias("all_pages"))
-    shared = of_host.where("h <> 0").join(whole, F.col("host") == F.col("_host")).select("host", "h", "n", (F.col("n") > share * F.col("pages")).alias("regular"), (F.col("copies") > share * F.col("all_pages")).alias("usual"), "copies")
+    each = seen.select("host", "section", "alike", F.explode(F.concat(F.array("host"), F.array_distinct("hashes.h"))).alias("h"))
+    apart = each.groupBy("section", "alike", "h").agg(F.first("host").alias("host"), F.count("*").alias("copies"))
+    by_section = durable(apart.groupBy("section", "h").agg(F.first("host").alias("host"), F.count("*").alias("n"), F.sum("copies").alias("copies")))
+    pages = by_section.where("h = host").select(F.col("section").alias("_section"), F.col("n").alias("pages"))
+    found = by_section.where(f"h <> host and n >= {int(min_pages)}").join(pages, F.col("section") == F.col("_section"))
     # Regular: on more than `share` of the pages of the host, or of one section of it.
-    most = regular.groupBy("host", "h").agg(F.max("n").alias("at")).withColumnsRenamed({"host": "_host", "h": "_h"})
-    joined = shared.join(most, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")), "left")
+    most = found.where(F.col("n") > share * F.col("pages")).groupBy("h").agg(F.max("n").alias("at")).withColumnRenamed("h", "_h")
+    of_host = by_section.groupBy("h").agg(F.first("host").alias("host"), F.sum("n").alias("n"), F.sum("copies").alias("copies")).where("copies >= 2")
+    whole = of_host.where("h = host").select(F.col("host").alias("_host"), F.col("n").alias("pages"), F.col("copies").alias("all_pages"))
+    shared = of_host.where("h <> host").join(whole, F.col("host") == F.col("_host")).select("h", "n", "copies", (F.col("n") > share * F.col("pages")).alias("regular"), (F.col("copies") > share * F.col("all_pages")).alias("usual"))
+    joined = shared.join(most, F.col("h") == F.col("_h"), "left")
     n, regular = F.col("n"), F.coalesce(F.when(F.col("regular"), F.col("n")), F.col("at"), F.lit(0))
     rules = {OUTSIDE: n >= min_pages, BOX: (regular >= min_pages) | (n >= many), INLINE: regular >= many, TEXT: regular >= many, NAMED: n >= 2, BARE: F.col("usual") & (F.col("copies") >= min_pages)}
     kinds = F.array_compact(F.array(*(F.when(rule, F.lit(kind)) for kind, rule in rules.items())))
-    big = whole.where(f"pages >= {int(few)}").select(F.col("_host").alias("host"), F.lit(0).cast("long").alias("h"), F.array(F.lit(0)).alias("kinds"))
-    return joined.select("host", "h", kinds.alias("kinds")).where("size(kinds) > 0").unionByName(big)
+    big = whole.where(f"pages >= {int(few)}").select(F.col("_host").alias("h"), F.array(F.lit(0)).alias("kinds"))
+    return joined.select("h", kinds.alias("kinds")).where("size(kinds) > 0").unionByName(big)
 
 
 def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int = 20, few: int = 20) -> DataFrame:
@@ -410,52 +415,42 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int
     limit: `min_pages`, `many` and `few` are reached by equality, `share` must be exceeded. White space of any kind inside a
     block becomes one space, and blocks are joined by two newlines.
     """
-    k1, k2 = row_keys("page_id", "url", "html")
-    pages = pages.select("page_id", "url", "html", k1.alias("k1"), k2.alias("k2"))
+    (k,) = row_keys("page_id", "url", "html")[:1]
+    pages = pages.select("page_id", "url", "html", k.alias("k"))
+    schema = "k long, host long, section long, alike long, hashes array<struct<h:bigint,kind:int>>"
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("kind", pa.int32())]))
+        pairs = pa.list_(pa.struct([("h", pa.int64()), ("kind", pa.int32())]))
         for b in batches:
-            found, same = [], []
-            for html in b.column("html"):
-                a, hs = page_hashes(html.as_py())
-                found.append([{"h": h, "kind": k} for h, k in hs])
-                same.append(a)
-            hosts = list(map(host_of, b.column("url").to_pylist()))
-            columns = [b.column("k1"), b.column("k2"), pa.array([h for h, _ in hosts], pa.string()), pa.array([s for _, s in hosts], pa.string()), pa.array(same, pa.int64()), pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "host", "section", "alike", "hashes"])
-
-    seen = durable(pages.select("url", "html", "k1", "k2").mapInArrow(hashes, "k1 long, k2 long, host string, section string, alike long, hashes array<struct<h:bigint,kind:int>>"))
+            found = [page_hashes(html.as_py(), url) for html, url in zip(b.column("html"), b.column("url").to_pylist())]
+            numbers = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), *numbers, pa.array([[{"h": h, "kind": k} for h, k in f[3]] for f in found], pairs)], ["k", "host", "section", "alike", "hashes"])
+
+    seen = durable(pages.select("url", "html", "k").mapInArrow(hashes, schema))
     template = durable(template_counts(seen, min_pages, share, many, few))
     # Templates go to `SALT` places each, as a hot host's pages all have them; pages are dealt by row, not by host.
-    spots = template.select(F.col("host").alias("_host"), F.col("h").alias("_h"), "kinds", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    marks = seen.select("k1", "k2", "host", F.pmod("k1", F.lit(SALT)).cast("int").alias("salt"), F.inline(F.concat(F.expr("array(struct(0L AS h, 0 AS kind))"), "hashes")))
-    on = (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt"))
-    met = marks.join(spots, on).where(F.array_contains("kinds", F.col("kind")))
-    lists = met.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("h", "kind"))).alias("templates")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [None if t is None else zlib.compress(t.encode(), 1) for t in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "k1", "k2")), pa.array(data, pa.binary())], ["page_id", "url", "k1", "k2", "packed"])
+    # A page is named by one 64-bit hash: were two pages to share it, templates that a page doesn't contain change nothing in it.
+    spots = template.select(F.col("h").alias("_h"), "kinds", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    own = F.filter("hashes", lambda x: x["kind"] == NAMED)
+    marks = seen.select("k", F.pmod("k", F.lit(SALT)).cast("int").alias("salt"), F.inline(F.concat(F.when(F.size(own) > 0, F.array(F.struct(F.col("host").alias("h"), F.lit(0).alias("kind")))).otherwise(F.array().cast("array<struct<h:bigint,kind:int>>")), "hashes")))
+    met = marks.join(spots, (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt"))).where(F.array_contains("kinds", F.col("kind")))
+    lists = durable(met.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("h", "kind"))).alias("templates"))).withColumnRenamed("k", "_k")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes, removed = [], [], []
-            for data, known in zip(b.column("packed"), b.column("templates")):
-                data, known = data.as_py(), known.as_py() or []
-                root = parse("" if data is None else zlib.decompress(data).decode())
-                marks = {(t["h"] & 0xFFFFFFFFFFFFFFFF, t["kind"]) for t in known}
-                gone = 0
-                if inner_outer := marks - {(0, 0)}:
+            for html, url, known in zip(b.column("html"), b.column("url").to_pylist(), b.column("templates")):
+                root, marks, gone = parse(html.as_py() or ""), known.as_py() or [], 0
+                names = not any(t["kind"] == 0 for t in marks)
+                if any(t["kind"] for t in marks):
+                    host = host_of(url)[0]
                     digest(root)
-                    gone = prune(root, frozenset(h for h, k in inner_outer if k != OUTSIDE), frozenset(h for h, k in inner_outer if k == OUTSIDE))
-                texts.append("\n\n".join(blocks(content(root), names=(0, 0) not in marks)))
+                    gone = prune(root, host, *({t["h"] for t in marks if t["kind"] and (t["kind"] == OUTSIDE) == outside} for outside in (False, True)))
+                texts.append("\n\n".join(blocks(content(root), names=names)))
                 sizes.append(len(texts[-1]))
                 removed.append(gone)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
 
-    head = [pages.schema["page_id"], pages.schema["url"]]
-    small = pages.mapInArrow(packed, T.StructType([*head, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("packed", T.BinaryType())]))
-    known = small.join(lists, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").select("page_id", "url", "packed", "templates")
-    return known.mapInArrow(text, T.StructType([*head, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    # The lists are a table of known size: Spark sends them to the pages while they are small, else both are dealt by page.
+    known = pages.join(lists, F.col("k") == F.col("_k"), "left").select("page_id", "url", "html", "templates")
+    return known.mapInArrow(text, T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())]))

@@ -43,29 +43,28 @@ def test_unnamed_boilerplate_goes_by_recurrence_alone(spark):
 def test_counts_equal_plain_ones(spark):
     pages = site(90, 5)
     plain, whole = defaultdict(set), defaultdict(set)
-    copies = Counter()
-    for _, url, html in pages:
-        (host, section), (alike, hs) = html_main.host_of(url), html_main.page_hashes(html)
+    copies, host_of = Counter(), {}
+    rows = [html_main.page_hashes(html, url) for _, url, html in pages]
+    for host, section, alike, hs in rows:
         whole[host].add((section, alike))
         copies[host] += 1
         for h in {h for h, _ in hs}:
-            plain[host, h].add((section, alike))
-            copies[host, h] += 1
-    want = {}
-    for (host, h), at in plain.items():
-        if copies[host, h] < 2:
+            host_of[h] = host
+            plain[h].add((section, alike))
+            copies[h] += 1
+    want = {host: [0] for host, at in whole.items() if len(at) >= 20}
+    for h, at in plain.items():
+        host = host_of[h]
+        if copies[h] < 2:
             continue
         n, pages_of = len(at), Counter(s for s, _ in whole[host])
         regular = max([n if n > 0.3 * len(whole[host]) else 0] + [k for s, k in Counter(s for s, _ in at).items() if k >= 3 and k > 0.3 * pages_of[s]])
-        usual = copies[host, h] >= 3 and copies[host, h] > 0.3 * copies[host]
+        usual = copies[h] >= 3 and copies[h] > 0.3 * copies[host]
         kinds = [(1, n >= 3), (2, regular >= 3 or n >= 20), (3, regular >= 20), (4, regular >= 20), (5, n >= 2), (6, usual)]
         if any(ok for _, ok in kinds):
-            want[host, h] = sorted(k for k, ok in kinds if ok)
-    rows = [(*html_main.host_of(u), a, [{"h": h, "kind": k} for h, k in hs]) for _, u, html in pages for a, hs in [html_main.page_hashes(html)]]
-    seen = spark.createDataFrame(rows, "host string, section string, alike long, hashes array<struct<h:bigint,kind:int>>")
-    found = {(r.host, r.h): sorted(r.kinds) for r in html_main.template_counts(seen, 3, 0.3, 20, 20).collect()}
-    assert {k: v for k, v in found.items() if k[1]} == want
-    assert {h for h, k in found if not k} == {h for h, at in whole.items() if len(at) >= 20}
+            want[h] = sorted(k for k, ok in kinds if ok)
+    seen = spark.createDataFrame([(*r[:3], [{"h": h, "kind": k} for h, k in r[3]]) for r in rows], "host long, section long, alike long, hashes array<struct<h:bigint,kind:int>>")
+    assert {r.h: sorted(r.kinds) for r in html_main.template_counts(seen, 3, 0.3, 20, 20).collect()} == want
 
 
 def test_names_only_ask_for_less_recurrence(spark):
