@@ -139,3 +139,35 @@ def test_only_maximal_conversations_are_rendered(spark):
     assert got[7].rendered == "".join(f"<|im_start|>{'user' if i % 2 == 0 else 'assistant'}\nt{i}<|im_end|>\n" for i in range(1300))
     assert got[9].rendered == "<|im_start|>\n<|im_end|>\n"
     assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_pairs_found_at_the_threshold_reach_the_recall(spark):
+    """More projections than such a small table asks for: links found of those that all pairs have, for every 100th vector."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((3000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for i in range(1500, 3000):  # cosines from 0.9 on
+        other = rng.standard_normal(32)
+        other -= (other @ base[i - 1500]) * base[i - 1500]
+        c = rng.uniform(0.9, 0.93)
+        base[i] = c * base[i - 1500] + (1 - c * c) ** 0.5 * other / np.linalg.norm(other)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    hashing = embedding_dedup.plan(3000, 0.9, 0.97, bucket=8)
+    assert hashing.k > 4
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, hashing=hashing).collect()}
+    want = (base @ base.T >= 0.9).sum(axis=1) - 1
+    queries = range(0, 3000, 100)
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got[i] for i in queries) >= 0.9 * sum(want[i] for i in queries) and sum(got.values()) >= 0.97 * want.sum()
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((20000, 64))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = embedding_dedup.sketch(x).view(np.uint64), embedding_dedup.sketch(0.9 * x + (1 - 0.81) ** 0.5 * y).view(np.uint64)
+    assert np.bitwise_count(a ^ b).sum(axis=1).max() <= embedding_dedup.most_signs(0.9)
+    assert (np.bitwise_count(a[1:] ^ b[:-1]).sum(axis=1) <= embedding_dedup.most_signs(0.9)).mean() < 1e-4
