@@ -5,9 +5,11 @@ hashed shingles; bands of equal minima bring candidates together. Candidates are
 then verified on their full shingle sets, block by block:
 
 1. Texts with the same words become one representative with a count.
-2. Band hashes are shuffled without sets; a bucket links its members to its
-   smallest one, which makes clusters whose size does not matter yet.
-3. Members' shingle sets are moved once, to their cluster's tasks. Clusters of
+2. Band hashes are shuffled without sets. Texts that share a bucket are compared
+   there by a sketch, one bit of each minimum, and by their numbers of shingles;
+   a bucket returns a forest of the pairs that may be similar, so texts that share
+   a passage, and with it a band, are not linked for that.
+3. Members' shingle sets are moved once, to the tasks of their cluster of such links. Clusters of
    more than `BLOCK` documents, or `SHINGLES` shingles, are cut into blocks by
    hash, and every pair of blocks is a task of its own.
 4. A task compares the pairs that share a band and returns, per document, how
@@ -29,6 +31,8 @@ from .common import connected_components, disguised, durable, local_roots, mix64
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9995
 BLOCK, SHINGLES = 1024, 1_000_000
+#: Rows of a block in a band's bucket, and rows that small buckets bring together in one task: rows of numbers, not of texts.
+BUCKET, TASK = 8192, 65536
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 
@@ -103,43 +107,49 @@ def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[st
         yield start, texts[start:]
 
 
-def minhash(grams: np.ndarray, at: np.ndarray, n_texts: int, bands: int, rows: int) -> np.ndarray:
-    """(n_texts, bands) band hashes; rows of texts without shingles are meaningless."""
-    out = np.zeros((n_texts, bands), U)
-    if not len(grams):
-        return out.view(np.int64)
-    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    who = at[begin]
-    seeds = mix64(np.arange(1, 2 * bands * rows + 1, dtype=U) * ODD)
-    with np.errstate(over="ignore"):
-        for b in range(bands):
-            h = np.zeros(len(begin), U)
-            for r in range(rows):
-                k = 2 * (b * rows + r)
-                x = (grams ^ seeds[k]) * (seeds[k + 1] | U(1))
-                x ^= x >> U(32)
-                h = mix64(h + np.minimum.reduceat(x * ODD, begin))
-            out[who, b] = h
-    return out.view(np.int64)
+def minhash(grams: np.ndarray, at: np.ndarray, n_texts: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n_texts, bands) band hashes and (n_texts, words) sketches, a bit of each minimum; rows of texts without shingles are meaningless."""
+    out, bits = np.zeros((n_texts, bands), U), np.zeros((n_texts, -(-bands * rows // 64) * 64), bool)
+    if len(grams):
+        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        who = at[begin]
+        seeds = mix64(np.arange(1, 2 * bands * rows + 1, dtype=U) * ODD)
+        with np.errstate(over="ignore"):
+            for b in range(bands):
+                h = np.zeros(len(begin), U)
+                for r in range(rows):
+                    k = 2 * (b * rows + r)
+                    x = (grams ^ seeds[k]) * (seeds[k + 1] | U(1))
+                    x ^= x >> U(32)
+                    least = np.minimum.reduceat(x * ODD, begin)
+                    h = mix64(h + least)
+                    bits[who, b * rows + r] = mix64(least) & U(1)
+                out[who, b] = h
+    return out.view(np.int64), np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_bits(n: int, threshold: float, sigmas: float = 4.5) -> int:
+    """How many of n bits may differ: those of a pair at the threshold do with a chance of (1 - threshold) / 2 each."""
+    p = (1 - threshold) / 2
+    return int(np.ceil(n * p + sigmas * np.sqrt(n * p * (1 - p))))
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, k2, n_shingles, bands) of each row; n_shingles counts distinct ones and is 0 for null and blank texts."""
-    schema = "id long, k1 long, k2 long, n_shingles long, bands array<long>"
+    """(id, k1, k2, n_shingles, bands, bits) of each row; n_shingles counts distinct ones and is 0 for null and blank texts."""
+    schema = "id long, k1 long, k2 long, n_shingles long, bands array<long>, bits array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for start, part in chunks(texts):
                 grams, at, k1, k2 = shingle_hashes(part)
-                sig = minhash(grams, at, len(part), bands, rows)
+                sig, bits = minhash(grams, at, len(part), bands, rows)
                 order = np.lexsort((grams, at))
                 g, a = grams[order], at[order]
                 new = np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1])]) if len(g) else np.zeros(0, bool)
                 count = np.bincount(a[new], minlength=len(part))
-                offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(part)).cast(pa.int64()), pa.array(k1), pa.array(k2), pa.array(count.astype(np.int64)), lists], ["id", "k1", "k2", "n_shingles", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in (sig, bits)]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(part)).cast(pa.int64()), pa.array(k1), pa.array(k2), pa.array(count.astype(np.int64)), *lists], ["id", "k1", "k2", "n_shingles", "bands", "bits"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -246,7 +256,62 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("task").applyInPandas(run, schema)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
+def forest(words: list[np.ndarray], sizes: np.ndarray, at: np.ndarray, most: int, threshold: float, step: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges that connect the rows `at` as all their possible pairs do: those with at most `most` differing bits and sizes within the threshold.
+
+    A search from row to row that compares only with rows not yet reached: in a
+    dense group the first rows reach all others.
+    """
+    left, right, open_ = [], [], at
+    while len(open_) > 1:
+        front, open_ = open_[:1], open_[1:]
+        while len(front) and len(open_):
+            now, front = front[:step], front[step:]
+            near = sum(np.bitwise_count(w[now][:, None] ^ w[open_][None, :]).astype(np.uint16) for w in words) <= most
+            lo, hi = np.minimum(sizes[now][:, None], sizes[open_][None, :]), np.maximum(sizes[now][:, None], sizes[open_][None, :])
+            near &= lo >= threshold * hi
+            hit = near.any(axis=0)
+            if hit.any():
+                found = open_[hit]
+                left.append(now[near[:, hit].argmax(axis=0)])
+                right.append(found)
+                front, open_ = np.concatenate([front, found]), open_[~hit]
+    return left, right
+
+
+def possible_links(reps: DataFrame, threshold: float, n_bits: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): edges that connect all nodes of `reps` (node, n, bands, bits) that share a band and may be similar."""
+    flat = reps.select("node", F.explode("bands").alias("h"))
+    full = flat.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select(F.col("h").alias("_h"), F.ceil(F.col("size") / bucket).cast("int").alias("blocks"))
+    shared = durable(flat.join(full, F.col("h") == F.col("_h")).select("node", "h", "blocks"))
+    known = reps.select(F.col("node").alias("_node"), "n", "bits")
+    shared = shared.withColumn("own", F.pmod(F.xxhash64("node", "h"), F.col("blocks")).cast("int")).join(known, F.col("node") == F.col("_node")).drop("_node")
+    shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    bins = max(1, reps.count() // TASK * 4)
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("h"), F.lit(bins))).otherwise(F.xxhash64("h", "lo", "hi"))
+    most = most_bits(n_bits, threshold)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "lo", "hi", "node"], ignore_index=True)
+        node, sizes = pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        bits = np.stack(pdf["bits"].to_numpy()).astype(np.int64).view(U)
+        words = [np.ascontiguousarray(bits[:, i]) for i in range(bits.shape[1])]
+        h, lo, hi = (pdf[c].to_numpy() for c in ("h", "lo", "hi"))
+        edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+        begin, size = edge[:-1], np.diff(edge)
+        two = begin[size == 2]  # most buckets are pairs
+        near = (sum(np.bitwise_count(w[two] ^ w[two + 1]).astype(np.uint16) for w in words) <= most) & (np.minimum(sizes[two], sizes[two + 1]) >= threshold * np.maximum(sizes[two], sizes[two + 1]))
+        left, right = [two[near]], [two[near] + 1]
+        for s, k in zip(begin[size > 2], size[size > 2]):
+            a, b = forest(words, sizes, np.arange(s, s + k), most, threshold)
+            left += a
+            right += b
+        return pd.DataFrame({"a": node[np.concatenate(left)], "b": node[np.concatenate(right)]}).drop_duplicates()
+
+    return shared.select("node", "h", "lo", "hi", "n", "bits", task.alias("task")).groupBy("task").applyInPandas(run, "a long, b long")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, shingles: int = SHINGLES, bucket: int = BUCKET) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, k1, k2, class_id, n_links, kept.
 
     `n_links` counts the other rows whose set of word five-grams has Jaccard
@@ -255,19 +320,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     Words are runs between white space, compared as they are. A text of one to
     four words has one shingle, all of it. Null and blank texts and rows without
     an id have no links, and classes of their own. Repeated rows count as copies
-    of each other. Ties at the threshold are links. Other columns are ignored;
+    of each other. Ties at the threshold are links. Texts of any length are read
+    whole. Other columns are ignored, whatever their names;
     an empty table gives an empty one. k1 and k2 stand for the text's words.
     """
     bands, rows = banding(threshold, recall)
     base = durable(signatures(docs, bands, rows))
     usable = base.where("n_shingles > 0 and id is not null")
-    reps = durable(usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     # Texts, not ids, are the nodes: an id may be repeated with another text.
-    buckets = reps.select("k1", "k2", F.posexplode("bands").alias("band", "h")).withColumn("node", F.xxhash64("k1", "k2"))
-    least = buckets.groupBy("band", "h").agg(F.min("node").alias("m"), F.count("*").alias("size")).where("size > 1").select(F.col("band").alias("_band"), F.col("h").alias("_h"), "m")
-    star = buckets.join(least, (F.col("band") == F.col("_band")) & (F.col("h") == F.col("_h"))).select(F.col("node").alias("a"), F.col("m").alias("b"))
-    clusters = connected_components(star).withColumnRenamed("id", "_node")
-    members = durable(reps.withColumn("node", F.xxhash64("k1", "k2")).join(clusters, F.col("node") == F.col("_node")).drop("_node").withColumnRenamed("component", "cluster"))
+    reps = durable(usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).withColumn("node", F.xxhash64("k1", "k2")))
+    clusters = connected_components(possible_links(reps, threshold, bands * rows, bucket)).withColumnRenamed("id", "_node")
+    members = durable(reps.drop("bits").join(clusters, F.col("node") == F.col("_node")).drop("_node").withColumnRenamed("component", "cluster"))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     n_blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / shingles)).cast("int")
     sizes = sizes.select(F.col("cluster").alias("_cluster"), n_blocks.alias("blocks"))
@@ -284,11 +347,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     found = durable(verified(spread.withColumn("task", task), threshold))
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "_n")
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "_c")
-    whole = reps.select("k1", "k2", "id", "w", F.xxhash64("k1", "k2").alias("node")).join(links, F.col("node") == F.col("_n"), "left").join(components, F.col("node") == F.col("_c"), "left")
+    whole = reps.select("k1", "k2", "id", "w", "node").join(links, F.col("node") == F.col("_n"), "left").join(components, F.col("node") == F.col("_c"), "left")
     named = durable(whole.select("k1", "k2", "id", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")))
     first = named.groupBy("component").agg(F.min("id").alias("class_id")).withColumnRenamed("component", "_component")
     known = named.join(first, F.col("component") == F.col("_component")).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"))
-    out = base.join(known, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n_shingles") > 0) & F.col("id").isNotNull(), "left")
+    out = base.select("id", "k1", "k2", "n_shingles").join(known, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n_shingles") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias("doc_id"), "k1", "k2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(False)).alias("kept"))
 
 
