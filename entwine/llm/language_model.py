@@ -1,17 +1,20 @@
 """Language-model scoring with a log-bilinear neural model.
 
 The vocabulary is every word of the training documents. The `shortlist` most
-frequent words are classes of their own; the others fall into `buckets` classes
+frequent words, more of them the more tokens there are, are classes of their own; the others fall into `buckets` classes
 by their last letters. The neural model predicts the class of a token from the two before it:
 
     s(w | u, v) = (a * r[u] + b * r[v]) . q[w] + bias[w],
 
 with vectors r, q, position weights a, b and a bias per class. It is trained in
 numpy by noise-contrastive estimation against the unigram distribution, on every
-training token: each task runs over its own documents from the same start and
-the parameters are averaged by token count. Since contexts are pairs of classes, one
-batch of matrix products gives the normaliser of every context, and so exact,
-normalised probabilities; a word within its class has its smoothed unigram share,
+training token. Documents are dealt by a hash of id and text to shards of about
+`SHARD` tokens, and the shards to `ROUNDS` rounds: in each, every shard learns
+from the same start, and the parameters are averaged by token count, which is
+the next round's start. So the model depends on the documents alone, not on how
+a table is cut into partitions. As a score is a sum of a part of u and a part of v, the
+normalisers of all contexts are one product of two matrices, exp(a * r . q) and exp(b * r . q + bias), and
+probabilities are exact; a word within its class has its smoothed unigram share,
 beside which each bucket has one share for the words that it has not seen.
 
 Counts of frequent words travel to every executor as a table of at most `head`
@@ -26,11 +29,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import durable
 
+#: Tokens of a shard in one round, rounds of averaging, and shards averaged by one task.
+SHARD, ROUNDS, FAN = 400_000, 4, 32
 #: The token after a text's last word. It holds a blank, so no word equals it.
 END = " end"
 
@@ -70,6 +76,11 @@ class Shape:
         return self.shortlist + self.buckets
 
 
+def shape_for(tokens: int) -> Shape:
+    """The shape for that many training tokens: the shortlist grows with their root, up to the bound of a table of all contexts."""
+    return Shape(shortlist=min(1920, max(384, int(tokens**0.5 / 2) // 64 * 64)))
+
+
 #: A lexicon's value is class * NO_INDEX + index into the head's counts; NO_INDEX - 1 stands for none.
 NO_INDEX = 1 << 24
 
@@ -157,18 +168,12 @@ def start(shape: Shape, log_unigram: np.ndarray, seed: int = 5) -> dict[str, np.
     return {"r": small(), "q": small(), "a": np.ones(d, np.float32), "b": np.ones(d, np.float32), "bias": log_unigram.astype(np.float32)}
 
 
-def normalisers(params: dict[str, np.ndarray], batch: int = 8192) -> np.ndarray:
-    """log of the sum over classes of exp(score), for every pair (u, v): classes x classes."""
-    r, q, a, b, bias = (params[k] for k in ("r", "q", "a", "b", "bias"))
-    c = len(bias)
-    out = np.empty((c, c), np.float32)
-    step = max(1, batch // c)
-    for s in range(0, c, step):
-        h = (r[s : s + step] * a)[:, None, :] + (r * b)[None, :, :]
-        z = h.reshape(-1, h.shape[2]) @ q.T + bias
-        top = z.max(1)
-        out[s : s + step] = (top + np.log(np.exp(z - top[:, None]).sum(1))).reshape(-1, c)
-    return out
+def normalisers(params: dict[str, np.ndarray]) -> np.ndarray:
+    """log of the sum over classes of exp(score), for every pair (u, v): classes x classes, as one matrix product."""
+    r, q, a, b, bias = (params[k].astype(np.float64) for k in ("r", "q", "a", "b", "bias"))
+    first, second = (r * a) @ q.T, (r * b) @ q.T + bias
+    top1, top2 = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
+    return (np.log(np.maximum(np.exp(first - top1) @ np.exp(second - top2).T, 1e-300)) + top1 + top2.T).astype(np.float32)
 
 
 @dataclass
@@ -186,14 +191,17 @@ class LanguageModel:
     log_z: np.ndarray
 
 
-def fit(docs: DataFrame, shape: Shape = Shape(), batch: int = 1024) -> LanguageModel:
-    """Count all tokens of `docs` (text) and train the log-bilinear model on all of them.
+def fit(docs: DataFrame, shape: Shape | None = None, batch: int = 512, id_col: str = "doc_id", shard: int = SHARD) -> LanguageModel:
+    """Count all tokens of `docs` (id, text) and train the log-bilinear model on all of them.
 
-    A null text is empty, one END token. Without documents every word is
+    A null text is empty, one END token. Words with equal counts are ranked by
+    their bytes. Texts of any length are read whole; repeated rows count and train
+    each; other columns are ignored. Without documents every word is
     unknown; the model is then the smoothed uniform one.
     """
     counts = durable(word_counts(docs.select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    shape = shape or shape_for(total)
     # The head: all words counted `least` times or more, the least number (of a fixed scale) that leaves at most shape.head.
     scale = F.floor(F.log2(F.col("c").cast("double")) * 16 + 1e-9).cast("int")
     steps = {r.s: r.n for r in counts.where(F.col("word") != END).groupBy(scale.alias("s")).agg(F.count("*").alias("n")).collect()}
@@ -225,68 +233,98 @@ def fit(docs: DataFrame, shape: Shape = Shape(), batch: int = 1024) -> LanguageM
             mass[shape.shortlist + r.k] += r.m
     mass[shape.end] = end_count + 0.5
     log_unigram = np.log(np.maximum(mass, 1e-3) / np.maximum(mass, 1e-3).sum())
-    params = train(docs, shape, head, log_unigram, batch)
+    params = train(docs, shape, head, log_unigram, batch, id_col, total, shard)
     return LanguageModel(shape, counts, total, distinct, head, head_counts, np.log(np.maximum(mass, 0.5)), params, normalisers(params))
 
 
-def train(docs: DataFrame, shape: Shape, head: dict[bytes, int], log_unigram: np.ndarray, batch: int) -> dict[str, np.ndarray]:
-    """The average, by token count, of the parameters that tasks learn from all of their documents."""
-    first = start(shape, log_unigram)
-    names, sizes = list(first), {k: x.shape for k, x in first.items()}
+def coded(docs: DataFrame, shape: Shape, head: dict[bytes, int], id_col: str, parts: int) -> DataFrame:
+    """(part, key, ids): each text's classes as 16-bit numbers; its part and its place there are hashes of id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(head)
-    noise = log_unigram.astype(np.float32)
-    noise_p = np.exp(log_unigram) / np.exp(log_unigram).sum()
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col("text").isNull(), F.col("text"))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params = {k: x.copy() for k, x in first.items()}
-        state = {k: np.full(x.shape, 1e-6, np.float32) for k, x in first.items()}
-        lexicon, rng, seen = Lexicon(shared.value, shape), np.random.default_rng(11), 0
-
-        def step(texts: list[np.ndarray]) -> None:
-            """Train on texts, each with two END before it and one after it."""
-            x = np.concatenate(texts)
-            at = np.concatenate([np.arange(2, len(t)) + n for t, n in zip(texts, np.cumsum([0, *map(len, texts[:-1])]))])
-            at = at[rng.permutation(len(at))]
-            for s in range(0, len(at), batch):
-                p = at[s : s + batch]
-                nce_pass(params, noise, noise_p, x[p - 2], x[p - 1], x[p], rng, state)
-
-        texts, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(shared.value, shape)
         for b in batches:
-            for text in b.column(0):
-                ids = lexicon.of(words_of(text.as_py())) // NO_INDEX
-                texts.append(np.concatenate([[shape.end, shape.end], ids, [shape.end]]))
-                size += len(ids) + 1
-                if size > 200_000:
-                    step(texts)
-                    seen, texts, size = seen + size, [], 0
-        if texts:
-            step(texts)
-            seen += size
-        if seen:
-            flat = np.concatenate([params[k].ravel() for k in names]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, float(seen)))], ["i", "x"])
-
-    sums = {r.i: r.x for r in docs.select("text").mapInArrow(learn, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
-    if not sums:
-        return first
-    n = sum(int(np.prod(s)) for s in sizes.values())
-    flat = np.array([sums[i] for i in range(n)]) / sums[n]
-    out, at = {}, 0
+            ids = [(lexicon.of(words_of(t.as_py())) // NO_INDEX).astype(np.uint16).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+
+    rows = docs.select(key.alias("key"), "text").mapInArrow(run, "key long, ids binary")
+    return durable(rows.select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long").alias("part"), "key", "ids"))
+
+
+def averaged(learned: DataFrame, n_shards: int, names: list[str], like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean, by tokens seen, of what shards learned (shard, seen, flat), added up in the order of the shards, FAN at a time."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        total = sum(np.frombuffer(x, np.float64) for x in pdf["flat"])
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0]) // FAN], "seen": [int(pdf["seen"].sum())], "flat": [total.tobytes()]})
+
+    while True:
+        learned = learned.groupBy(F.floor(F.col("shard") / FAN)).applyInPandas(add, "shard long, seen long, flat binary")
+        n_shards = -(-n_shards // FAN)
+        if n_shards <= 1:
+            break
+    row = learned.first()
+    if row is None or not row.seen:
+        return like
+    flat, out, at = np.frombuffer(row.flat, np.float64) / row.seen, {}, 0
     for k in names:
-        size = int(np.prod(sizes[k]))
-        out[k] = flat[at : at + size].reshape(sizes[k]).astype(np.float32)
-        at += size
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
     return out
 
 
+def train(docs: DataFrame, shape: Shape, head: dict[bytes, int], log_unigram: np.ndarray, batch: int, id_col: str, tokens: int, shard: int) -> dict[str, np.ndarray]:
+    """The parameters after ROUNDS rounds in which shards learn apart, each token once, and are averaged."""
+    params = start(shape, log_unigram)
+    n_shards = max(1, -(-tokens // (shard * ROUNDS)))
+    rows = coded(docs, shape, head, id_col, ROUNDS * n_shards)
+    # AdaGrad's sums of squares are averaged as well, as parameters named after theirs.
+    both = params | {f"{k}/state": np.full(x.shape, 1e-6, np.float32) for k, x in params.items()}
+    names = list(both)
+    noise = log_unigram.astype(np.float32)
+    noise_p = np.exp(log_unigram) / np.exp(log_unigram).sum()
+
+    def learner(begin: dict[str, np.ndarray]):
+        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["key", "ids"])
+            mine = {k: x.copy() for k, x in begin.items()}
+            own, state = {k: mine[k] for k in params}, {k: mine[f"{k}/state"] for k in params}
+            part, seen = int(pdf["part"].iloc[0]), 0
+            rng = np.random.default_rng([11, part])
+            texts, size = [], 0
+            for i, ids in enumerate(pdf["ids"]):
+                # Each text has two END before it and one after it.
+                texts.append(np.concatenate([[shape.end, shape.end], np.frombuffer(ids, np.uint16).astype(np.int64), [shape.end]]))
+                size += len(texts[-1]) - 2
+                if size < 200_000 and i < len(pdf) - 1:
+                    continue
+                x = np.concatenate(texts)
+                at = np.concatenate([np.arange(2, len(t)) + n for t, n in zip(texts, np.cumsum([0, *map(len, texts[:-1])]))])
+                at = at[rng.permutation(len(at))]
+                for s in range(0, len(at), batch):
+                    p = at[s : s + batch]
+                    nce_pass(own, noise, noise_p, x[p - 2], x[p - 1], x[p], rng, state)
+                seen, texts, size = seen + size, [], 0
+            flat = np.concatenate([mine[k].ravel() for k in names]).astype(np.float64) * seen
+            return pd.DataFrame({"shard": [part // ROUNDS], "seen": [seen], "flat": [flat.tobytes()]})
+
+        return learn
+
+    for turn in range(ROUNDS):
+        learned = rows.where(F.col("part") % ROUNDS == turn).groupBy("part").applyInPandas(learner(both), "shard long, seen long, flat binary")
+        both = averaged(learned, n_shards, names, both)
+    return {k: both[k] for k in params}
+
+
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id") -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text).
 
     `base_score` is the smoothed unigram's, `score` the neural model's, both with
-    exact counts of all words. Null and blank texts are one END token. Repeated
-    rows are scored as rows of their own; other columns are ignored; an empty
-    table gives an empty one.
+    exact counts of all words. Null and blank texts are one END token; texts of any
+    length are scored whole. Repeated
+    rows are scored as rows of their own, alike; ids of any type and null ids are kept; other columns are ignored; an empty
+    table gives an empty one. Nothing is ranked, so there are no ties.
     """
     sc, shape = docs.sparkSession.sparkContext, model.shape
     head, params, log_z = sc.broadcast(model.head), sc.broadcast(model.params), sc.broadcast(model.log_z)
