@@ -117,3 +117,22 @@ def test_lcs_against_a_table():
             for j, y in enumerate(b):
                 d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
         assert sim.lcs(a, b) == d[-1][-1]
+
+
+def test_transliteration_by_name():
+    """What each class of sign yields."""
+    for word, latin in {
+        "कमल": "kamal", "भारत": "bharat", "नमस्ते": "namaste", "अमर": "amar", "ऋषि": "rishi", "टाटा": "tata", "ठाकुर": "thakur", "चाय": "chay", "कंपनी": "kanpani",
+        "दुःख": "duhkh", "क़लम": "kalam", "क\u200dष": "kash", "৫": "5", "ॐ": "om", "தமிழ்": "tamizh", "തൻ": "tan", "উৎসব": "utsab",
+        "कla": "kla", "क ख": "k kh", "latin": "latin", "किताब घर": "kitab ghar",
+    }.items():
+        assert u.latin_by_name(word) == latin, (word, u.latin_by_name(word))
+    assert u.base_text("टाटा मोटर्स लि.") == ("tata motars li", True)
+
+
+def test_token_strings_of_many_scripts():
+    for text, want in {
+        "Société Générale S.A.": "societe generale sa", "Straße 5": "strasse 5", "A\u200dB": "ab", "x\u00a0y\tz": "xyz", "a b 1 c d": "ab 1 cd",
+        "Ünïcode—dash": "unicode dash", "№ 5": "no 5", "ﬁrm™": "firmtm", "AT&T": "at and t", "": "", "…": "", "é a b": "eab", "日本 株式": "日本 株式",
+    }.items():
+        assert u.base_text(text) == (want, False), (text, u.base_text(text))
