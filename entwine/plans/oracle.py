@@ -41,6 +41,11 @@ def fold_token(w: str) -> str:
     return f"CASE WHEN length({w}) <= 1 THEN {w} ELSE {doubles(x)} END"
 
 
+def word_letters(x: str) -> str:
+    """The text with letters and digits beyond ASCII as `_`, which a word boundary here takes for a letter, and other signs beyond it as `~`."""
+    return f"regexp_replace(regexp_replace({x}, '[^\\x00-\\x7f\\p{{L}}\\p{{N}}]', '~', 'g'), '[^\\x00-\\x7f]', '_', 'g')"
+
+
 def case(x: str, pairs, other: str) -> str:
     return f"CASE {' '.join(f'WHEN {x} = {quote(a)} THEN {quote(b)}' for a, b in pairs)} ELSE {other} END"
 
@@ -55,8 +60,8 @@ def legal_removed() -> str:
 
 VIEW = r"""view_raw AS (
   SELECT 'S' || (page_id % 3 + 1) || '-' || page_id AS entity_id, 'S' || (page_id % 3 + 1) AS source, page_id AS row_ord,
-    regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^\x20-\x7e]+', ' ', 'g') AS business_name,
-    regexp_replace(regexp_extract(url, '/([0-9]+)', 1) || ' ' || replace(regexp_replace(url, '^[a-z]+://', ''), '/', ', '), '[^\x20-\x7e]+', ' ', 'g') AS business_address,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS business_name,
+    regexp_extract(url, '/([0-9]+)', 1) || ' ' || replace(regexp_replace(url, '^[a-z]+://', ''), '/', ', ') AS business_address,
     regexp_extract(html, '<html lang="([^"]*)"', 1) AS country, html
   FROM pages)"""
 
@@ -72,9 +77,9 @@ def _marks() -> str:
 
 
 DOMAIN = t.DOMAIN.replace(r"(?=[/\s]|$)", r"([/\s]|$)")
-LOW = "trim(lower(business_name))"
+LOW = "trim(" + word_letters("lower(business_name)") + ")"
 RECORDS = f"""{VIEW},
-a0 AS (SELECT *, replace(replace(replace({LOW}, '&', ' and '), '+', ' and '), '@', ' at ') AS n, trim(lower(business_address)) AS addr FROM view_raw),
+a0 AS (SELECT *, replace(replace(replace({LOW}, '&', ' and '), '+', ' and '), '@', ' at ') AS n, trim({word_letters('lower(business_address)')}) AS addr FROM view_raw),
 a1 AS (SELECT *, regexp_replace(n, '\\([^)]*\\)', ' ', 'g') AS p1, list_filter(list_transform(regexp_extract_all(n, '\\(([^)]+)\\)', 1), lambda x: trim(x)), lambda x: length(x) >= 2) AS l1 FROM a0),
 {_marks()},
 a5 AS (SELECT * EXCLUDE (p4, l4), {edges('p4')} AS q, l4 FROM a4),
@@ -106,7 +111,9 @@ rec AS MATERIALIZED (SELECT entity_id, source, row_ord, html, business_name, bus
   array_to_string(list_transform({tokens('addr_norm')}, lambda w: {fold_token('w')}), ' ') AS addr_fold,
   {case('trim(lower(country))', t.COUNTRY_ALIASES.items(), 'trim(lower(country))')} AS country_norm FROM b4),
 s AS (SELECT *, country_norm AS block FROM rec WHERE source = 'S1'),
-p AS (SELECT *, country_norm AS block FROM rec WHERE source <> 'S1' AND country_norm IN (SELECT country_norm FROM rec WHERE source = 'S1'))"""
+own_blocks AS (SELECT DISTINCT block FROM s),
+p AS (SELECT *, country_norm AS block FROM rec WHERE source <> 'S1' AND country_norm IN (SELECT block FROM own_blocks) UNION ALL
+  SELECT rec.*, own_blocks.block FROM rec CROSS JOIN own_blocks WHERE source <> 'S1' AND country_norm NOT IN (SELECT block FROM own_blocks))"""
 
 
 def ranked(source: str, k: int, order: str = "round(score, 9) DESC") -> str:
@@ -226,13 +233,13 @@ def phonetic_key(w: str) -> str:
     x = f"CASE WHEN starts_with({w}, 'yu') THEN {w}[2:] ELSE {w} END"
     for a, b in t.PHONETIC_STEPS:
         x = f"replace({x}, '{a}', '{b}')"
-    return f"CASE WHEN regexp_full_match({w}, '[a-z]+') THEN {doubles(f'{{k}}[1] || regexp_replace({{k}}[2:], {quote(chr(91) + 'aeiou' + chr(93))}, {quote(str())}, {quote(chr(103))})'.replace('{k}', f'({x})'))} ELSE {w} END"
+    return f"CASE WHEN regexp_full_match({w}, '\\p{{L}}+') THEN {doubles(f'{{k}}[1] || regexp_replace({{k}}[2:], {quote(chr(91) + 'aeiou' + chr(93))}, {quote(str())}, {quote(chr(103))})'.replace('{k}', f'({x})'))} ELSE {w} END"
 
 
 def columnar() -> str:
-    """The CTE `cn` of records normalised by the columnar scheme, from plain ASCII text."""
-    plain = lambda x: f"trim(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-    for_initials = lambda x: f"replace(regexp_replace(regexp_replace(' ' || replace({x}, ' ', '  ') || ' ', ' ([a-z]) ', ' \x01\\1\x02 ', 'g'), '\x02  \x01', '', 'g'), '  ', ' ')".replace("\x01", chr(1)).replace("\x02", chr(2))
+    """The CTE `cn` of records normalised by the columnar scheme, of texts in Latin letters."""
+    plain = lambda x: f"trim(regexp_replace(replace(strip_accents(replace(lower(nfc_normalize({x})), 'ß', 'ss')), '&', ' and '), '[\\x00-\\x20\\p{{P}}\\p{{S}}\\p{{Z}}]+', ' ', 'g'))"
+    for_initials = lambda x: f"replace(regexp_replace(regexp_replace(' ' || replace({x}, ' ', '  ') || ' ', ' (\\p{{L}}) ', ' \x01\\1\x02 ', 'g'), '\x02  \x01', '', 'g'), '  ', ' ')".replace("\x01", chr(1)).replace("\x02", chr(2))
     joined = lambda x: f"trim(replace(replace({for_initials(plain(x))}, '{chr(1)}', ''), '{chr(2)}', ''))"
     places = {name: code for code, name in c.US_STATES.items()} | c.INDIAN_PLACES
     longest = "|".join(sorted(places, key=lambda p: (-len(p), p)))

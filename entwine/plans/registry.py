@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text as t
+from ..functions import text as t, unicode as u
 from ..functions.similarity import levenshtein, measures
 from ..operators import candidates as cand, channels as ch, checks, decide, features as feat, learn, metrics
 from ..operators.canonical import canonicalize, normalise
@@ -52,22 +52,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = lambda x: F.regexp_replace(x, "[^\\x20-\\x7e]+", " ")
     source = F.concat(F.lit("S"), (F.col("page_id") % 3 + 1).cast("string"))
     address = F.concat(F.regexp_extract("url", "/([0-9]+)", 1), F.lit(" "), F.replace(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit(", ")))
     return table(spark, sf_dir, "pages").select(
         F.concat(source, F.lit("-"), F.col("page_id").cast("string")).alias("entity_id"), source.alias("source"), F.col("page_id").alias("row_ord"),
-        ascii_only(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("business_name"), ascii_only(address).alias("business_address"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("business_name"), address.alias("business_address"),
         F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("country"),
         F.when(F.contains("html", F.lit("</article>")), F.md5(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1))).alias("article"),
     )
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(S1, pool) canonical records with their country as block; pool records of other countries have no block to be in."""
-    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True).withColumn("block", F.col("country_norm"))
-    s1 = rec.where("source = 'S1'")
-    return s1, rec.where("source <> 'S1'").join(s1.select("block").distinct(), "block", "left_semi")
+    """(S1, pool) canonical records in blocks by country; pool records of countries that S1 lacks are in every block."""
+    rec = canonicalize(raw_records(spark, sf_dir))
+    return cand.assign_blocks(rec.where("source = 'S1'"), rec.where("source <> 'S1'"))
 
 
 def gold_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,33 +101,43 @@ def scan_count(spark, sf_dir):
 
 @query(o.query(o.RECORDS, body="SELECT entity_id, name_norm, name_core, name_clean, name_fold, name_acronym, legal_form, array_to_string(name_alts, '|') AS alts FROM rec"))
 def canonical_names(spark, sf_dir):
-    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    rec = canonicalize(raw_records(spark, sf_dir))
     return rec.select("entity_id", "name_norm", "name_core", "name_clean", "name_fold", "name_acronym", "legal_form", F.array_join("name_alts", "|").alias("alts"))
 
 
 @query(o.query(o.RECORDS, body="SELECT entity_id, addr_norm, addr_tail, landmark, postal, house_no, unit, array_to_string(addr_nums, ' ') AS nums, addr_clean, sorted_addr, addr_fold, country_norm FROM rec"))
 def canonical_addresses(spark, sf_dir):
-    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    rec = canonicalize(raw_records(spark, sf_dir))
     return rec.select("entity_id", "addr_norm", "addr_tail", "landmark", "postal", "house_no", "unit", F.array_join("addr_nums", " ").alias("nums"), "addr_clean", "sorted_addr", "addr_fold", "country_norm")
 
 
-@query("SELECT doc_id, array_to_string(list_transform(" + o.tokens("regexp_replace(lower(text), '[^\\x00-\\x7f]+', ' ', 'g')") + ", lambda w: " + o.fold_token("w") + "), ' ') AS folded FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(" + o.tokens("lower(strip_accents(lower(text)))") + ", lambda w: " + o.fold_token("w") + "), ' ') AS folded FROM documents")
 def fold_text(spark, sf_dir):
-    plain = F.regexp_replace(F.lower("text"), "[^\\x00-\\x7f]+", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", t.fold(plain, ascii_only=True).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.fold(F.lower("text")).alias("folded"))
 
 
-@query(f"SELECT doc_id, legal_form FROM (SELECT doc_id, regexp_replace(lower(text), '[^\\x00-\\x7f]+', ' ', 'g') AS p5 FROM documents) x, LATERAL (SELECT {o.legal_case()} AS legal_form)")
+@query(f"SELECT doc_id, legal_form FROM (SELECT doc_id, {o.word_letters('lower(text)')} AS p5 FROM documents) x, LATERAL (SELECT {o.legal_case()} AS legal_form)")
 def legal_form_extract(spark, sf_dir):
-    plain = F.regexp_replace(F.lower("text"), "[^\\x00-\\x7f]+", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", plain.alias("p")).select("doc_id", t.legal_form(F.col("p")).alias("legal_form"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("p")).select("doc_id", t.legal_form(F.col("p")).alias("legal_form"))
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(regexp_extract(x, '\b(\d{5})-\d{4}\b', 1), ''), regexp_extract_all(x, '\b\d{5,6}\b')[-1], regexp_extract_all(x, '\b\d{4}\b')[-1], '') AS postal
-FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]+', ' ', 'g') AS x FROM documents)""")
+@query(rf"""SELECT doc_id, coalesce(nullif(regexp_extract(x, '\b(\d{{5}})-\d{{4}}\b', 1), ''), regexp_extract_all(x, '\b\d{{5,6}}\b')[-1], regexp_extract_all(x, '\b\d{{4}}\b')[-1], '') AS postal
+FROM (SELECT doc_id, {o.word_letters('text')} AS x FROM documents)""")
 def postal_extract(spark, sf_dir):
-    plain = F.regexp_replace("text", "[^\\x00-\\x7f]+", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", plain.alias("x")).select("doc_id", t.postal_code(F.col("x")).alias("postal"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.postal_code(F.col("text")).alias("postal"))
+
+
+@query("SELECT doc_id, trim(lower(nfc_normalize(text))) AS lower, strip_accents(text) AS plain FROM documents")
+def unicode_steps(spark, sf_dir):
+    """NFKC in lower case, and accents stripped, of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", u.nfkc_lower("text").alias("lower"), u.strip_accents("text").alias("plain"))
+
+
+@query()
+def transliterations(spark, sf_dir):
+    """Both schemes' Latin spellings of whole texts."""
+    found = table(spark, sf_dir, "documents").select("doc_id", u.transliterate_indic("text").alias("by_place"), u.base_tokens("text").alias("by_name"))
+    return found.select("doc_id", "by_place", F.col("by_name.text").alias("by_name"), F.col("by_name.indic").alias("indic"))
 
 
 @query(o.query(o.RECORDS, body="""SELECT a.entity_id AS s1, b.entity_id AS r, ((a.house_no <> '') AND (a.house_no = b.house_no))::BIGINT AS house_eq, ((a.house_no <> '') AND (b.house_no <> '') AND (a.house_no <> b.house_no))::BIGINT AS house_conflict
@@ -193,7 +201,7 @@ def budget_prune(spark, sf_dir):
 
 def whole_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(S1, pool) canonical records, without blocks; records of countries that S1 lacks included."""
-    rec = materialise(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+    rec = materialise(canonicalize(raw_records(spark, sf_dir)))
     return rec.where("source = 'S1'"), rec.where("source <> 'S1'")
 
 
@@ -226,7 +234,7 @@ def sibling_expansion(spark, sf_dir):
 @query(o.query(o.RECORDS, "own AS (SELECT DISTINCT country_norm AS block FROM rec WHERE source = 'S1')", body="""SELECT entity_id, country_norm AS block FROM rec WHERE source = 'S1' OR country_norm IN (SELECT block FROM own)
 UNION ALL SELECT entity_id, block FROM rec CROSS JOIN own WHERE source <> 'S1' AND country_norm NOT IN (SELECT block FROM own)"""))
 def country_blocks(spark, sf_dir):
-    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    rec = canonicalize(raw_records(spark, sf_dir))
     a, b = cand.assign_blocks(rec.where("source = 'S1'"), rec.where("source <> 'S1'"))
     return a.select("entity_id", "block").unionByName(b.select("entity_id", "block"))
 
@@ -237,7 +245,7 @@ def country_blocks(spark, sf_dir):
 @query(o.query(o.RECORDS, body="""SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM rec) + 1.0) / (count(*) + 1.0)) + 1.0, 6) AS idf
 FROM (SELECT unnest(list_distinct(list_concat(name_core_tokens, addr_tokens))) AS token FROM rec) GROUP BY token"""))
 def doc_freq_idf(spark, sf_dir):
-    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    rec = canonicalize(raw_records(spark, sf_dir))
     df, n = feat.document_frequency(rec)
     return df.select("token", "df", F.round(feat.idf(F.col("df"), n), 6).alias("idf"))
 
@@ -249,7 +257,7 @@ round(coalesce(sum(idf) FILTER (NOT list_contains(tb, token)), 0), 6) AS unshare
 round(coalesce(max(idf) FILTER (NOT (list_contains(ta, token) AND list_contains(tb, token))), 0), 6) AS unshared_max FROM sides JOIN dfq USING (token) GROUP BY s1, r"""))
 def idf_shared_unshared(spark, sf_dir):
     s1, pool = sides(spark, sf_dir)
-    df, n = feat.document_frequency(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+    df, n = feat.document_frequency(canonicalize(raw_records(spark, sf_dir)))
     pairs = feat.attach(overlap_pairs(spark, sf_dir).select("s1", "r"), *(feat.with_idf(x.select("entity_id", "name_core_tokens", "addr_tokens"), df, n) for x in (s1, pool)))
     found = feat.shared_unshared(F.col("a_name_core_tokens"), F.col("b_name_core_tokens"), F.col("a_idf"), F.col("b_idf"))
     return pairs.select("s1", "r", *(F.round(x, 6).alias(k) for k, x in found.items()))
@@ -288,7 +296,7 @@ def full_features(spark, sf_dir) -> DataFrame:
 
 
 def features_of(spark, sf_dir, s1: DataFrame, pool: DataFrame, pruned: DataFrame) -> DataFrame:
-    df, n = feat.document_frequency(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+    df, n = feat.document_frequency(canonicalize(raw_records(spark, sf_dir)))
     pruned = pruned.withColumn("cand_count", F.count("*").over(Window.partitionBy("s1"))).select("s1", "r", "mask", "rank", "cand_count")
     return feat.pair_features(feat.attach(pruned, feat.with_idf(s1, df, n), feat.with_idf(pool, df, n)))
 
@@ -363,7 +371,7 @@ def pair_features_plain(spark, sf_dir):
 
 
 def columnar_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rec = normalise(raw_records(spark, sf_dir), ascii_only=True).withColumn("block", F.col("country_norm"))
+    rec = normalise(raw_records(spark, sf_dir)).withColumn("block", F.col("country_norm"))
     return rec.where("source = 'S1'"), rec.where("source <> 'S1'")
 
 
@@ -372,7 +380,7 @@ COLUMNAR = o.columnar()
 
 @query(o.query(COLUMNAR, body="SELECT entity_id, name_n, name_core, name_phon, legal, addr_n, house, nums, country_norm FROM cn"))
 def columnar_normalise(spark, sf_dir):
-    return normalise(raw_records(spark, sf_dir), ascii_only=True).select("entity_id", "name_n", "name_core", "name_phon", "legal", "addr_n", "house", "nums", "country_norm")
+    return normalise(raw_records(spark, sf_dir)).select("entity_id", "name_n", "name_core", "name_phon", "legal", "addr_n", "house", "nums", "country_norm")
 
 
 @query(o.query(COLUMNAR, o.rare_keys(), body="""SELECT s1, r, max(CASE WHEN channel = 'name' THEN round(score, 6) END) AS name_score, max(CASE WHEN channel = 'name' THEN rank END) AS name_rank, max(CASE WHEN channel = 'addr' THEN round(score, 6) END) AS addr_score,
@@ -501,7 +509,7 @@ def probability_lists(spark, sf_dir):
 
 @query(o.query(o.RECORDS, body="SELECT country_norm, count(*) AS n FROM rec WHERE country_norm <> '' GROUP BY country_norm"))
 def country_counts(spark, sf_dir):
-    return tables.countries(canonicalize(raw_records(spark, sf_dir), ascii_only=True))
+    return tables.countries(canonicalize(raw_records(spark, sf_dir)))
 
 
 # Evaluation.
@@ -571,7 +579,7 @@ wj AS (SELECT w.*, EXISTS (SELECT 1 FROM pairs q WHERE q.s1 = w.s1 AND q.r = w.r
 UNION ALL SELECT s1, r, 'singleton_violation' FROM wj WHERE wrong AND NOT linked UNION ALL SELECT s1, r, 'branch_confusion' FROM wj WHERE wrong AND ca <> '' AND ca = cb AND ha <> '' AND hb <> '' AND ha <> hb
 UNION ALL SELECT s1, r, 'colocation_confusion' FROM wj WHERE wrong AND aa <> '' AND aa = ab AND ca <> cb"""))
 def error_tags(spark, sf_dir):
-    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    rec = canonicalize(raw_records(spark, sf_dir))
     return metrics.error_tags(chosen(spark, sf_dir), overlap_pairs(spark, sf_dir), gold_links(spark, sf_dir), rec, rec)
 
 
@@ -590,7 +598,7 @@ def threshold_sweep(spark, sf_dir):
 round((SELECT count(*) FILTER (n > 1)::DOUBLE / count(*) FROM (SELECT count(*) AS n FROM gold GROUP BY s1)), 6) AS multi_match_share, round((SELECT avg((entity_id NOT IN (SELECT s1 FROM gold))::INT) FROM s), 6) AS singleton_rate
 FROM gold JOIN rec a ON a.entity_id = gold.s1 JOIN rec b ON b.entity_id = gold.r"""))
 def decision_gates(spark, sf_dir):
-    rec = canonicalize(raw_records(spark, sf_dir), ascii_only=True)
+    rec = canonicalize(raw_records(spark, sf_dir))
     g = checks.decision_gates(rec, rec, gold_links(spark, sf_dir), entities(spark, sf_dir))
     return rounded(g, "same_country_rate", "postal_rate", "multi_match_share", "singleton_rate").select("g1_exclusive", "same_country_rate", "postal_rate", "multi_match_share", "singleton_rate")
 
