@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
@@ -21,19 +21,36 @@ def running_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str], s
     return local.join(shifts, by).withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop(*(f"_{k}" for k in sums))
 
 
+#: Temporary folders made for sessions on one machine, by application.
+_made: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate data, `spark.checkpoint.dir`.
+
+    Where the setting is absent, a temporary folder is made on one machine; with
+    other masters it is an error, as executors could not see each other's files.
+    """
+    import tempfile
+
+    folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _made:
+        _made[sc.applicationId] = tempfile.mkdtemp(prefix="entwine-scratch-")
+    return _made[sc.applicationId]
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the plan with a checkpoint in the cluster's shared folder (`spark.checkpoint.dir`).
+    """Cut the plan with a checkpoint in the cluster's shared folder.
 
     Normalised records are used by every channel, and a filter on one of their
     columns would otherwise be pushed below all steps that made it, which
-    repeats those steps once for each use. Where the setting is absent, a
-    temporary folder is made on one machine; with other masters it is an error.
+    repeats those steps once for each use.
     """
-    import tempfile
-
-    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="entwine-checkpoint-"))
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager=True)

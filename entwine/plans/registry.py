@@ -7,6 +7,7 @@ to the three sources. Links with the same article stand for gold.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,8 +17,8 @@ from ..functions import text as t, unicode as u
 from ..functions.similarity import levenshtein, measures
 from ..operators import candidates as cand, channels as ch, checks, decide, features as feat, learn, metrics
 from ..operators.canonical import canonicalize, normalise
-from ..operators.running import materialise
-from ..sources import tables
+from ..operators.running import materialise, scratch
+from ..sources import synthetic, tables
 from . import oracle as o
 from .config import Config
 
@@ -481,7 +482,21 @@ def expected_f_meanfield(spark, sf_dir):
     return decide.expected_f05_meanfield(scored_pairs(spark, sf_dir)).select("s1", "r")
 
 
-@query()
+# The chances of 0 to 3 missed links, their mean being 0.03.
+MISSED = "miss AS (SELECT j, w / sum(w) OVER () AS w FROM (SELECT unnest(range(0, 4)) AS j, exp(-0.03) * pow(0.03, unnest(range(0, 4))) / [1, 1, 2, 6][unnest(range(1, 5))] AS w))"
+
+
+@query("WITH RECURSIVE " + ",\n".join((o.RECORDS, o.PAIRS, RK, MISSED)) + """,
+q AS (SELECT s1, r, rk, greatest(1e-7, least(1 - 1e-7, p)) AS p, least(max(rk) OVER (PARTITION BY s1), 14) AS n FROM rkd WHERE rk <= 14 AND p > 1e-6),
+heads(s1, k, pmf) AS (SELECT DISTINCT s1, 0::BIGINT, [1.0::DOUBLE] FROM q UNION ALL
+  SELECT h.s1, q.rk, list_transform(list_zip(list_append(list_transform(h.pmf, lambda x: x * (1 - q.p)), 0.0), list_prepend(0.0, list_transform(h.pmf, lambda x: x * q.p))), lambda z: z[1] + z[2]) FROM heads h JOIN q ON q.s1 = h.s1 AND q.rk = h.k + 1),
+tails(s1, k, pmf) AS (SELECT DISTINCT s1, n::BIGINT, [1.0::DOUBLE] FROM q UNION ALL
+  SELECT t.s1, q.rk - 1, list_transform(list_zip(list_append(list_transform(t.pmf, lambda x: x * (1 - q.p)), 0.0), list_prepend(0.0, list_transform(t.pmf, lambda x: x * q.p))), lambda z: z[1] + z[2]) FROM tails t JOIN q ON q.s1 = t.s1 AND q.rk = t.k),
+inside AS (SELECT s1, k, unnest(range(0, len(pmf))) AS a, unnest(pmf) AS pa FROM heads),
+outside AS (SELECT s1, k, c + j AS c, sum(pc * w) AS pc FROM (SELECT s1, k, unnest(range(0, len(pmf))) AS c, unnest(pmf) AS pc FROM tails) CROSS JOIN miss GROUP BY s1, k, c + j),
+worth AS (SELECT s1, k, sum(pa * pc * 5.0 * a / (4 * k + a + c)) AS v FROM inside JOIN outside USING (s1, k) WHERE a >= 1 GROUP BY s1, k UNION ALL SELECT s1, k, sum(pc) FROM outside WHERE k = 0 AND c = 0 GROUP BY s1, k),
+pick AS (SELECT s1, k FROM (SELECT s1, k, row_number() OVER (PARTITION BY s1 ORDER BY round(v, 11) DESC, k) AS n FROM worth) WHERE n = 1)
+SELECT q.s1, q.r FROM q JOIN pick ON pick.s1 = q.s1 AND q.rk <= pick.k""")
 def expected_f_exact(spark, sf_dir):
     return decide.expected_f05(scored_pairs(spark, sf_dir)).select("s1", "r")
 
@@ -643,12 +658,177 @@ def bootstrap_difference(spark, sf_dir):
     return spark.createDataFrame([(float(found["observed_mean_delta"]), float(found["ci_lower"]), float(found["ci_upper"]), float(found["p_value"]), bool(found["significant"]))], "observed_mean_delta double, ci_lower double, ci_upper double, p_value double, significant boolean")
 
 
-@query()
+def _abbreviates(a: str, b: str) -> str:
+    """SQL: whether the shorter of two tokens (the first, if they are as long) abbreviates the other."""
+    bones = "regexp_replace({}, '[^b-df-hj-np-tv-z]', '', 'g')"
+    rule = "(length({s}) >= 2 AND (starts_with({l}, {s}) OR contains(" + bones.format("{l}") + ", {s})) OR length({s}) <= 4 AND {s}[1] = {l}[1] AND regexp_matches({l}, array_to_string(string_split({s}, ''), '.*')))"
+    return f"({a} <> '' AND {b} <> '' AND {a} <> {b} AND CASE WHEN length({a}) <= length({b}) THEN {rule.format(s=a, l=b)} ELSE {rule.format(s=b, l=a)} END)"
+
+
+@query(o.query("""nm AS (SELECT p_partkey, string_split(p_name, ' ') AS a, list_transform(string_split(p_name, ' '), lambda w: CASE WHEN length(w) > 4 THEN w[1:3] ELSE w END) AS b FROM part)""",
+    "prs AS (SELECT x.a AS a, x.b AS b, true AS good FROM nm x UNION ALL SELECT x.a, y.b, false FROM nm x JOIN nm y ON y.p_partkey = x.p_partkey + 1)",
+    "tk AS (SELECT good, unnest(list_distinct(list_filter(a, lambda w: NOT list_contains(b, w)))) AS x, list_distinct(list_filter(b, lambda w: NOT list_contains(a, w))) AS ys FROM prs)",
+    "xy AS (SELECT good, least(x, y) AS x, greatest(x, y) AS y FROM (SELECT good, x, unnest(ys) AS y FROM tk))",
+    f"ct AS (SELECT x, y, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m FROM xy GROUP BY x, y HAVING count(*) FILTER (good) > 0 AND {_abbreviates('x', 'y')})",
+    body="SELECT CASE WHEN length(x) < length(y) THEN x ELSE y END AS short, CASE WHEN length(x) < length(y) THEN y ELSE x END AS long, n AS count, round(n::DOUBLE / (n + m), 6) AS precision FROM ct WHERE n >= 5 AND n::DOUBLE / (n + m) >= 0.5"))
 def mined_abbreviations(spark, sf_dir):
-    s1, pool = sides(spark, sf_dir)
-    names = feat.attach(overlap_pairs(spark, sf_dir).select("s1", "r"), s1.select("entity_id", "name_core"), pool.select("entity_id", "name_core")).select("s1", "r", F.col("a_name_core").alias("a"), F.col("b_name_core").alias("b"))
-    g = gold_links(spark, sf_dir)
-    return feat.abbreviations(names.join(g, ["s1", "r"], "left_semi"), names.join(g, ["s1", "r"], "left_anti"), min_count=1)
+    """Abbreviations of part names: of their own, and of those of the next part, which are no match."""
+    words = F.split("p_name", " ")
+    cut = F.transform(words, lambda w: F.when(F.length(w) > 4, F.substring(w, 1, 3)).otherwise(w))
+    names = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.array_join(cut, " ").alias("b"))
+    after = names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("b"))
+    found = feat.abbreviations(names.select("a", "b"), names.select("p_partkey", "a").join(after, "p_partkey").select("a", "b"), min_precision=0.5)
+    return rounded(longs(found, "count"), "precision")
+
+
+@query(SIM.replace("{}", """regexp_replace(lower(a), '[^b-df-hj-np-tv-z]', '', 'g') AS skeleton, round(CASE WHEN len(ua) = 0 OR len(ub) = 0 THEN 0 ELSE len(list_filter(CASE WHEN len(ua) <= len(ub) THEN ua ELSE ub END,
+lambda s: len(list_filter(CASE WHEN len(ua) <= len(ub) THEN ub ELSE ua END, lambda t: """ + _abbreviates("s", "t") + """)) > 0))::DOUBLE / least(len(ua), len(ub)) END, 6) AS aligned""").replace(" FROM x", """ FROM (SELECT *,
+list_filter(list_distinct(list_filter(ta, lambda w: NOT list_contains(tb, w))), lambda w: length(w) >= 2) AS ua, list_filter(list_distinct(list_filter(tb, lambda w: NOT list_contains(ta, w))), lambda w: length(w) >= 2) AS ub FROM x)"""))
+def abbreviation_alignment(spark, sf_dir):
+    """Consonant skeletons, and the share of unshared tokens that abbreviate another's."""
+    pairs = named_pairs(spark, sf_dir)
+    return rounded(pairs.select("s1", "r", t.skeleton(F.col("a_name_core")).alias("skeleton"), t.abbreviation_alignment(F.col("a_name_core_tokens"), F.col("b_name_core_tokens")).alias("aligned")), "aligned")
+
+
+# Files, samples and checks of results.
+
+FLAT = lambda c: f"regexp_replace(coalesce({c}, ''), '[\\t\\r\\n]+', ' ', 'g') AS {c}"
+
+
+def files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the registry's records and links as tab-separated files, as a run reads them."""
+    folder = f"{scratch(spark)}/entwine-files-{uuid.uuid4().hex}"
+    raw = raw_records(spark, sf_dir).select("*", *(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[\\t\\r\\n]+", " ").alias(f"_{c}") for c in tables.RECORD.names))
+
+    def put(rows: DataFrame, name: str, header) -> None:
+        head = spark.createDataFrame([("\t".join(header),)], "value string")
+        head.coalesce(1).union(rows).write.text(f"{folder}/{name}")
+
+    for k in (1, 2, 3):
+        put(raw.where(F.col("source") == f"S{k}").select(F.concat_ws("\t", *(f"_{c}" for c in tables.RECORD.names)).alias("value")), f"source{k}.tsv", tables.RECORD.names)
+    entities = raw.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "row_ord")
+    lists = tables.as_lists(entities, gold_links(spark, sf_dir), tables.MATCHING_HEADER)
+    put(lists.select(F.concat_ws("\t", *tables.MATCHING_HEADER).alias("value")), "ground_truth.tsv", tables.MATCHING_HEADER)
+    return folder
+
+
+def read_back(spark, sf_dir) -> list[DataFrame]:
+    folder = files(spark, sf_dir)
+    return [tables.read_records(spark, f"{folder}/source{k}.tsv", f"S{k}") for k in (1, 2, 3)]
+
+
+@query(o.query(o.VIEW, body=f"SELECT entity_id, {FLAT('business_name')}, {FLAT('business_address')}, country, source, 'train' AS split FROM view_raw"))
+def scan_records(spark, sf_dir):
+    """Every record, written to tab-separated files and read again."""
+    a, b, c = read_back(spark, sf_dir)
+    return a.unionByName(b).unionByName(c).drop("row_ord")
+
+
+@query(o.query(o.VIEW, o.GOLD, body="SELECT a.entity_id AS s1, r FROM view_raw a LEFT JOIN (SELECT DISTINCT s1, r FROM gold) ON s1 = a.entity_id WHERE source = 'S1'"))
+def scan_links(spark, sf_dir):
+    """Every entity with its links from a list file, or none."""
+    entities, gold = tables.read_links(spark, f"{files(spark, sf_dir)}/ground_truth.tsv")
+    return entities.join(gold, "s1", "left").select("s1", "r")
+
+
+@query(o.query(o.VIEW, body="SELECT entity_id, (source = 'S3')::INT AS is_s3 FROM view_raw WHERE source <> 'S1'"))
+def scan_pool(spark, sf_dir):
+    _, second, third = read_back(spark, sf_dir)
+    return tables.pool(second, third).select("entity_id", "is_s3")
+
+
+@query(o.query(o.VIEW, body="SELECT entity_id, country FROM view_raw WHERE row_ord % 7 <> 0"))
+def scan_malformed(spark, sf_dir):
+    """Rows with too few fields are left out; a byte-order mark is no part of the header."""
+    folder = f"{scratch(spark)}/entwine-files-{uuid.uuid4().hex}"
+    raw = raw_records(spark, sf_dir)
+    line = F.when(F.col("row_ord") % 7 == 0, F.concat_ws("\t", "entity_id", F.lit("lost"))).otherwise(F.concat_ws("\t", "entity_id", F.lit('"name'), F.lit("NA"), "country"))
+    spark.createDataFrame([("\ufeff" + "\t".join(tables.RECORD.names),)], "value string").coalesce(1).union(raw.select(line.alias("value"))).write.text(folder)
+    return tables.read_records(spark, folder, "S1", malformed="drop").select("entity_id", "country")
+
+
+@query(o.query(o.RECORDS, body="SELECT entity_id, name_norm, source, country_norm FROM rec WHERE source IN ('S2', 'S3') AND country_norm = 'en'"))
+def scan_normalised(spark, sf_dir):
+    """Normalised records by split, source and country, written and read with pruning."""
+    path = f"{scratch(spark)}/entwine-files-{uuid.uuid4().hex}"
+    tables.write_normalised(canonicalize(raw_records(spark, sf_dir)).withColumn("split", F.lit("train")), path)
+    return tables.read_normalised(spark, path, "train", ["S2", "S3"], "en", ["entity_id", "name_norm", "source", "country_norm"])
+
+
+@query(o.query(o.RECORDS, o.PAIRS, body="""SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS matched_entity_ids, n AS nth FROM (SELECT entity_id, row_number() OVER (ORDER BY row_ord) AS n FROM rec WHERE source = 'S1')
+LEFT JOIN (SELECT s1, string_agg(r, ',' ORDER BY r) AS ids FROM (SELECT DISTINCT s1, r FROM pairs WHERE round(p, 9) >= 0.5) GROUP BY s1) ON s1 = entity_id"""))
+def result_lists(spark, sf_dir):
+    """Results written under their contract and read again: one line per entity, in order."""
+    folder = f"{scratch(spark)}/entwine-files-{uuid.uuid4().hex}"
+    raw = raw_records(spark, sf_dir)
+    entities = raw.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "row_ord")
+    tables.write_results(entities, overlap_pairs(spark, sf_dir), chosen(spark, sf_dir), folder, raw.where("source <> 'S1'"))
+    rows = tables.read_tsv(spark, f"{folder}/matching_results", tables.MATCHING_HEADER)
+    return rows.withColumn("nth", F.row_number().over(Window.orderBy("row_ord")).cast("long")).drop("row_ord")
+
+
+@query(o.query(o.VIEW, o.GOLD, """e AS (SELECT entity_id AS s1, row_number() OVER (ORDER BY row_ord) AS n FROM view_raw WHERE source = 'S1'), pt AS (SELECT s1, CASE WHEN n <= 5 THEN 'val' ELSE 'train' END AS part FROM e WHERE n <= 15),
+fr AS (SELECT entity_id, row_number() OVER (ORDER BY row_ord) AS n FROM view_raw WHERE source <> 'S1' AND entity_id NOT IN (SELECT r FROM gold))""",
+    body="""SELECT part, 'entity' AS kind, s1 AS id FROM pt UNION ALL SELECT part, 'gold', s1 || ' ' || r FROM gold JOIN pt USING (s1) UNION ALL SELECT DISTINCT part, 'pool', r FROM gold JOIN pt USING (s1)
+UNION ALL SELECT CASE WHEN n <= 10 THEN 'val' ELSE 'train' END, 'pool', entity_id FROM fr WHERE n <= 20"""))
+def cohort_rows(spark, sf_dir):
+    """A validation and a training cohort: entities, their links, and their pools with distractors."""
+    raw = raw_records(spark, sf_dir)
+    c = tables.cohort(raw.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "row_ord"), gold_links(spark, sf_dir), raw.where("source <> 'S1'"), 5, 10, 20)
+    out = None
+    for part in ("val", "train"):
+        for kind, df, label in (("entity", "entities", F.col("s1")), ("gold", "gold", F.concat_ws(" ", "s1", "r")), ("pool", "pool", F.col("entity_id"))):
+            rows = c[f"{part}_{df}"].select(F.lit(part).alias("part"), F.lit(kind).alias("kind"), label.alias("id"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(o.query(o.RECORDS, o.PAIRS, o.GOLD, """lk AS (SELECT DISTINCT r FROM gold)""", body="SELECT count(*) AS n, count(*) FILTER (linked) AS n_kept FROM (SELECT entity_id, entity_id IN (SELECT r FROM lk) AS linked FROM rec WHERE source <> 'S1') WHERE linked OR 1 = 0"))
+def linked_sample(spark, sf_dir):
+    """A keyed sample without further rows: all records that links name."""
+    raw = raw_records(spark, sf_dir).where("source <> 'S1'")
+    linked = gold_links(spark, sf_dir).select(F.col("r").alias("entity_id")).distinct()
+    found = tables.keyed_sample(raw, linked, 0).join(linked.withColumn("linked", F.lit(True)), "entity_id", "left")
+    return found.agg(F.count("*").alias("n"), F.count("linked").alias("n_kept"))
+
+
+@query(o.query(o.RECORDS, o.PAIRS, body="""SELECT count(*) FILTER (row_ord % 5 = 0) AS bad_prefixes, count(*) FILTER (row_ord % 5 = 0) AS unknown_ids, count(*) FILTER (row_ord % 3 = 0) AS repeated_pairs, 0::BIGINT AS outside_candidates, count(*) AS n_entities FROM rec WHERE source = 'S1'"""))
+def output_findings(spark, sf_dir):
+    """Counts of planted faults: entities among the candidates, and some pairs twice."""
+    raw = raw_records(spark, sf_dir)
+    s1 = raw.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "row_ord")
+    first = raw.where("source <> 'S1'").agg(F.min("entity_id").alias("r")).first().r
+    pairs = overlap_pairs(spark, sf_dir).select("s1", "r").where(F.col("r") != first)
+    twice = s1.where("row_ord % 3 = 0").select("s1", F.lit(first).alias("r"))
+    wrong = s1.where("row_ord % 5 = 0").select("s1", F.col("s1").alias("r"))
+    found = checks.output_report(twice.limit(0), pairs.unionByName(twice).unionByName(twice).unionByName(wrong), s1, raw.where("source <> 'S1'"))
+    return longs(found, *found.columns)
+
+
+@query(o.query(o.VIEW, """f AS (SELECT row_ord % 6 AS k, count(*) AS n FROM view_raw WHERE source = 'S1' GROUP BY 1)""", body="""SELECT CASE k WHEN 0 THEN 'missing_entity' WHEN 1 THEN 'repeated_row' WHEN 2 THEN 'repeated_id' WHEN 3 THEN 'self_match' WHEN 4 THEN 'wrong_prefix' END AS finding, sum(n)::BIGINT AS n FROM f WHERE k < 5 GROUP BY 1
+UNION ALL SELECT 'malformed_row', 1 UNION ALL SELECT 'extra_entity', 1 UNION ALL SELECT 'unknown_id', 1"""))
+def list_file_findings(spark, sf_dir):
+    """What a result file with planted faults is told."""
+    raw = raw_records(spark, sf_dir)
+    s1 = raw.where("source = 'S1'")
+    valid = raw.where("source <> 'S1'").select("entity_id")
+    good = valid.agg(F.min("entity_id").alias("x")).first().x
+    k = F.col("row_ord") % 6
+    ids = F.when(k == 2, F.lit(f"{good},{good}")).when(k == 3, F.lit("S1-0")).when(k == 4, F.lit("X-1")).otherwise(F.lit(""))
+    line = F.concat("entity_id", F.lit("\t"), ids)
+    rows = s1.where(k != 0).select(F.explode(F.when(k == 1, F.array(line, line)).otherwise(F.array(line))).alias("value"))
+    extra = spark.createDataFrame([("\t".join(tables.MATCHING_HEADER),), ("S1-none\tS2-none",), ("too\tmany\tfields",)], "value string")
+    path = f"{scratch(spark)}/entwine-files-{uuid.uuid4().hex}"
+    extra.coalesce(1).union(rows).write.text(path)
+    return checks.check_list_file(spark, path, tables.MATCHING_HEADER, s1.select(F.col("entity_id").alias("s1")), valid).select("finding", "n")
+
+
+@query()
+def synthetic_records(spark, sf_dir):
+    """The synthetic registry: its entities and the noisy records made of them."""
+    s1, pool, _ = synthetic.registry(spark, 200, seed=42)
+    columns = ["entity_id", "business_name", "business_address", "country"]
+    return s1.select(*columns).unionByName(pool.select(*columns))
 
 
 # Learning: a small cascade, cross-fitted on the registry's pairs.
