@@ -72,6 +72,8 @@ def canonicalize_light(records: DataFrame) -> DataFrame:
     df = df.withColumn("legal_form", t.legal_form(F.col("_name"))).withColumn("_core", t.without_legal_form(F.col("_name"), F.col("legal_form")))
     df = df.withColumns({"name_norm": F.array_join(t.tokens(F.col("_name")), " "), "name_core_tokens": t.tokens(F.col("_core")), "addr_tokens": t.tokens(F.lower("addr_norm"))})
     return materialise(df.withColumns({
+        # What the pair features ask for beyond this scheme: no aliases and landmarks.
+        "name_alts": F.array().cast("array<string>"), "landmark": F.lit(""), "addr_missing": F.col("addr_norm") == "", "addr_fold": F.array_join(F.transform("addr_tokens", t.fold_token), " "),
         "name_core": F.array_join("name_core_tokens", " "), "name_clean": F.regexp_replace(F.lower("_name"), r"[^\p{L}\p{N}]", ""),
         "name_fold": F.array_join(F.transform("name_core_tokens", t.fold_token), " "), "name_acronym": t.acronym(F.col("name_core_tokens")),
         "postal": t.postal_code(F.col("addr_norm")), "house_no": t.house_number(F.lower("addr_norm")), "unit": t.unit_number(F.lower("addr_norm")),

@@ -153,6 +153,66 @@ def sweep(pairs: DataFrame, gold_sizes: DataFrame, rule: str, grid: list[tuple[f
     return df.groupBy(*(x(i).alias(f"x{i}") for i in range(n))).agg(F.avg(f).alias("macro_f05"))
 
 
+def best_prefixes(ps: np.ndarray, betas: np.ndarray, lams: np.ndarray, most: int = 14, kmax: int = 15, pmin: float = 1e-6) -> np.ndarray:
+    """`best_prefix` for every shift and every mean at once: (betas, lams) numbers of pairs to select; ps falls."""
+    clipped = np.clip(ps[:most], 1e-7, 1 - 1e-7)
+    q = 1 / (1 + np.exp(-(np.log(clipped / (1 - clipped))[None, :] + betas[:, None])))
+    q[:, :] = np.where(q > pmin, q, 0.0)  # a pair that no longer counts is a sure miss and never selected
+    n, b = q.shape[1], len(betas)
+    heads, tails = np.zeros((n + 1, b, n + 1)), np.zeros((n + 1, b, n + 1))
+    heads[0, :, 0] = tails[n, :, 0] = 1.0
+    for k in range(n):
+        heads[k + 1] = heads[k] * (1 - q[:, k : k + 1])
+        heads[k + 1, :, 1:] += heads[k, :, :-1] * q[:, k : k + 1]
+    for k in range(n - 1, -1, -1):
+        tails[k] = tails[k + 1] * (1 - q[:, k : k + 1])
+        tails[k, :, 1:] += tails[k + 1, :, :-1] * q[:, k : k + 1]
+    out = np.zeros((b, len(lams)), np.int64)
+    a = np.arange(1, n + 1)[:, None]
+    for j, lam in enumerate(lams):
+        missed = np.array([exp(-lam) * lam**i / factorial(i) for i in range(4)])
+        missed /= missed.sum()
+        outside = np.zeros((n + 1, b, n + 4))
+        for i in range(4):
+            outside[:, :, i : i + n + 1] += tails * missed[i]
+        best, value = np.zeros(b, np.int64), outside[0, :, 0].copy()
+        for k in range(1, min(kmax, n) + 1):
+            gain = 5 * a / (4 * k + a + np.arange(n + 4)[None, :])
+            v = np.einsum("ba,bc,ac->b", heads[k][:, 1:], outside[k], gain)
+            better = (v > value + 1e-12) & (q[:, k - 1] > 0)
+            best, value = np.where(better, k, best), np.where(better, v, value)
+        out[:, j] = best
+    return out
+
+
+def sweep_exact(pairs: DataFrame, gold_sizes: DataFrame, betas: list[float], lams: list[float], p: str = "p", most: int = 14) -> DataFrame:
+    """(x0: beta, x1: lam, macro_f05): the exact rule under every shift and mean number of missed links, in one pass.
+
+    Tasks add up their entities' F0.5 per setting, so what is shuffled is a row per task and setting.
+    """
+    ranked = _ranked(pairs, p).where(F.col("rk") <= most)
+    lists = ranked.groupBy(F.col("s1").alias("_s1")).agg(F.array_sort(F.collect_list(F.struct("rk", F.col(p).alias("p"), F.col("y").cast("int").alias("y")))).alias("l"))
+    every = gold_sizes.join(lists, F.col("s1") == F.col("_s1"), "left").select(F.col("g").cast("long").alias("g"), F.col("l.p").alias("ps"), F.col("l.y").alias("ys"))
+    b, m = np.asarray(betas, float), np.asarray(lams, float)
+
+    def run(frames):
+        total, n = np.zeros((len(b), len(m))), 0
+        for pdf in frames:
+            for g, ps, ys in zip(pdf["g"], pdf["ps"], pdf["ys"]):
+                n += 1
+                if ps is None or not len(ps):
+                    total += g == 0
+                    continue
+                k = best_prefixes(np.asarray(ps, float), b, m, most)
+                tp = np.concatenate([[0], np.cumsum(ys)])[k]
+                total += (k == 0) if g == 0 else 5 * tp / (4 * k + g)
+        yield pd.DataFrame({"i": np.repeat(np.arange(len(b)), len(m)), "j": np.tile(np.arange(len(m)), len(b)), "f": total.ravel(), "n": n})
+
+    summed = every.mapInPandas(run, "i int, j int, f double, n long").groupBy("i", "j").agg((F.sum("f") / F.sum("n")).alias("macro_f05"))
+    at = lambda xs, c: F.get(F.array(*map(F.lit, map(float, xs))), F.col(c))
+    return summed.select(at(b, "i").alias("x0"), at(m, "j").alias("x1"), "macro_f05")
+
+
 def grids() -> dict[str, list[tuple[float, ...]]]:
     """The settings that are tried: of the threshold rules and of the shift."""
     return {
@@ -164,6 +224,33 @@ def grids() -> dict[str, list[tuple[float, ...]]]:
     }
 
 
+# The shifts and the mean numbers of missed links that are tried for the exact rule.
+EXACT_BETAS = [round(float(b), 2) for b in np.linspace(-1.5, 1.5, 31)]
+EXACT_LAMS = [0.005, 0.01, 0.02, 0.04]
+
+
+def tune(pairs: DataFrame, gold_sizes: DataFrame, rules: tuple[str, ...], p: str = "p") -> dict[str, tuple[tuple[float, ...], float]]:
+    """The best setting and its macro F0.5 of every rule: global (t), two_threshold (t1, t2), expected_f (beta), exact (beta, lam)."""
+    g, out = grids(), {}
+    for rule in rules:
+        swept = sweep_exact(pairs, gold_sizes, EXACT_BETAS, EXACT_LAMS, p) if rule == "exact" else sweep(pairs, gold_sizes, rule, g[rule], p)
+        out[rule] = best_setting(swept)
+    return out
+
+
+def decide(pairs: DataFrame, rule: str, params: tuple[float, ...], p: str = "p") -> DataFrame:
+    """The pairs that a rule selects."""
+    if rule == "global":
+        return global_threshold(pairs, p, params[0])
+    if rule == "two_threshold":
+        return two_thresholds(pairs, p, *params)
+    if rule == "expected_f":
+        return expected_f05_meanfield(pairs, p, beta=params[0])
+    if rule == "exact":
+        return expected_f05(pairs, p, params[1], params[0])
+    raise ValueError(f"unknown rule {rule}")
+
+
 def best_setting(swept: DataFrame) -> tuple[tuple[float, ...], float]:
     """The first setting with the highest score."""
     names = [c for c in swept.columns if c.startswith("x")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql.window import Window
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .running import running_sums
@@ -141,6 +142,15 @@ def error_tags(predicted: DataFrame, candidates: DataFrame, gold: DataFrame, s1:
     return pairs.select("s1", "r", F.explode(tags).alias("tag"))
 
 
+def error_examples(tags: DataFrame, s1: DataFrame, pool: DataFrame, n: int = 5) -> DataFrame:
+    """(tag, s1, r, name_a, name_b, addr_a, addr_b): the first n pairs of each kind of error, by ids, with what the records say."""
+    nth = F.row_number().over(Window.partitionBy("tag").orderBy("s1", "r"))
+    few = tags.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")
+    a = s1.select(F.col("entity_id").alias("s1"), F.col("business_name").alias("name_a"), F.col("business_address").alias("addr_a"))
+    b = pool.select(F.col("entity_id").alias("r"), F.col("business_name").alias("name_b"), F.col("business_address").alias("addr_b"))
+    return few.join(a, "s1", "left").join(b, "r", "left").select("tag", "s1", "r", "name_a", "name_b", "addr_a", "addr_b")
+
+
 def error_profile(predicted: DataFrame, gold: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     """(key, n, false_positives, false_negatives, macro_f05) by a property of the entities."""
     s = per_entity(entities, predicted, gold).join(entities.select("s1", key), "s1")

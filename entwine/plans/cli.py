@@ -1,4 +1,4 @@
-"""Command line: run, validate, generate-synthetic."""
+"""Command line: run, cohort, evaluate, validate, generate-synthetic."""
 
 from __future__ import annotations
 
@@ -56,6 +56,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--config")
     p.add_argument("--steps", default="all", help="all, from:STEP or a comma list of " + ", ".join(pipeline.STEPS))
     p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
+    for name, about in (("cohort", "train on a cohort of the training split and report on another"), ("evaluate", "report on the saved model")):
+        p = sub.add_parser(name, help=about)
+        p.add_argument("--config")
+        p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
+        if name == "cohort":
+            p.add_argument("--n-val", type=int, default=2500)
+            p.add_argument("--n-train", type=int, default=10_000)
+            p.add_argument("--n-distractors", type=int, default=40_000)
     p = sub.add_parser("validate", help="check result files")
     p.add_argument("--matching", required=True)
     p.add_argument("--candidates", required=True)
@@ -86,7 +94,14 @@ def main(argv: list[str] | None = None) -> int:
             given[name] = json.loads(value)
         except ValueError:
             given[name] = value
-    print(json.dumps(pipeline.run(spark, config.merged(given), a.steps), indent=2, default=str))
+    config = config.merged(given)
+    if a.command == "cohort":
+        report = pipeline.cohort_run(spark, config, a.n_val, a.n_train, a.n_distractors)
+    elif a.command == "evaluate":
+        report = pipeline.evaluate(spark, config)
+    else:
+        report = pipeline.run(spark, config, a.steps)
+    print(json.dumps(report, indent=2, default=str))
     return 0
 
 

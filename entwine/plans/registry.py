@@ -598,6 +598,17 @@ def error_tags(spark, sf_dir):
     return metrics.error_tags(chosen(spark, sf_dir), overlap_pairs(spark, sf_dir), gold_links(spark, sf_dir), rec, rec)
 
 
+@query(o.query(o.RECORDS, o.PAIRS, o.GOLD, CHOSEN, """bad AS (SELECT c.s1, c.r, 'false_positive' AS tag FROM chosen c LEFT JOIN gold g ON g.s1 = c.s1 AND g.r = c.r WHERE g.s1 IS NULL
+UNION ALL SELECT c.s1, c.r, 'singleton_violation' FROM chosen c WHERE c.s1 NOT IN (SELECT s1 FROM gold))""",
+    body="""SELECT tag, s1, r, a.business_name AS name_a, b.business_name AS name_b, a.business_address AS addr_a, b.business_address AS addr_b FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY s1, r) AS n FROM bad)
+JOIN rec a ON a.entity_id = s1 JOIN rec b ON b.entity_id = r WHERE n <= 5"""))
+def error_examples(spark, sf_dir):
+    """The first five wrong pairs of two kinds, with what their records say."""
+    rec = canonicalize(raw_records(spark, sf_dir))
+    tags = metrics.error_tags(chosen(spark, sf_dir), overlap_pairs(spark, sf_dir), gold_links(spark, sf_dir), rec, rec)
+    return metrics.error_examples(tags.where("tag in ('false_positive', 'singleton_violation')"), rec, rec)
+
+
 @query(o.query(o.RECORDS, o.PAIRS, o.GOLD, o.ENTITIES, """gs AS (SELECT ent.s1, count(gold.r) AS g FROM ent LEFT JOIN gold USING (s1) GROUP BY ent.s1), grid AS (SELECT unnest(range(5, 96)) / 100.0 AS x0),
 lab AS (SELECT pairs.s1, round(p, 9) AS p, (gold.r IS NOT NULL)::INT AS y FROM pairs LEFT JOIN gold ON gold.s1 = pairs.s1 AND gold.r = pairs.r),
 res AS (SELECT x0, gs.s1, g, count(lab.p) FILTER (lab.p >= x0) AS k, coalesce(sum(y) FILTER (lab.p >= x0), 0) AS tp FROM gs CROSS JOIN grid LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC) AS rk FROM lab) WHERE rk <= 20) lab USING (s1) GROUP BY x0, gs.s1, g)""",
@@ -847,5 +858,5 @@ def matcher_out_of_fold(spark, sf_dir):
     gold = gold_links(spark, sf_dir)
     sizes = entities(spark, sf_dir).join(gold.groupBy(F.col("s1").alias("_s")).agg(F.count("*").alias("g")), F.col("s1") == F.col("_s"), "left").select("s1", F.coalesce("g", F.lit(0)).alias("g"))
     features = materialise(full_features(spark, sf_dir))
-    matcher, scored = learn.train(features, gold, sizes, [c for c in features.columns if c not in ("s1", "r")], learn.Settings(folds=2, rounds=4, depth=3))
-    return decide.expected_f05(scored, "pcal", matcher.lam, matcher.beta).select("s1", "r", "p2a", "p2b", "pcal", "fold")
+    matcher, scored = learn.train(features, gold, sizes, [c for c in features.columns if c not in ("s1", "r")], learn.Settings(folds=2, rounds=4, depth=3, rules=("global", "two_threshold", "expected_f", "exact")))
+    return decide.decide(scored, matcher.rule, matcher.setting(), "pcal").select("s1", "r", "p2a", "p2b", "pcal", "fold")
