@@ -82,7 +82,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     takes; k1 and k2 stand for id, source and text. Null texts have size 0 and are never taken; a null source
     is a source of its own, the last; repeated rows are rows of their own, next
     to each other in the shuffled order; ties in the hash are broken by id and
-    those; empty tables give empty results; other columns are ignored.
+    those; empty tables give empty results; texts of any length count whole; other
+    columns are ignored, whatever their names. The sources themselves are ranked in one
+    task, as a schedule over all of them needs: a row per source, which suits up to some millions.
     """
     spark = docs.sparkSession
     k1, k2 = row_keys("doc_id", "source", "text")

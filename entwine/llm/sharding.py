@@ -98,7 +98,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, chunk: int = 4096) -> Data
     Equal texts share a shard. Slots number a shard's rows from 0 without gaps,
     in the order of a hash. A null text has size 1 and is a group of its own
     beside the empty text; repeated rows are rows of their own, with slots next
-    to each other; other columns are ignored; an empty table gives an empty one.
+    to each other; texts of any length count whole, and one that is larger than an even share
+    fills its shard alone; groups of equal size go by their hashes; other columns are ignored,
+    whatever their names; an empty table gives an empty one.
     """
     k1, k2 = row_keys("text")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -75,10 +75,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_features:
     """Fit on a bounded sample of labelled rows (`max_docs`), as the bounds allow.
 
     The `max_features` features that differ most between the classes are chosen
-    by a count over the sample in Spark; each document then becomes the distinct
+    by a count over the sample in Spark (ties by name); each document then becomes the distinct
     sets of chosen features in its sentences, with how often each occurs, so what
     reaches the driver is bounded by the sample and the features. Without a row
-    of both classes the model is the constant share of toxic rows.
+    of both classes, so in an empty table as well, the model is the constant share of toxic rows.
+    Null texts are empty; texts of any length count whole; rows that repeat a labelled id
+    count each; columns other than doc_id and text are ignored.
+
+    `max_features` and `min_docs` bound the model, not the rows: features in
+    fewer documents than `min_docs`, and those that tell the classes apart least, have no weight.
     """
     sample = durable(labelled(docs, labels, max_docs))
     schema = "y int, present array<string>"
@@ -163,8 +168,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_co
 
     `start` and `end` count code points of the whole text; a sentence is
     offending if its own probability is at least `threshold`. Null and empty
-    texts have one empty sentence, so the score of the bias alone. Columns that
-    `docs` has under the new names are replaced.
+    texts have one empty sentence, so the score of the bias alone; texts of any
+    length are scored whole; a score of `threshold` exactly is toxic; repeated rows are scored
+    one by one, alike; an empty table gives an empty one. Columns that
+    `docs` has under the new names are replaced; the pipeline gives its columns other names first.
     """
     weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
     extra = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
