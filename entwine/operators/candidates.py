@@ -61,13 +61,15 @@ def union(hits: DataFrame) -> DataFrame:
     return pairs.withColumn("n_channels", F.bit_count("mask"))
 
 
-def siblings(pairs: DataFrame, pool: DataFrame, k: int = 3, least: float = 0.9) -> DataFrame:
+def siblings(pairs: DataFrame, pool: DataFrame, k: int = 3, least: float = 0.9, cap: int = 50) -> DataFrame:
     """(s1, r, channel, rank, score) of records of the other source with the same core and a similar name as one of
-    an S1's k best candidates, which are no candidates yet."""
+    an S1's k best candidates, which are no candidates yet. Of a source's records with one core the first `cap`
+    in file order count, as in the other channels, so a common core does not multiply."""
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("s1").orderBy("min_rank", "r"))).where(F.col("_n") <= k).select("s1", F.col("r").alias("via"))
-    named = pool.where("name_core <> ''").select("entity_id", "source", "name_core", "name_norm").distinct()
+    named = pool.where("name_core <> ''").groupBy("entity_id", "source", "name_core", "name_norm").agg(F.min("row_ord").alias("_ord"))
     a = best.join(named.select(F.col("entity_id").alias("via"), F.col("source").alias("_sa"), "name_core", F.col("name_norm").alias("_na")), "via")
-    b = named.select(F.col("entity_id").alias("r"), F.col("source").alias("_sb"), "name_core", F.col("name_norm").alias("_nb"))
+    nth = F.row_number().over(Window.partitionBy("source", "name_core").orderBy("_ord", "entity_id"))
+    b = named.withColumn("_nth", nth).where(F.col("_nth") <= cap).select(F.col("entity_id").alias("r"), F.col("source").alias("_sb"), "name_core", F.col("name_norm").alias("_nb"))
     near = a.join(b, "name_core").where("_sa <> _sb").join(pairs.select("s1", "r"), ["s1", "r"], "left_anti")
     scored = near.withColumn("score", measure("token_set_ratio", "_na", "_nb")).where(F.col("score") >= least)
     return scored.groupBy("s1", "r").agg(F.max("score").alias("score")).select("s1", "r", F.lit("expansion").alias("channel"), F.lit(1).alias("rank"), "score")

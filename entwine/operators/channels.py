@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from .running import running_sums
+from .running import materialise, running_sums
 
 # Address words that say little.
 ADDRESS_STOP_WORDS = """delhi mumbai india road street st rd ave avenue floor flr nagar near opposite opp bldg building flat plot shop no
@@ -175,19 +175,25 @@ def address(s1: DataFrame, pool: DataFrame, k: int = 30, max_df: int = 250, post
     return top(exact_hits.unionByName(allowed).groupBy("block", "s1", "r").agg(F.min("r_ord").alias("r_ord"), F.max("score").alias("score")), k)
 
 
-def sorted_neighbourhood(s1: DataFrame, pool: DataFrame, window: int = 20) -> DataFrame:
+def sorted_neighbourhood(s1: DataFrame, pool: DataFrame, window: int = 20, chunk: int = 20_000) -> DataFrame:
     """Neighbours within `window` places in the order of cores, then of reversed cores.
 
-    Places are running counts in two levels, by the first letters, so the order
-    needs no single task; neighbours meet by place // window in an equi-join.
+    Places are running counts in two levels: inside ranges of about `chunk` records,
+    at quantiles that Spark samples, and over the ranges. So neither the order nor
+    a beginning or a name that many records share needs a single task; neighbours
+    meet by place // window in an equi-join.
     S1 records take places too; records of other known countries don't pair. Rank
     counts an S1's pairs of a pass; a pair keeps the first pass's.
     """
     every = s1.select("block", "entity_id", "name_core", "country_norm", "row_ord", F.lit(0).alias("side")).unionByName(pool.select("block", "entity_id", "name_core", "country_norm", "row_ord", F.lit(1).alias("side")))
+    ranges = max(1, -(-every.count() // chunk))
     out = None
     for n, key in enumerate((F.col("name_core"), F.reverse("name_core"))):
-        keyed = every.withColumns({"key": key, "one": F.lit(1).cast("long")}).withColumn("chunk", F.substring("key", 1, 3))
-        placed = running_sums(keyed, ["block"], "chunk", ["key", "side", "row_ord", "entity_id"], {"place": "one"}).withColumn("cell", F.floor(F.col("place") / window))
+        order = ["key", "side", "row_ord", "entity_id"]
+        keyed = every.withColumns({"key": key, "one": F.lit(1).cast("long")})
+        # The ranges are kept with the rows: they are sampled, so they must not be drawn again.
+        keyed = materialise(keyed.repartitionByRange(ranges, "block", *order).withColumn("chunk", F.spark_partition_id())) if ranges > 1 else keyed.withColumn("chunk", F.lit(0))
+        placed = running_sums(keyed, ["block"], "chunk", order, {"place": "one"}).withColumn("cell", F.floor(F.col("place") / window))
         a = placed.where("side = 0").select("block", F.col("entity_id").alias("s1"), F.col("place").alias("i"), F.col("country_norm").alias("ca"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
         b = placed.where("side = 1").select("block", F.col("entity_id").alias("r"), F.col("place").alias("j"), F.col("country_norm").alias("cb"), "cell")
         near = a.join(b, ["block", "cell"]).where((F.abs(F.col("i") - F.col("j")) <= window) & ~((F.col("ca") != "") & (F.col("cb") != "") & (F.col("ca") != F.col("cb"))))

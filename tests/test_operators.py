@@ -152,6 +152,15 @@ def test_prune_keeps_pairs_of_several_channels(spark):
     assert {r.r for r in cand.prune(df, 6).collect()} == {f"r{i}" for i in range(6)}
 
 
+def test_ranges_give_the_same_neighbours(spark):
+    """Many records share a key and the beginning of others; the ranges cut through them."""
+    rows = [("b", f"{'S1' if i % 3 == 0 else 'S2'}-{i}", "the " + ("same" if i % 2 else f"name {i % 11}"), "us" if i % 5 else "fr", i) for i in range(240)]
+    df = spark.createDataFrame(rows, "block string, entity_id string, name_core string, country_norm string, row_ord long")
+    a, b = df.where("entity_id like 'S1%'"), df.where("entity_id like 'S2%'")
+    one, many = ({tuple(r) for r in ch.sorted_neighbourhood(a, b, 7, chunk).collect()} for chunk in (10_000, 30))
+    assert one and one == many
+
+
 def test_siblings(spark, small):
     rows = [("S2-1", "Nova Labs Ltd", "1 A", "US", "S2", 1), ("S3-1", "Nova Labs", "2 B", "US", "S3", 2), ("S3-2", "Other", "", "US", "S3", 3)]
     pool = canonicalize(spark.createDataFrame(rows, KIND))
