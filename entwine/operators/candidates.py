@@ -194,3 +194,32 @@ def count_of_keys(s1: DataFrame, pool: DataFrame, k: int = 100, least_tokens: in
     scored = hits.groupBy("block", "s1", "r").agg(F.min("r_ord").alias("r_ord"), F.count_distinct("kind").alias("score"))
     best = Window.partitionBy("block", "s1").orderBy(F.desc("score"), "r_ord", "r")
     return scored.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k).select("block", "s1", "r", "rank", "score")
+
+
+def inverted_index(s1: DataFrame, pool: DataFrame, most: int = 60, overlap: int = 30, token_cap: int = 500) -> DataFrame:
+    """(s1, r, ord): the second baseline's candidates, the first `most` of an entity in the order of its indexes.
+
+    Indexes by core, fold and clean name, then names that share two tokens or more
+    (the `overlap` best not found so far), then by address, postal code with house
+    number, and sorted address. An index lists the first records in file order, up to its cap.
+    """
+    c = F.col
+    sorted_key, address = F.when(F.length("sorted_addr") >= 6, c("sorted_addr")).otherwise(""), F.when(F.length("addr_clean") >= 10, F.substring("addr_clean", 1, 25)).otherwise("")
+    house = F.when((c("postal") != "") & (c("house_no") != ""), F.concat_ws("|", "postal", "house_no")).otherwise("")
+    indexes = {0: (c("name_core"), 50), 1: (c("name_fold"), 50), 2: (c("name_clean"), 50), 4: (address, 20), 5: (house, 15), 6: (sorted_key, 20)}
+    one_of = lambda kinds: F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), key.alias("key"), F.lit(cap).alias("cap")) for k, (key, cap) in kinds.items()))).alias("i")
+    own = s1.select("block", F.col("entity_id").alias("s1"), one_of(indexes)).select("block", "s1", "i.kind", "i.key").where("key <> ''")
+    listed = pool.select("block", F.col("entity_id").alias("r"), F.col("row_ord").alias("r_ord"), "name_core", one_of(indexes)).select("block", "r", "r_ord", "name_core", "i.*")
+    listed = listed.where((F.col("key") != "") & ((F.col("kind") != 1) | (F.col("key") != F.col("name_core"))))
+    listed = listed.withColumn("_n", F.row_number().over(Window.partitionBy("block", "kind", "key").orderBy("r_ord", "r"))).where("_n <= cap").select("block", "kind", "key", "r", "r_ord")
+    hits = own.join(listed, ["block", "kind", "key"]).select("s1", "r", "kind", F.lit(0).cast("long").alias("less"), "r_ord")
+    toks = F.explode(F.filter(F.array_distinct("name_core_tokens"), lambda w: F.length(w) >= 2)).alias("key")
+    postings = pool.select("block", F.col("entity_id").alias("r"), F.col("row_ord").alias("r_ord"), toks)
+    postings = postings.withColumn("_n", F.row_number().over(Window.partitionBy("block", "key").orderBy("r_ord", "r"))).where(F.col("_n") <= token_cap).drop("_n")
+    shared = s1.where(F.size("name_core_tokens") >= 2).select("block", F.col("entity_id").alias("s1"), toks).join(postings, ["block", "key"])
+    shared = shared.groupBy("s1", "r").agg(F.min("r_ord").alias("r_ord"), F.count("*").alias("n")).where("n >= 2").join(hits.where("kind <= 2").select("s1", "r").distinct(), ["s1", "r"], "left_anti")
+    best = Window.partitionBy("s1").orderBy(F.desc("n"), "r_ord", "r")
+    named = shared.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= overlap).select("s1", "r", F.lit(3).alias("kind"), (-F.col("n")).alias("less"), "r_ord")
+    first = hits.unionByName(named).groupBy("s1", "r").agg(F.min(F.struct("kind", "less", "r_ord")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("s1").orderBy("at", "r")) - 1
+    return first.select("s1", "r", place.alias("ord")).where(F.col("ord") < most)

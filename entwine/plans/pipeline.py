@@ -125,7 +125,10 @@ def baseline(r: Records) -> DataFrame:
 
 
 def _log(step: str, began: float) -> None:
-    print(f"{step}: {time.time() - began:.1f} s", flush=True)
+    import resource
+
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    print(f"{step}: {time.time() - began:.1f} s, {peak:.0f} MB", flush=True)
 
 
 def scores(r: Records, matcher: learn.Matcher, c: Config, name: str) -> dict:

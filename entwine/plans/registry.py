@@ -419,6 +419,34 @@ def light_index_candidates(spark, sf_dir):
     return longs(cand.count_of_keys(*sides(spark, sf_dir)), "rank", "score").drop("block")
 
 
+_FOLD = "CASE WHEN name_fold <> name_core THEN name_fold ELSE '' END"
+
+
+def _indexes(side: str, columns: str, folds: str) -> str:
+    kinds = {
+        0: "name_core", 1: folds, 2: "name_clean", 4: "CASE WHEN length(addr_clean) >= 10 THEN addr_clean[1:25] ELSE '' END",
+        5: "CASE WHEN postal <> '' AND house_no <> '' THEN postal || '|' || house_no ELSE '' END", 6: "CASE WHEN length(sorted_addr) >= 6 THEN sorted_addr ELSE '' END",
+    }
+    return "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {columns}, {k} AS kind, {x} AS key FROM {side}" for k, x in kinds.items()) + ") WHERE key <> ''"
+
+
+@query(o.query(o.RECORDS, f"ia AS ({_indexes('s', 'block, entity_id AS s1', 'name_fold')})", f"ib0 AS ({_indexes('p', 'block, entity_id AS r, row_ord AS r_ord', _FOLD)})",
+    "ib AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block, kind, key ORDER BY r_ord, r) AS n FROM ib0) WHERE n <= CASE WHEN kind <= 2 THEN 50 WHEN kind = 5 THEN 15 ELSE 20 END)",
+    "ih AS (SELECT s1, r, kind, 0 AS less, r_ord FROM ia JOIN ib USING (block, kind, key))",
+    "tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block, key ORDER BY r_ord, r) AS n FROM (SELECT block, entity_id AS r, row_ord AS r_ord, unnest(list_filter(list_distinct(name_core_tokens), lambda w: length(w) >= 2)) AS key FROM p)) WHERE n <= 500)",
+    "ts AS (SELECT block, entity_id AS s1, unnest(list_filter(list_distinct(name_core_tokens), lambda w: length(w) >= 2)) AS key FROM s WHERE len(name_core_tokens) >= 2)",
+    "sh AS (SELECT s1, r, min(r_ord) AS r_ord, count(*) AS n FROM ts JOIN tp USING (block, key) GROUP BY s1, r HAVING count(*) >= 2)",
+    "sn AS (SELECT s1, r, 3 AS kind, -n AS less, r_ord FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY n DESC, r_ord, r) AS m FROM sh WHERE NOT EXISTS (SELECT 1 FROM ih WHERE ih.s1 = sh.s1 AND ih.r = sh.r AND kind <= 2)) WHERE m <= 30)",
+    "fs AS (SELECT s1, r, min({'kind': kind, 'less': less, 'r_ord': r_ord}) AS place FROM (SELECT * FROM ih UNION ALL SELECT * FROM sn) GROUP BY s1, r)",
+    "pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY place, r) AS n FROM fs) WHERE n <= 60)",
+    body="SELECT s1, r, n - 1 AS ord FROM (SELECT pl.s1, pl.r, pl.n, row_number() OVER (PARTITION BY pl.r ORDER BY s.row_ord, pl.s1) AS m FROM pl JOIN s ON s.entity_id = pl.s1) WHERE m = 1"))
+def inverted_index_baseline(spark, sf_dir):
+    """The second baseline: candidates of the inverted indexes, each pool record for the first entity in file order that has it."""
+    s1, pool = sides(spark, sf_dir)
+    found = cand.inverted_index(s1, pool).join(s1.select(F.col("entity_id").alias("s1"), "row_ord"), "s1")
+    return longs(decide.first_come(found).select("s1", "r", "ord"), "ord")
+
+
 # Group context and decisions.
 
 CONTEXT = """c1 AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, r) - 1 AS rk, max(p) OVER (PARTITION BY s1) AS best, sum((p >= 0.5)::INT) OVER (PARTITION BY s1) AS above, sum(p) OVER (PARTITION BY s1) AS total,
