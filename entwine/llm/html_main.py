@@ -52,6 +52,7 @@ ENDS = {
 }
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote address li pre dt dd figcaption summary".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote address pre".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 #: Kinds of the subtrees that are counted: around the content; in it boxes and lists, links and spans, paragraphs and
@@ -93,7 +94,7 @@ class Node:
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role, self.hidden, self.children, self.hash = tag, frozenset(), "", False, [], 0
         self.named, self.comments = "", False
-        self.full, self.words = False, 0  # a paragraph or the like below; words below
+        self.full, self.words = False, 0  # a paragraph or heading below; words below
         self.holds = self.title = False  # an article, main element or first heading below; a first heading below
         if attributes and not attributes.isspace():
             for key, value, hidden in ATTRIBUTE.findall(attributes):
@@ -213,7 +214,7 @@ def digest(node: Node) -> int:
         for c in n.children:
             h.update(b"\0" + " ".join(c.split()).encode("utf-8", "surrogatepass") if isinstance(c, str) else b"\1" + c.hash.to_bytes(8, "little"))
             n.words += len(c.split()) if isinstance(c, str) else c.words
-            n.full = n.full or not isinstance(c, str) and (c.full or c.tag in TEXTS)
+            n.full = n.full or not isinstance(c, str) and (c.full or c.tag in PARAGRAPHS)
         n.hash = h.intdigest()
     return node.hash
 
@@ -397,7 +398,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int
     """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars, n_removed (topmost template subtrees deleted).
 
     Pages count apart if their contents differ, so copies of a page count once,
-    but for boxes without a paragraph, heading or item, which count on all.
+    but for boxes and lists without a paragraph or heading, which count on all.
     A subtree is a template of its host if it occurs
 
     * around the content, on `min_pages` pages;
