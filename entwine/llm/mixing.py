@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     goals = goals.withColumn("goal", F.floor(F.col("target") + 1e-6).cast("long"))
     slots = schedule(goals, spark, int(total * share), block)
 
-    parts = max(1, -(-n_rows // 20_000))
+    parts = max(1, -(-n_rows // 4_000))
     keyed = sized.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     keyed = keyed.withColumn("part", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * parts).cast("long"))
     placed = durable(running_sums(keyed, ["source_no"], "part", ["h", "doc_id", "k1", "k2"], {"place": "size"}).withColumn("row_id", F.monotonically_increasing_id()))
