@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import connected_components, durable, local_roots, mix64
 
 #: Rows of a block in a bucket's comparison, and rows that small buckets bring together in one task.
-BLOCK, TASK = 2048, 32768
+BLOCK, TASK = 2048, 4096
 #: Signs of a sketch.
 SIGNS = 192
 
