@@ -452,6 +452,6 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int
                 removed.append(gone)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
 
-    # The lists are a table of known size: Spark sends them to the pages while they are small, else both are dealt by page.
-    known = pages.join(lists, F.col("k") == F.col("_k"), "left").select("page_id", "url", "html", "templates")
+    # Both are dealt by page at any size: the lists grow with the pages, and so disk grows in proportion, not by a change of join.
+    known = pages.join(lists.hint("merge"), F.col("k") == F.col("_k"), "left").select("page_id", "url", "html", "templates")
     return known.mapInArrow(text, T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())]))
