@@ -129,16 +129,17 @@ def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def nce_pass(params: dict[str, np.ndarray], log_noise: np.ndarray, noise_p: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict[str, np.ndarray], noise: int = 24, rate: float = 0.1) -> None:
+def nce_pass(params: dict[str, np.ndarray], log_noise: np.ndarray, noise_p: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict[str, np.ndarray], noise: int = 24, rate: float = 0.1, cdf: np.ndarray | None = None) -> None:
     """One AdaGrad step of noise-contrastive estimation on a batch of contexts (u, v) and classes w.
 
     The batch shares `noise` draws from the unigram distribution; each stands for
     its part of the noise of every token. Scores count as log-probabilities, as NCE allows.
+    `cdf`, the sums of `noise_p`, spares making them for each batch; the draws are the same.
     """
     r, q, a, b, bias = (params[k] for k in ("r", "q", "a", "b", "bias"))
     ru, rv = r[u], r[v]
     h = ru * a + rv * b
-    k = rng.choice(len(log_noise), noise, p=noise_p)
+    k = rng.choice(len(log_noise), noise, p=noise_p) if cdf is None else cdf.searchsorted(rng.random(noise), side="right")
     shift = np.float32(np.log(noise))
     true = np.einsum("ij,ij->i", h, q[w]) + bias[w] - log_noise[w] - shift
     false = h @ q[k].T + (bias[k] - log_noise[k] - shift)
@@ -284,6 +285,8 @@ def train(docs: DataFrame, shape: Shape, head: dict[bytes, int], log_unigram: np
     names = list(both)
     noise = log_unigram.astype(np.float32)
     noise_p = np.exp(log_unigram) / np.exp(log_unigram).sum()
+    cdf = noise_p.cumsum()
+    cdf /= cdf[-1]
 
     def learner(begin: dict[str, np.ndarray]):
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -304,7 +307,7 @@ def train(docs: DataFrame, shape: Shape, head: dict[bytes, int], log_unigram: np
                 at = at[rng.permutation(len(at))]
                 for s in range(0, len(at), batch):
                     p = at[s : s + batch]
-                    nce_pass(own, noise, noise_p, x[p - 2], x[p - 1], x[p], rng, state)
+                    nce_pass(own, noise, noise_p, x[p - 2], x[p - 1], x[p], rng, state, cdf=cdf)
                 seen, texts, size = seen + size, [], 0
             flat = np.concatenate([mine[k].ravel() for k in names]).astype(np.float64) * seen
             return pd.DataFrame({"shard": [part // ROUNDS], "seen": [seen], "flat": [flat.tobytes()]})
@@ -343,8 +346,9 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id") -> Data
         left, right = p["r"] * p["a"], p["r"] * p["b"]
         end_part = float(np.log(end_c + 0.5))
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "word", "id", "tf", "n", "known", "base", "score")}
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+            out: dict[str, list] = {k: [] for k in ("row", "word", "n", "known", "base", "score")}
+            rare_words, tfs, kinds = [], [], []
+            for text in b.column(1):
                 words = words_of(text.as_py())
                 found = lexicon.of(words)
                 row, n = (part << 40) + n, n + 1
@@ -353,24 +357,27 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id") -> Data
                 u, v, w = x[:-2], x[1:-1], x[2:]
                 s = np.einsum("ij,ij->i", left[u] + right[v], p["q"][w]) + p["bias"][w] - z[u, v]
                 word_part = float(log_c[at].sum())
+                rare = np.flatnonzero(at == len(c0))
                 out["row"].append(row)
                 out["word"].append(b" %d" % row)
-                out["id"].append(i)
-                out["tf"].append(0)
                 out["n"].append(len(w))
-                rare = np.flatnonzero(at == len(c0))
                 out["known"].append(len(at) - len(rare) + (end_c > 0))
                 out["base"].append(word_part + end_part - len(w) * denominator)
                 out["score"].append(float(s.sum(dtype=np.float64)) + word_part - float(log_mass[w[:-1]].sum()))
-                tf = Counter([words[j] for j in rare])
-                k = len(tf)
-                out["row"] += [row] * k
-                out["word"] += tf.keys()
-                out["id"] += [None] * k
-                out["tf"] += tf.values()
-                for name in ("n", "known", "base", "score"):
-                    out[name] += [0] * k
-            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["word"], pa.binary()).cast(pa.string()), pa.array(out["id"], b.column(0).type), pa.array(out["tf"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())], list(out))
+                tf = Counter(map(words.__getitem__, rare.tolist()))
+                rare_words += tf.keys()
+                tfs += tf.values()
+                kinds.append(len(tf))
+            # First the documents' rows, then those of their rare words, made at once for the batch.
+            more = len(tfs)
+            padded = lambda x, kind: pa.array(np.concatenate([np.array(x, kind), np.zeros(more, kind)]))
+            at_row = np.array(out["row"], np.int64)
+            ids = pa.concat_arrays([b.column(0), pa.nulls(more, b.column(0).type)])
+            tf = pa.array(np.concatenate([np.zeros(len(at_row), np.int64), np.array(tfs, np.int64)]))
+            spelled = pa.array(out["word"] + rare_words, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([at_row, np.repeat(at_row, np.array(kinds, np.int64))])), spelled, ids, tf, padded(out["n"], np.int64), padded(out["known"], np.int64), padded(out["base"], np.float64), padded(out["score"], np.float64)],
+                ["row", "word", "id", "tf", "n", "known", "base", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, "text").mapInArrow(local, f"row long, word string, id {kind}, tf long, n long, known long, base double, score double")
