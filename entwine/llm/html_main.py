@@ -394,6 +394,24 @@ def template_counts(seen: DataFrame, min_pages: int, share: float, many: int, fe
     return joined.select("h", kinds.alias("kinds")).where("size(kinds) > 0").unionByName(big)
 
 
+def zipped(pages: DataFrame) -> DataFrame:
+    """`pages` (k, page_id, url, html) with the html compressed page by page (zstd), and `size`, its bytes; null html is null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for b in batches:
+            raw = [None if html is None else html.encode() for html in (x.as_py() for x in b.column("html"))]
+            small = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k", "page_id", "url")), small, pa.array([len(x or b"") for x in raw], pa.int64())], ["k", "page_id", "url", "zipped", "size"])
+
+    kept = [pages.schema[c] for c in ("k", "page_id", "url")]
+    return pages.select("k", "page_id", "url", "html").mapInArrow(run, T.StructType([*kept, T.StructField("zipped", T.BinaryType()), T.StructField("size", T.LongType())]))
+
+
+def unzipped(small: bytes | None, size: int) -> str:
+    """The html again; empty for null."""
+    return pa.Codec("zstd").decompress(small, size, asbytes=True).decode() if small else ""
+
+
 def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int = 20, few: int = 20) -> DataFrame:
     """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars, n_removed (topmost template subtrees deleted).
 
@@ -440,8 +458,8 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes, removed = [], [], []
-            for html, url, known in zip(b.column("html"), b.column("url").to_pylist(), b.column("templates")):
-                root, marks, gone = parse(html.as_py() or ""), known.as_py() or [], 0
+            for small, size, url, known in zip(b.column("zipped"), b.column("size").to_pylist(), b.column("url").to_pylist(), b.column("templates")):
+                root, marks, gone = parse(unzipped(small.as_py(), size)), known.as_py() or [], 0
                 names = not any(t["kind"] == 0 for t in marks)
                 if any(t["kind"] for t in marks):
                     host = host_of(url)[0]
@@ -453,5 +471,6 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, many: int
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
 
     # Both are dealt by page at any size: the lists grow with the pages, and so disk grows in proportion, not by a change of join.
-    known = pages.join(lists.hint("merge"), F.col("k") == F.col("_k"), "left").select("page_id", "url", "html", "templates")
+    # Most of the disk is the html on its way, so it travels compressed.
+    known = zipped(pages).join(lists.hint("merge"), F.col("k") == F.col("_k"), "left").select("page_id", "url", "zipped", "size", "templates")
     return known.mapInArrow(text, T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())]))
