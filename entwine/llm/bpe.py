@@ -27,11 +27,14 @@ import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Characters of a leaf, and how far cuts are searched before the tokens of one match are joined.
 LEAF_CHARS, REACH = 1024, 256
+#: Ids of a batch on its way out, and pairs of tokens that a task remembers to be stable.
+BATCH_IDS, STABLE_PAIRS = 1 << 18, 1 << 17
 #: Kinds of characters. BLANK is the space, which may begin a match of others; UNKNOWN says nothing.
 UNKNOWN, LETTER, DIGIT, OTHER, BLANK, BREAK, APOSTROPHE = range(7)
 
@@ -174,7 +177,7 @@ class TreeCodec:
         """Whether two tokens in a row are the encoding of their bytes."""
         found = self.stable.get((x, y))
         if found is None:
-            if len(self.stable) > 1 << 20:
+            if len(self.stable) > STABLE_PAIRS:
                 self.stable.clear()
             found = self.stable[x, y] = self.encode_piece(self.pieces[x] + self.pieces[y]) == [x, y]
         return found
@@ -195,6 +198,29 @@ class TreeCodec:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
+def encoded(batches: Iterator[pa.RecordBatch], codec: TreeCodec, id_col: str, with_ids: bool, most: int = BATCH_IDS) -> Iterator[pa.RecordBatch]:
+    """The rows of `encode_decode`, of batches (id, text); a batch is given away once it holds `most` ids, so a task's memory has no more."""
+    numerals = list(map(str, range(len(codec.pieces))))
+    for batch in batches:
+        start, held, out = 0, 0, []
+        for i, text in enumerate(batch.column(1), 1):
+            text = text.as_py() or ""
+            ids = codec.encode(text)
+            back = codec.decode(ids)
+            out.append((len(ids), hashlib.sha256(" ".join(map(numerals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode(), np.array(ids, np.int32) if with_ids else None))
+            held += len(ids)
+            if held < most and i < batch.num_rows:
+                continue
+            n, sha, back_sha, same, lists = zip(*out)
+            columns = [batch.column(0).slice(start, len(out)), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back_sha, pa.string()), pa.array(same, pa.bool_())]
+            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
+            if with_ids:
+                columns.insert(2, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(lists))))
+                names.insert(2, "ids")
+            start, held, out = i, 0, []
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Per row: the id column, n_tokens, ids (with `with_ids`), ids_sha256, decoded_sha256, round_trip.
 
@@ -209,22 +235,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pieces = load_encoding(ranks_path, pattern)
-        codec, numerals = TreeCodec(enc.encode_ordinary, pieces, leaf_chars, enc._encode_single_piece), list(map(str, range(len(pieces))))
-        for batch in batches:
-            out: dict[str, list] = {"n": [], "ids": [], "sha": [], "back": [], "same": []}
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids = codec.encode(text)
-                back = codec.decode(ids)
-                out["n"].append(len(ids))
-                if with_ids:
-                    out["ids"].append(ids)
-                out["sha"].append(hashlib.sha256(" ".join(map(numerals.__getitem__, ids)).encode()).hexdigest())
-                out["back"].append(hashlib.sha256(back).hexdigest())
-                out["same"].append(back == text.encode())
-            columns = [batch.column(0), pa.array(out["n"], pa.int64()), *([pa.array(out["ids"], pa.list_(pa.int32()))] * with_ids), pa.array(out["sha"], pa.string()), pa.array(out["back"], pa.string()), pa.array(out["same"], pa.bool_())]
-            names = [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256", "round_trip"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        codec = TreeCodec(enc.encode_ordinary, pieces, leaf_chars, enc._encode_single_piece)
+        return encoded(batches, codec, id_col, with_ids)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
